@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from toposcan.functions import text
-from toposcan.operators.ordered import top_k
+from toposcan.operators.ordered import quantiles, top_k
 
 # Share of the distance estimate by toponym type, and the base used without a distance.
 OCCURRENCE_SHARE = {"rio": 1.0, "igarape": 0.8, "lagoa": 0.6, "parana": 0.9, "porto": 0.4}
@@ -114,8 +114,7 @@ def threshold_top(df: DataFrame, min_km: float, max_occ: float, weights: dict[st
 
 def top_quantile(df: DataFrame, col: str, q: float = 0.7) -> DataFrame:
     """Rows at or above the exact quantile of ``col``."""
-    cut = df.agg(F.percentile(F.col(col), q)).scalar()
-    return df.filter(F.col(col) >= cut)
+    return df.filter(F.col(col) >= quantiles(df, col, {"q": q}).scalar())
 
 
 def filter_by_vocab(df: DataFrame, pattern: str, cols: Sequence[str] = text.NAME_COLS) -> DataFrame:

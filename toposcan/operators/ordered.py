@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SPLITS = 32
 
 
-def _cuts(df: DataFrame, col: str, splits: int) -> Column:
+def _cuts(df: DataFrame, by: list[str], cols: dict[str, str], splits: int) -> DataFrame:
+    """Quantiles of the columns, as arrays of at most ``splits - 1`` distinct values."""
     probs = [i / splits for i in range(1, splits)]
-    return df.agg(F.array_distinct(F.percentile_approx(F.col(col), probs, 20 * splits))).scalar()
+    aggs = [F.array_distinct(F.percentile_approx(F.col(c), probs, 20 * splits)).alias(out) for out, c in cols.items()]
+    return df.groupBy(*by).agg(*aggs)
 
 
 def ordered(
@@ -29,17 +31,22 @@ def ordered(
     sums: dict[str, str] | None = None,
     maxs: dict[str, str] | None = None,
     lags: dict[str, str] | None = None,
+    by: list[str] | None = None,
     splits: int = SPLITS,
 ) -> DataFrame:
     """Add ``rank`` (1..n by ``order``, then ``tie`` ascending; nulls last) and running columns.
 
     ``sums``, ``maxs`` and ``lags`` map an output name to a source column:
     inclusive running sum, inclusive running maximum, value of the row before.
-    ``tie`` must be numeric and make the order unique.
+    ``tie`` must be numeric and make the order unique. With ``by`` (columns
+    without nulls) every group is numbered on its own, large groups in parts.
     """
-    sums, maxs, lags = sums or {}, maxs or {}, lags or {}
+    sums, maxs, lags, by = sums or {}, maxs or {}, lags or {}, by or []
     below = lambda cuts, c: F.size(F.filter(F.col(cuts), lambda x: x < F.col(c)))
-    d = df.withColumn("_oc", _cuts(df, order, splits)).withColumn("_tc", _cuts(df, tie, splits))
+    if by:
+        d = df.join(_cuts(df, by, {"_oc": order, "_tc": tie}, splits), by)
+    else:
+        d = df.withColumns({o: _cuts(df, [], {o: c}, splits).scalar() for o, c in (("_oc", order), ("_tc", tie))})
     at_cut = F.coalesce(F.array_contains("_oc", F.col(order)), F.lit(False))
     bucket = below("_oc", order) * 2 + F.when(at_cut, 1).otherwise(0)
     bucket = F.when(F.col(order).isNull(), 2 * splits + 2).otherwise(-bucket if desc else bucket)
@@ -50,26 +57,28 @@ def ordered(
         .drop("_oc", "_tc")
     )
 
+    keys = [*by, "_b", "_s"]
     row_order = [F.col(order).desc_nulls_last() if desc else F.col(order).asc_nulls_last(), F.col(tie).asc()]
     last = F.struct((-F.col(order) if desc else F.col(order)).alias("o"), F.col(tie).alias("t"))
-    totals = d.groupBy("_b", "_s").agg(
+    totals = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()],
         *[F.max(c).alias(f"_m_{o}") for o, c in maxs.items()],
         *[F.max_by(F.struct(F.col(c).alias("v")), last).alias(f"_l_{o}") for o, c in lags.items()],
     )
-    before = Window.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = Window.partitionBy(*by).orderBy("_b", "_s")  # over totals, not rows
+    before = buckets.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_b",
-        "_s",
+        *keys,
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
         *[F.sum(f"_s_{o}").over(before).alias(f"_s0_{o}") for o in sums],
         *[F.max(f"_m_{o}").over(before).alias(f"_m0_{o}") for o in maxs],
-        *[F.lag(f"_l_{o}").over(Window.orderBy("_b", "_s")).alias(f"_l0_{o}") for o in lags],
+        *[F.lag(f"_l_{o}").over(buckets).alias(f"_l0_{o}") for o in lags],
     )
-    inside = Window.partitionBy("_b", "_s").orderBy(*row_order)
+    inside = Window.partitionBy(*keys).orderBy(*row_order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = d.join(F.broadcast(offsets), ["_b", "_s"])  # at most splits*splits + 2*splits rows
+    # without groups there are at most splits * splits + 2 * splits offsets
+    out = d.join(offsets if by else F.broadcast(offsets), keys)
     cols = [F.col(f"`{c}`") for c in df.columns]
     cols.append((F.row_number().over(inside) + F.col("_n0")).cast("bigint").alias(rank))
     for o, c in sums.items():
@@ -82,6 +91,34 @@ def ordered(
     return out.select(*cols)
 
 
+def quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str] | None = None, tie: str | None = None,
+              max_group: int = 2_000_000) -> DataFrame:
+    """Exact interpolated quantiles, one row per group (one row without groups).
+
+    Spark's ``percentile`` keeps the distinct values of a group in one buffer. That is used while
+    the largest group is small; beyond it the values are ranked in parts and the two
+    neighbours of each position are picked.
+    """
+    by = by or []
+    d = df.filter(F.col(col).isNotNull())
+    counts = d.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0] or 0
+    if largest <= max_group:
+        return d.groupBy(*by).agg(*[F.percentile(F.col(col), p).alias(o) for o, p in probs.items()])
+    # distinct values with their counts: position of the first and last copy of each value
+    run = ordered(counts, "_v", "_v", by=by, sums={"_hi": "_n"})
+    size = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    run = run.join(size, by) if by else run.withColumn("_size", size.scalar())
+    aggs = []
+    for o, p in probs.items():
+        pos = F.lit(p) * (F.col("_size") - 1)
+        at = lambda k: F.max(F.when((F.col("_hi") - F.col("_n") <= k) & (k < F.col("_hi")), F.col("_v")))
+        aggs += [at(F.floor(pos)).alias(f"_a{o}"), at(F.ceil(pos)).alias(f"_b{o}"), F.max(pos - F.floor(pos)).alias(f"_w{o}")]
+    out = run.groupBy(*by).agg(*aggs)
+    return out.select(*by, *[
+        (F.col(f"_a{o}") + (F.col(f"_b{o}") - F.col(f"_a{o}")) * F.col(f"_w{o}")).alias(o) for o in probs])
+
+
 def rank_by(df: DataFrame, score: str, tie: str, rank: str = "rank") -> DataFrame:
     """Rank 1..n by descending score; ties by ``tie``."""
     return ordered(df, score, tie, desc=True, rank=rank)

@@ -110,7 +110,7 @@ def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, s
         F.max((F.col("sx") == F.col("cx")) & (F.col("sy") == F.col("cy"))).alias("sure")
     )
     q_cells = pts.select("qx", "qy").distinct()
-    if levels >= 4:  # every level reads the cells again
+    if levels > 1:  # every level reads the cells again
         q_cells, cover = cut(q_cells), cut(cover)
     q_at, s_at = [q_cells], [cover.groupBy("sx", "sy").agg(F.max("sure").alias("sure"))]
     for _ in range(1, levels):

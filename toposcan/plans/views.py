@@ -55,6 +55,18 @@ VIEWS = {
                CAST(o_totalprice AS DOUBLE) / {d(39971)} AS dist_km,
                {d("o_orderkey * 37 % 1000")} / {d(20)} AS occ_pct
         FROM {{orders}}""",
+    # toponyms around sites in polar form: one per line item, sites keyed by supplier
+    "v_site_toponym": f"""
+        SELECT concat('Site_', CAST(l_suppkey AS VARCHAR(20))) AS site_name,
+               concat(CASE l_linenumber WHEN 1 THEN 'Rio' WHEN 2 THEN 'Mata' WHEN 3 THEN 'Vila' WHEN 4 THEN 'Rua'
+                      WHEN 5 THEN 'Fazenda' WHEN 6 THEN 'Torre' ELSE 'Xis' END, ' ', l_returnflag) AS toponym_name,
+               {d("(l_orderkey * 7 + l_partkey * 31) % 5003")} / {d(1009)} AS radius,
+               {d("(l_partkey * 37 + l_orderkey * 11) % 3600")} / {d(10)} AS angle,
+               CASE WHEN l_orderkey % 29 <> 0 THEN {d("(l_orderkey * 3 + l_partkey) % 977")} / {d(17)} END AS river_radius,
+               CASE WHEN l_orderkey % 29 <> 0 THEN {d("l_orderkey * 13 % 3600")} / {d(10)} END AS river_angle,
+               l_suppkey % 17 AS nearest_river, l_suppkey % 5 AS culture,
+               {d("l_suppkey % 100")} / {d(10)} - 15 AS site_lat, {d("l_suppkey * 7 % 140")} / {d(10)} - 74 AS site_lon
+        FROM {{lineitem}}""",
     # optimisation trials
     "v_trial": f"""
         SELECT event_id AS trial_id, {d("0.5")} + event_id % 30 * {d("0.5")} AS distance_km,
