@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from toposcan.operators import aggregates, spatial
 from toposcan.operators.ordered import ordered, running_precision, top_k
+from toposcan.session import cut
 
 KS = (5, 10, 20, 50, 100)
 
@@ -44,7 +45,7 @@ def map_score(cands: DataFrame, known: DataFrame, max_m: float = 500.0, score: s
               tie: str = "cand_id", average_precision: bool = False) -> DataFrame:
     """Mean precision over all ranks; ``average_precision`` averages over the hits only."""
     flagged = spatial.is_hit(cands.select(tie, score, "lon", "lat"), known, max_m)
-    run = running_precision(flagged, score, tie, "is_hit")
+    run = running_precision(cut(flagged), score, tie, "is_hit")  # ranking reads its input three times
     if average_precision:
         run = run.filter("is_hit")
     return run.agg(F.coalesce(F.avg("precision"), F.lit(0.0)).alias("map"))

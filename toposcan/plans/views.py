@@ -75,7 +75,7 @@ VIEWS = {
                value / {d(500)} - {d("0.05")} AS score,
                CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status,
                CASE WHEN event_type = 'error' THEN concat('error ', CAST(event_id % 7 AS VARCHAR(20))) END AS error_message,
-               {d("event_id % 600")} / {d(10)} AS duration, event_id % 8 AS root_no, {d("user_id % 91")} / {d(100)} + {d("0.1")} AS weight
+               {d("event_id % 600")} / {d(10)} AS duration, event_id % 8 AS root_no, {d("user_id % 91")} / {d(97)} + {d("0.1")} AS weight
         FROM {{events}}""",
     # a raster of 0.1 degree cells, in tiles of 140 x 100 cells; 255 is nodata
     "v_cell": f"""
