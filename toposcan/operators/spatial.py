@@ -156,7 +156,7 @@ def nearest_distance(points: DataFrame, segs: DataFrame, max_dist: float | None
     return nearest(points, segs, max_dist).groupBy("x", "y").agg(F.min("dist").alias("dist"))
 
 
-def _as_segments(df: DataFrame) -> DataFrame:
+def as_segments(df: DataFrame) -> DataFrame:
     return df.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
 
 
@@ -278,7 +278,7 @@ def match_known(known: DataFrame, cands: DataFrame, max_m: float = 500.0) -> Dat
     """Known sites joined to the nearest candidate within ``max_m`` (EPSG:32721); ties multiply rows."""
     k = with_planar(known, "utm21s")
     c = with_planar(cands, "utm21s", x="cx", y="cy")
-    near = nearest(k, _as_segments(c.select(F.col("cx").alias("x"), F.col("cy").alias("y"))), max_dist=max_m)
+    near = nearest(k, as_segments(c.select(F.col("cx").alias("x"), F.col("cy").alias("y"))), max_dist=max_m)
     c = c.drop("lon", "lat")
     hits = near.join(c, (F.col("x1") == F.col("cx")) & (F.col("y1") == F.col("cy"))).drop("cx", "cy", *SEG)
     return k.join(hits, ["x", "y"]).withColumnRenamed("dist", "dist_m").drop("x", "y")
@@ -288,7 +288,7 @@ def within_reach(df: DataFrame, others: DataFrame, max_m: float, project: str =
     """Add ``is_hit``: some row of ``others`` lies within ``max_m``. No pairs are formed."""
     d = with_planar(df, project)
     o = with_planar(others, project)
-    near = nearest_distance(d, _as_segments(o), max_dist=max_m).select("x", "y", F.lit(True).alias("_hit"))
+    near = nearest_distance(d, as_segments(o), max_dist=max_m).select("x", "y", F.lit(True).alias("_hit"))
     out = d.join(near, ["x", "y"], "left").withColumn("is_hit", F.coalesce("_hit", F.lit(False)))
     return out.select(*df.columns, "is_hit")
 
@@ -306,7 +306,7 @@ def far_from(df: DataFrame, positives: DataFrame, min_km: float = 1.0, project:
     """Rows at least ``min_km`` (planar) from every positive."""
     d = with_planar(df, project)
     p = with_planar(positives, project)
-    near = nearest_distance(d, _as_segments(p), max_dist=min_km * 1000.0).filter(F.col("dist") < min_km * 1000.0)
+    near = nearest_distance(d, as_segments(p), max_dist=min_km * 1000.0).filter(F.col("dist") < min_km * 1000.0)
     return d.join(near.select("x", "y"), ["x", "y"], "left_anti").select(*df.columns)
 
 

@@ -167,6 +167,8 @@ def oracle(sql: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
