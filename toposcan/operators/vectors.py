@@ -95,7 +95,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, metric: str = "cosin
         return _merge(index.mapInPandas(against_queries, OUT), k)
     nq, ni = (max(1, math.ceil(d.count() / BLOCK_ROWS)) for d in (queries, index))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     left = queries.select("id", "v", block(nq).alias("qb"), every(ni).alias("ib"))
     right = index.select("id", "v", block(ni).alias("ib"), every(nq).alias("qb"))
 
@@ -161,7 +161,7 @@ def block_sums(rows: DataFrame, n_labels: int) -> DataFrame:
     """
     n = max(1, math.ceil(rows.count() / BLOCK_ROWS))
     block = F.pmod(F.xxhash64("id"), F.lit(n))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     left = rows.select("id", "label", "v", block.alias("qb"), every.alias("ib"))
     right = rows.select("label", "v", block.alias("ib"), every.alias("qb"))
 
