@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from toposcan.functions import geo
 from toposcan.operators import spatial
+from toposcan.operators.ordered import quantiles
 
 
 def create_grid(spark: SparkSession, bounds: tuple[float, float, float, float], res: float) -> DataFrame:
@@ -46,10 +47,12 @@ def buffer_stats(points: DataFrame, cells: DataFrame, west: float, north: float,
                  key: str = "site_id") -> DataFrame:
     """Mean, max, min and number of the cells whose centre lies within ``radius_km`` (EPSG:3857) of each point."""
     c = spatial.with_planar(with_centres(cells.filter(F.col("value").isNotNull()), west, north, size), lon="cx", lat="cy", x="x2", y="y2")
-    p = spatial.with_planar(points.select(key, "lon", "lat"))
-    hit = spatial.near_pairs(p.select(key, "x", "y"), c.select("x2", "y2", "value"), radius_km * 1000.0)
-    s = hit.groupBy(key).agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.count("value").alias("count"))
-    return points.select(key).join(s, key, "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # copies of a location share one circle
+    places = spatial.with_planar(points.select("lon", "lat").distinct())
+    hit = spatial.near_pairs(places, c.select("x2", "y2", "value"), radius_km * 1000.0)
+    s = hit.groupBy("lon", "lat").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.count("value").alias("count"))
+    d = points.select(key, "lon", "lat").join(s, ["lon", "lat"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return d.drop("lon", "lat")
 
 
 def zonal_stats(cells: DataFrame, polys: DataFrame, key: str, size: float, x: str = "cx", y: str = "cy") -> DataFrame:
@@ -177,6 +180,9 @@ def probability_grid(points: DataFrame, shape: tuple[int, int], bounds: tuple[fl
     return d.withColumn("value", F.coalesce(F.try_divide(F.col("value"), top), F.lit(0.0)))
 
 
+QUANTILES = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+
+
 def resample(cells: DataFrame, target_size: float, how: str = "mean") -> DataFrame:
     """Cells with centres ``cx, cy`` onto a grid of ``target_size``: mean, mode, max, min, median, q1, q3 or nearest."""
     d = cells.filter(F.col("value").isNotNull()).withColumns({
@@ -187,9 +193,10 @@ def resample(cells: DataFrame, target_size: float, how: str = "mean") -> DataFra
     if how == "mode":
         n = d.groupBy("row", "col", "value").agg(F.count(F.lit(1)).alias("n"))
         return n.groupBy("row", "col").agg(F.min_by("value", F.struct((-F.col("n")).alias("n"), "value")).alias("value"))
-    agg = {"mean": F.avg("value"), "max": F.max("value"), "min": F.min("value"), "median": F.percentile("value", 0.5),
-           "q1": F.percentile("value", 0.25), "q3": F.percentile("value", 0.75)}[how]
-    return d.groupBy("row", "col").agg(agg.alias("value"))
+    if how in QUANTILES:
+        return quantiles(d, "value", {"value": QUANTILES[how]}, ["row", "col"])
+    agg = {"mean": F.avg, "max": F.max, "min": F.min}[how]
+    return d.groupBy("row", "col").agg(agg("value").alias("value"))
 
 
 def _lowness(members: DataFrame) -> DataFrame:

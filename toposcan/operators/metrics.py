@@ -177,8 +177,8 @@ def hit_rate(sites: DataFrame, cells: DataFrame, t: float, west: float, north: f
 
 def priority_metrics(grid: DataFrame, sites: DataFrame, size: float) -> DataFrame:
     """Hit rate, count, grid share, density and efficiency per priority of a grid of boxes."""
-    inside = spatial.points_within_boxes(sites.select("lon", "lat"), grid, size).groupBy("priority").agg(
-        F.count(F.lit(1)).alias("sites_count"))
+    places = sites.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_n"))
+    inside = spatial.points_within_boxes(places, grid, size).groupBy("priority").agg(F.sum("_n").alias("sites_count"))
     area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
     per = grid.groupBy("priority").agg(F.count(F.lit(1)).alias("grid_count"), F.sum(area).alias("grid_area"))
     n_grid, n_sites = grid.agg(F.count(F.lit(1))).scalar(), sites.agg(F.count(F.lit(1))).scalar()

@@ -22,6 +22,17 @@ def _cuts(df: DataFrame, by: list[str], cols: dict[str, str], splits: int) -> Da
     return df.groupBy(*by).agg(*aggs)
 
 
+def position(c: Column, cuts: list) -> Column:
+    """Number of cuts below ``c``, by binary search."""
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(cuts))
+
+
 def ordered(
     df: DataFrame,
     order: str,
@@ -42,12 +53,16 @@ def ordered(
     without nulls) every group is numbered on its own, large groups in parts.
     """
     sums, maxs, lags, by = sums or {}, maxs or {}, lags or {}, by or []
-    below = lambda cuts, c: F.size(F.filter(F.col(cuts), lambda x: x < F.col(c)))
+    cuts = _cuts(df, by, {"_oc": order, "_tc": tie}, splits)
     if by:
-        d = df.join(_cuts(df, by, {"_oc": order, "_tc": tie}, splits), by)
+        d = df.join(cuts, by)
+        below = lambda k, c: sum(F.when(F.get(k, F.lit(i)) < F.col(c), 1).otherwise(0) for i in range(splits - 1))
+        at_cut = F.array_contains("_oc", F.col(order))
     else:
-        d = df.withColumns({o: _cuts(df, [], {o: c}, splits).scalar() for o, c in (("_oc", order), ("_tc", tie))})
-    at_cut = F.coalesce(F.array_contains("_oc", F.col(order)), F.lit(False))
+        d, known = df, {k: sorted(v or []) for k, v in cuts.first().asDict().items()}  # at most 2 * splits numbers
+        below = lambda k, c: position(F.col(c), known[k])
+        at_cut = F.col(order).isin(known["_oc"]) if known["_oc"] else F.lit(False)
+    at_cut = F.coalesce(at_cut, F.lit(False))
     bucket = below("_oc", order) * 2 + F.when(at_cut, 1).otherwise(0)
     bucket = F.when(F.col(order).isNull(), 2 * splits + 2).otherwise(-bucket if desc else bucket)
     cut_again = at_cut | F.col(order).isNull()

@@ -42,8 +42,8 @@ def _grid(points: DataFrame, segs: DataFrame) -> tuple[float, float, float, int]
     x0, y0 = min(p[0], s[0]), min(p[1], s[1])
     extent = max(max(p[2], s[2]) - x0, max(p[3], s[3]) - y0, 1e-9) * 1.0001
     n, mean_len = s[4], s[5]
-    # About 4 segments per cell if they were spread evenly, but not far below their own length.
-    even = max(extent * math.sqrt(4.0 / n), mean_len / 4, extent / 4**MAX_LEVELS)
+    # About 2 segments per cell if they were spread evenly, but not far below their own length.
+    even = max(extent * math.sqrt(2.0 / n), mean_len / 4, extent / 4**MAX_LEVELS)
     levels = max(0, min(MAX_LEVELS, math.ceil(math.log(extent / even, 4))))
     # Crowded places need smaller leaves: fullest cell per level, one pass over midpoints.
     mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
@@ -68,17 +68,12 @@ def _up(col: str) -> Column:
     return F.shiftright(F.col(col), 2)
 
 
-def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, slack: float = 1.0) -> DataFrame:
-    """Nearest segments of every distinct point.
-
-    ``points`` has ``x, y``; ``segs`` has ``x1, y1, x2, y2`` (a point is a segment
-    of length zero). Returns ``x, y, x1, y1, x2, y2, dist`` for all segments with
-    ``dist <= slack * smallest dist``; with ``slack`` 1 these are the nearest and
-    its exact ties. ``max_dist`` drops what lies farther.
-    """
-    # rows without coordinates fall out by themselves: their distance is null
-    points = points.select("x", "y").distinct()
-    segs = segs.select(*SEG).distinct()
+def _candidates(points: DataFrame, segs: DataFrame, max_dist: float | None, slack: float) -> DataFrame:
+    """``x, y, x1, y1, x2, y2, dist`` for the segments that may be nearest to a point, as far as their cells tell."""
+    # Rows without coordinates fall out by themselves: their distance is null. The distinct locations are read several
+    # times below; cut here, their projection and the shuffle that makes them distinct run once.
+    points = cut(points.select("x", "y").distinct())
+    segs = cut(segs.select(*SEG).distinct())
     grid = _grid(points, segs)
     if grid is None:
         return points.withColumns({c: F.lit(None).cast("double") for c in [*SEG, "dist"]}).limit(0)
@@ -110,8 +105,8 @@ def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, s
         F.max((F.col("sx") == F.col("cx")) & (F.col("sy") == F.col("cy"))).alias("sure")
     )
     q_cells = pts.select("qx", "qy").distinct()
-    if levels > 1:  # every level reads the cells again
-        q_cells, cover = cut(q_cells), cut(cover)
+    if levels > 1:
+        cover = cut(cover)
     q_at, s_at = [q_cells], [cover.groupBy("sx", "sy").agg(F.max("sure").alias("sure"))]
     for _ in range(1, levels):
         q_at.append(q_at[-1].select(_up("qx").alias("qx"), _up("qy").alias("qy")).distinct())
@@ -143,7 +138,18 @@ def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, s
 
     dist = geo.segment_distance(*[F.col(c) for c in ["x", "y", *SEG]])
     cand = pts.join(pairs, ["qx", "qy"]).join(cover.select(*SEG, "sx", "sy"), ["sx", "sy"])
-    cand = cand.select("x", "y", *SEG, dist.alias("dist"))
+    return cand.select("x", "y", *SEG, dist.alias("dist"))
+
+
+def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, slack: float = 1.0) -> DataFrame:
+    """Nearest segments of every distinct point.
+
+    ``points`` has ``x, y``; ``segs`` has ``x1, y1, x2, y2`` (a point is a segment
+    of length zero). Returns ``x, y, x1, y1, x2, y2, dist`` for all segments with
+    ``dist <= slack * smallest dist``; with ``slack`` 1 these are the nearest and
+    its exact ties. ``max_dist`` drops what lies farther.
+    """
+    cand = _candidates(points, segs, max_dist, slack)
     best = F.min("dist").over(Window.partitionBy("x", "y"))
     kept = F.col("dist") <= F.col("_b") * slack
     if max_dist is not None:
@@ -152,8 +158,9 @@ def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, s
 
 
 def nearest_distance(points: DataFrame, segs: DataFrame, max_dist: float | None = None) -> DataFrame:
-    """``x, y, dist`` for every distinct point that has a segment in reach."""
-    return nearest(points, segs, max_dist).groupBy("x", "y").agg(F.min("dist").alias("dist"))
+    """``x, y, dist`` for every distinct point that has a segment in reach. Candidates are reduced before the shuffle."""
+    near = _candidates(points, segs, max_dist, 1.0).groupBy("x", "y").agg(F.min("dist").alias("dist"))
+    return near.filter(F.col("dist").isNotNull() if max_dist is None else F.col("dist") <= max_dist)
 
 
 def as_segments(df: DataFrame) -> DataFrame:

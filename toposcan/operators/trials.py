@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from toposcan.operators import metrics, spatial
 from toposcan.operators.aggregates import one_row, value_counts
 from toposcan.operators.candidates import score_weighted
-from toposcan.operators.ordered import ordered, quantiles
+from toposcan.operators.ordered import ordered, position, quantiles
 from toposcan.session import cut
 
 
@@ -260,20 +263,34 @@ def validate_summary(trials: DataFrame, declared_total: int, declared_ok: int, w
 
 # ---- threshold sweep -----------------------------------------------------------------------------
 
+CHUNK = 256  # trials per pass over the candidates
+
+
 def _by_threshold(cands: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     """Candidate counts per trial of ``grid`` (``D, O``) and ``keys``, without a row per candidate and trial.
 
     A candidate matters only through the largest D it reaches and the smallest O that admits it. Counts per
-    such cell are joined to the trials, so the join does not grow with the candidates.
+    such cell are joined to the trials, so the join does not grow with the candidates. Many trials are taken in chunks.
     """
-    lists = grid.agg(F.struct(F.array_sort(F.collect_set("D")).alias("d"), F.array_sort(F.collect_set("O")).alias("o")).alias("g"))
-    d = cands.withColumn("_g", lists.scalar())
-    d = d.withColumns({"_d": F.array_max(F.filter(F.col("_g.d"), lambda x: x <= F.col("dist_km"))),
-                       "_o": F.array_min(F.filter(F.col("_g.o"), lambda x: x >= F.col("occ_pct")))})
-    cells = d.groupBy(*keys, "_d", "_o").agg(_n().alias("n")).filter(F.col("_d").isNotNull() & F.col("_o").isNotNull())
-    reach = cells.withColumn("_g", lists.scalar()).withColumn(
-        "D", F.explode(F.filter(F.col("_g.d"), lambda x: x <= F.col("_d")))).drop("_g")
-    return (reach.join(grid.distinct(), "D").filter(F.col("_o") <= F.col("O"))
+    grid = grid.select("D", "O").distinct()
+    n = grid.count()
+    chunks = max(1, math.ceil(n / CHUNK))
+    part = F.pmod(F.xxhash64("D", "O"), F.lit(chunks))
+    return reduce(DataFrame.unionByName, [_chunk_counts(cands, grid.filter(part == i), keys) for i in range(chunks)])
+
+
+def _chunk_counts(cands: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    rows = grid.collect()  # about CHUNK rows
+    ds, os = sorted({r["D"] for r in rows}), sorted({r["O"] for r in rows})
+    d = cands.select(*keys, "dist_km", "occ_pct").dropna(subset=["dist_km", "occ_pct"])
+    # _d: number of thresholds D reached; _o: number of thresholds O that are too small
+    d = d.withColumns({"_d": F.lit(len(ds)) - position(-F.col("dist_km"), [-x for x in reversed(ds)]), "_o": position(F.col("occ_pct"), os)})
+    cells = d.groupBy(*keys, "_d", "_o").agg(_n().alias("n")).filter((F.col("_d") > 0) & (F.col("_o") < len(os)))
+    reach = cells.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_d"))))
+    spark = cands.sparkSession
+    trials = spark.createDataFrame([(float(r["D"]), float(r["O"]), ds.index(r["D"]) + 1, os.index(r["O"])) for r in rows],
+                                   "D DOUBLE, O DOUBLE, _i INT, _j INT")
+    return (reach.join(F.broadcast(trials), "_i").filter(F.col("_o") <= F.col("_j"))
             .groupBy("D", "O", *keys).agg(F.sum("n").alias("n")))
 
 
