@@ -54,39 +54,68 @@ def _gap(kind: str, sphere: bool) -> Column:
     return F.hypot(span("y") * m, span("x") * m * F.cos(F.radians(F.least(*lats) if kind == "far" else F.greatest(*lats))))
 
 
+def _box() -> Column:
+    return F.struct("cell", "_fx", "_fy", "x0", "x1", "y0", "y1")
+
+
+FINE = 8  # finer parts per side of a cell
+
+
+def _within(pairs: DataFrame, reach: float, slack: float, sphere: bool) -> DataFrame:
+    """Pairs of boxes that may lie within reach: cells ``a, b``, the boxes and their largest distance."""
+    d = pairs.select("p", "q", _gap("near", sphere).alias("near"), _gap("far", sphere).alias("far")).filter(F.col("near") <= reach * (1 + slack))
+    return d.select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b"), "p", "q", "far")
+
+
+def _sure(pairs: DataFrame, reach: float, slack: float) -> DataFrame:
+    return pairs.filter(F.col("far") <= reach * (1 - slack)).select("a", "b").distinct()
+
+
 def link_labels(points: DataFrame, reach: float, sphere: bool) -> DataFrame:
     """``x, y, label`` of every distinct location; equal labels for locations linked by steps of at most ``reach``.
 
     ``sphere``: x, y are degrees and steps are geodesic metres; else plane coordinates. Cells are small
     enough that all locations in one are linked, so a crowded cell is a single node. Two cells are linked when
-    a part of one surely lies within reach of a part of the other (by the boxes of the parts); only parts
-    that may or may not reach, of cells not linked otherwise, compare locations.
+    a part of one surely lies within reach of a part of the other (by the boxes of the parts). That is tried
+    with a few coarse parts; cells not connected by then are tried with finer parts, and only parts that may or may not
+    reach, of cells still apart, compare locations.
     """
-    side, fine, slack = reach / math.sqrt(2) / (111700.0 if sphere else 1.0), 8, 0.01 if sphere else 1e-9
+    side, slack = reach / math.sqrt(2) / (111700.0 if sphere else 1.0), 0.01 if sphere else 1e-9
     pts = points.select("x", "y").dropna().distinct()
-    pts = pts.withColumns({f"_f{a}": F.floor(F.col(a) / (side / fine)).cast("bigint") for a in "xy"})
-    pts = cut(pts.withColumns({f"_c{a}": F.floor(F.col(f"_f{a}") / fine) for a in "xy"}))
-    node = (F.col("_cx") * F.lit(1 << 31) + F.col("_cy") + F.lit(1 << 30)).cast("bigint")
-    parts = pts.groupBy("_cx", "_cy", "_fx", "_fy").agg(
+    pts = pts.withColumns({f"_f{a}": F.floor(F.col(a) / (side / FINE)).cast("bigint") for a in "xy"})
+    pts = pts.withColumns({f"_c{a}": F.floor(F.col(f"_f{a}") / FINE) for a in "xy"})
+    pts = cut(pts.withColumn("cell", (F.col("_cx") * F.lit(1 << 31) + F.col("_cy") + F.lit(1 << 30)).cast("bigint")))
+    parts = pts.groupBy("cell", "_cx", "_cy", "_fx", "_fy").agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    parts = cut(parts.withColumn("cell", node))
-    box = F.struct("cell", "_fx", "_fy", "x0", "x1", "y0", "y1")
+    parts = cut(parts)
+    half = lambda c: F.floor(F.col(c) / (FINE // 2)).alias(c)
+    coarse = parts.groupBy("cell", "_cx", "_cy", half("_fx"), half("_fy")).agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     top = F.least(F.greatest(F.abs("y0"), F.abs("y1")) + 0.01, F.lit(89.0))
     wide = F.ceil(F.lit(math.sqrt(2) * 1.01) / F.cos(F.radians(top))) if sphere else F.lit(2)
     near = lambda c, r: F.explode(F.sequence(F.col(c) - r, F.col(c) + r))
-    left = parts.select(box.alias("p"), near("_cx", wide).alias("_cx"), "_cy").select("p", "_cx", near("_cy", 2).alias("_cy"))
-    pairs = left.join(parts.select(box.alias("q"), "_cx", "_cy"), ["_cx", "_cy"]).filter(F.col("p.cell") < F.col("q.cell"))
-    pairs = pairs.select("p", "q", _gap("near", sphere).alias("near"), _gap("far", sphere).alias("far"))
-    pairs = cut(pairs.filter(F.col("near") <= reach * (1 + slack)))
-    sure = pairs.filter(F.col("far") <= reach * (1 - slack)).select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b")).distinct()
-    open_ = pairs.select(F.col("p.cell").alias("a"), F.col("q.cell").alias("b"), F.col("p._fx").alias("_fx"), F.col("p._fy").alias("_fy"),
-                         F.col("q._fx").alias("_gx"), F.col("q._fy").alias("_gy")).join(sure, ["a", "b"], "left_anti")
+    left = coarse.select(_box().alias("p"), near("_cx", wide).alias("_cx"), "_cy").select("p", "_cx", near("_cy", 2).alias("_cy"))
+    tried = left.join(coarse.select(_box().alias("q"), "_cx", "_cy"), ["_cx", "_cy"]).filter(F.col("p.cell") < F.col("q.cell"))
+    tried = cut(_within(tried, reach, slack, sphere))
+    sure = _sure(tried, reach, slack)
+    done = cut(components(sure))
+    apart = tried.select("a", "b").distinct()
+    for end in "ab":
+        apart = apart.join(done.select(F.col("node").alias(end), F.col("label").alias(f"_{end}")), end, "left")
+    apart = apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    fine = apart.join(parts.select(F.col("cell").alias("a"), _box().alias("p")), "a").join(parts.select(F.col("cell").alias("b"), _box().alias("q")), "b")
+    fine = cut(_within(fine.select("p", "q"), reach, slack, sphere))
+    sure_fine = _sure(fine, reach, slack)
+    open_ = fine.join(sure_fine, ["a", "b"], "left_anti")
+    open_ = open_.select("a", "b", F.col("p._fx").alias("_fx"), F.col("p._fy").alias("_fy"), F.col("q._fx").alias("_gx"), F.col("q._fy").alias("_gy"))
     other = pts.select(F.col("_fx").alias("_gx"), F.col("_fy").alias("_gy"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     tested = open_.join(pts.select("_fx", "_fy", "x", "y"), ["_fx", "_fy"]).join(other, ["_gx", "_gy"])
     dist = geodesic_m("y", "x", "y2", "x2") if sphere else F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2"))
     tested = tested.withColumn("d", dist).filter(F.col("d") <= reach).select("a", "b").distinct()
-    labels = components(sure.unionByName(tested))
-    located = pts.select("x", "y", node.alias("node")).join(labels, "node", "left")
+    # what is known is carried on as the edges from each node to its label
+    known = done.select(F.col("label").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    labels = components(known.unionByName(sure_fine).unionByName(tested))
+    located = pts.select("x", "y", F.col("cell").alias("node")).join(labels, "node", "left")
     return located.select("x", "y", F.coalesce("label", "node").alias("label"))
 
 
