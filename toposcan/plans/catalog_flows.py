@@ -13,7 +13,7 @@ from toposcan.plans.catalog_grid import CLEAN, NORTH, SIZE, WEST, clean
 from toposcan.plans.catalog_metrics import ALL_METRICS, DISTANCE, SCORED, feature_sql, round_all, scored
 from toposcan.plans.catalog_names import NORM, PATTERNS, WEIGHTED, WEIGHTS
 from toposcan.plans.catalog_space import KNOWN_CAND, PLANAR_PAIRS
-from toposcan.plans.catalog_trials import ALL_FAILURES, grid, shifted, space, with_params
+from toposcan.plans.catalog_trials import ALL_FAILURES, OK_RUN, RECENT, RUN, grid, shifted, space, with_params
 from toposcan.plans.catalog_words import NEG_BOX, STRAT
 from toposcan.plans.registry import q6, query, r6, rounded
 from toposcan.plans.views import d
@@ -329,7 +329,8 @@ def _(v):
 
 @query("pip8_diagnosis", f"""
     SELECT 'candidates' AS area, type AS kind, CASE WHEN bool_or(severity = 'high') THEN 'high' ELSE 'medium' END AS severity, {d("sum(count)")} AS value FROM ({ALL_FAILURES}) GROUP BY type
-""")
+    UNION ALL SELECT 'trials', 'convergence_stagnation', 'medium', {q6("max(score)")} FROM {{v_trial}} WHERE status = 'completed'
+      HAVING (SELECT recent_best <= earlier_best FROM ({RECENT} {RUN})) AND (SELECT recent_best <= earlier_best FROM ({RECENT} {OK_RUN}))""")
 def _(v):
     return rounded(flows.diagnose(shifted(v), with_params(v), space(v)), "value")
 

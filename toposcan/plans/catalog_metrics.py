@@ -337,10 +337,10 @@ def _(v):
 
 
 @query("agg30_ensemble_errors", f"""
-    SELECT {q6("avg(pow(value - mean, 2))")} AS mse, {q6("avg(abs(value - mean))")} AS mae, {q6("sqrt(avg(pow(value - mean, 2)))")} AS rmse
+    SELECT {q6("avg(pow(value - mean, 2))", 3)} AS mse, {q6("avg(abs(value - mean))", 3)} AS mae, {q6("sqrt(avg(pow(value - mean, 2)))", 3)} AS rmse
     FROM {{v_grid}} JOIN ({CELLS}) USING (row, col)""")
 def _(v):
-    return round_all(metrics.ensemble_errors(v("v_member"), v("v_grid").select("row", "col", F.col("value").alias("truth"))))
+    return round_all(metrics.ensemble_errors(v("v_member"), v("v_grid").select("row", "col", F.col("value").alias("truth"))), places=3)
 
 
 @query("agg31_hit_rate", f"""

@@ -86,7 +86,7 @@ VIEWS = {
     # one planar grid, 150 columns wide, no holes
     "v_grid": f"""
         SELECT CAST(floor(o_orderkey / {d(150)}) AS INT) AS row, CAST(o_orderkey % 150 AS INT) AS col,
-               round(CAST(o_totalprice AS DOUBLE) / {d(1000)}, 2) AS value, o_custkey % 5 AS kind
+               CAST(o_totalprice AS DOUBLE) / {d(997)} AS value, o_custkey % 5 AS kind
         FROM {{orders}}""",
     # an ensemble: one member per line number, cells keyed by order
     "v_member": f"""
