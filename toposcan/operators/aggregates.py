@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from toposcan.functions import text
-from toposcan.operators.ordered import ordered, quantiles
+from toposcan.operators.ordered import MAX_GROUP, largest_group, quantiles
 
 # Expected frequency of a root by category, and of any other category.
 CATEGORY_FREQUENCY = {"water": 15, "terrain": 8, "flora": 6, "culture": 4, "resource": 3, "temporal": 5}
@@ -277,10 +277,16 @@ def shape_features(df: DataFrame) -> DataFrame:
 
 
 def engineer_features(df: DataFrame) -> DataFrame:
-    """All features per site: one aggregation with partial sums, plus the exact quantiles."""
+    """All features per site: one aggregation; the exact quantiles apart where a site is too large for a buffer."""
     aggs = [F.count(F.lit(1)).alias("total_toponyms"), *distance_aggs(), *river_aggs(), *ring_aggs(), *angle_aggs(),
             *ratio_aggs(), *shape_aggs()]
-    near = quantiles(df, "radius", {"q25_distance": 0.25, "median_distance": 0.5, "q75_distance": 0.75}, ["site_name"])
-    river = quantiles(df, "river_radius", {"median_river_distance": 0.5}, ["site_name"])
-    out = _by_site(_with_category(df), aggs).join(near, "site_name", "left").join(river, "site_name", "left")
+    qs = [("radius", {"q25_distance": 0.25, "median_distance": 0.5, "q75_distance": 0.75}), ("river_radius", {"median_river_distance": 0.5})]
+    out = _by_site(_with_category(df), aggs)
+    if largest_group(df, ["site_name"]) <= MAX_GROUP:
+        # apart from the counts, which would otherwise leave generated code
+        q = _by_site(df, [F.percentile(c, p).alias(o) for c, probs in qs for o, p in probs.items()])
+        out = out.join(q, "site_name", "left")
+    else:
+        for c, probs in qs:
+            out = out.join(quantiles(df, c, probs, ["site_name"]), "site_name", "left")
     return out.withColumn("iqr_distance", F.col("q75_distance") - F.col("q25_distance"))

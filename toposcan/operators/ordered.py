@@ -106,20 +106,27 @@ def ordered(
     return out.select(*cols)
 
 
-def quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str] | None = None, tie: str | None = None,
-              max_group: int = 2_000_000) -> DataFrame:
+MAX_GROUP = 2_000_000  # values of one group that may share a buffer
+
+
+def largest_group(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group: one number."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0] or 0
+
+
+def quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str] | None = None,
+              max_group: int | None = None) -> DataFrame:
     """Exact interpolated quantiles, one row per group (one row without groups).
 
     Spark's ``percentile`` keeps the distinct values of a group in one buffer. That is used while
     the largest group is small; beyond it the values are ranked in parts and the two
     neighbours of each position are picked.
     """
-    by = by or []
+    by, max_group = by or [], MAX_GROUP if max_group is None else max_group
     d = df.filter(F.col(col).isNotNull())
-    counts = d.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0] or 0
-    if largest <= max_group:
+    if largest_group(d, by) <= max_group:
         return d.groupBy(*by).agg(*[F.percentile(F.col(col), p).alias(o) for o, p in probs.items()])
+    counts = d.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     # distinct values with their counts: position of the first and last copy of each value
     run = ordered(counts, "_v", "_v", by=by, sums={"_hi": "_n"})
     size = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))

@@ -22,7 +22,7 @@ def stem_names(df: DataFrame, name: str = "name") -> DataFrame:
     w = F.col("word")
     stem = F.when((F.length(w) > 3) & w.rlike("[saoe]$"), F.left(w, F.length(w) - 1))
     # the key is made before the explode; beside it, it would be computed again for every word
-    texts = df.select(F.md5(name).alias("name_key"), F.split(F.lower(name), r"\s+").alias("ws"))
+    texts = df.select(F.unhex(F.md5(name)).alias("name_key"), F.split(F.lower(name), r"\s+").alias("ws"))
     words = texts.select("name_key", F.explode("ws").alias("word")).filter((F.length(w) >= 3) & ~w.rlike(r"^\d+$"))
     stems = words.select("name_key", F.explode(F.array_compact(F.array(w, stem))).alias("pattern"))
     return stems.groupBy("pattern", "name_key").agg(_n().alias("n"))

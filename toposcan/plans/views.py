@@ -139,7 +139,12 @@ def _refs(text: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() * 2 <= cores:
+        # long texts in a single row group would be read and split by one task
+        df = df.repartition(cores, "doc_id")
+    return df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
