@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from toposcan.functions.geodesic import inverse_m
 from toposcan.operators import components, grid, ordered as o, spatial, vectors

@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from toposcan.functions import geo
 from toposcan.operators import spatial
 from toposcan.operators.ordered import quantiles
 

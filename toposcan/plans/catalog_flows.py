@@ -10,12 +10,12 @@ from toposcan.operators import aggregates as agg, similarity as sim, trials as t
 from toposcan.operators.textmine import stem_names
 from toposcan.plans import flows
 from toposcan.plans.catalog_grid import CLEAN, NORTH, SIZE, WEST, clean
-from toposcan.plans.catalog_metrics import ALL_METRICS, DISTANCE, SCORED, feature_sql, round_all, scored
+from toposcan.plans.catalog_metrics import ALL_METRICS, DISTANCE, feature_sql, round_all, scored
 from toposcan.plans.catalog_names import NORM, PATTERNS, WEIGHTED, WEIGHTS
 from toposcan.plans.catalog_space import KNOWN_CAND, PLANAR_PAIRS
 from toposcan.plans.catalog_trials import ALL_FAILURES, OK_RUN, RECENT, RUN, grid, shifted, space, with_params
 from toposcan.plans.catalog_words import NEG_BOX, STRAT
-from toposcan.plans.registry import q6, query, r6, rounded
+from toposcan.plans.registry import q6, query, rounded
 from toposcan.plans.views import d
 from toposcan.session import scratch
 

@@ -8,7 +8,6 @@ from toposcan.functions import geo
 from toposcan.operators import spatial
 from toposcan.plans.registry import q6, query, r6, rounded
 from toposcan.plans.sqltext import along, haversine, merc_x, merc_y, posmod, utm_select
-from toposcan.plans.views import d
 
 
 @query("prj9_web_mercator", f"SELECT feature_id, {q6(merc_x('lon'), 4)} AS x, {q6(merc_y('lat'), 4)} AS y FROM {{v_feature}}")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from toposcan.operators import failures, trials as tr
-from toposcan.operators.ordered import ordered
 from toposcan.plans.catalog_metrics import SCORED, round_all
 from toposcan.plans.catalog_names import WEIGHTS, _trial_json
 from toposcan.plans.catalog_space import HITS, KNOWN_CAND

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Sequence
 
@@ -82,7 +83,7 @@ def write_splits(df: DataFrame, path: str) -> None:
 def precompute_cached(spark: SparkSession, root: str, cfg: dict, build: Callable[[], DataFrame]) -> DataFrame:
     """Table for a configuration, built once; the folder is named by 12 hex digits of the md5 of the configuration."""
     text = json.dumps(cfg, sort_keys=True, ensure_ascii=False)
-    key = spark.range(1).select(F.substring(F.md5(F.lit(text)), 1, 12).alias("k")).first()["k"]
+    key = hashlib.md5(text.encode()).hexdigest()[:12]
     path = f"{root.rstrip('/')}/{key}"
     done = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
