@@ -22,6 +22,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from toposcan.llm import words as W
@@ -29,18 +30,26 @@ from toposcan.llm.common import texts
 
 BLOCK_BYTES = 4 << 20
 POSTS = "anchor long, id long, known boolean, windows binary"
+#: Bytes of a window's hash that travel; beside its anchor's eight.
+WIDTH = 6
+LOW = np.uint64((1 << 8 * WIDTH) - 1)
 
 
-def _rows(groups: np.ndarray, ids: np.ndarray, known: bool, anchors: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """One row per run of equal ``groups`` with its ``values`` as little-endian bytes."""
+def _rows(groups: np.ndarray, ids: np.ndarray, known: bool, anchors: np.ndarray, values: np.ndarray, width: int = 8) -> pa.RecordBatch:
+    """One row per run of equal ``groups`` with the low ``width`` bytes of its ``values``, little-endian."""
     first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.empty(0, np.int64)
-    ends = np.r_[first[1:], len(groups)]
-    offsets = np.r_[0, ends].astype(np.int32) * values.dtype.itemsize if len(groups) else np.zeros(1, np.int32)
-    blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+    offsets = np.r_[first, len(groups)].astype(np.int32) * width
+    data = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     return pa.RecordBatch.from_arrays(
         [pa.array(W.signed(anchors[first])), pa.array(ids[first]), pa.array(np.full(len(first), known)), blobs], ["anchor", "id", "known", "windows"])
 
 
+def _code(anchor: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The name under which a document learns of a window: its anchor and the posted bytes of its hash."""
+    return W.mix(anchor + (value & LOW) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _levels(chunk: W.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, hash, anchor) of every window of ``n`` words; the anchor is the smallest hash of the half-length windows inside."""
     at, value = chunk.windows(n)
@@ -72,8 +81,8 @@ def _post(n: int):
                 a_, d_, v_ = a[fresh], d[fresh], v[fresh]
                 o = np.lexsort((d_, a_))
                 a_, d_, v_ = a_[o], d_[o], v_[o]
-                yield _rows(a_ ^ W.mix(d_.view(np.uint64)), d_, False, a_, v_)
-                d_, v_ = d[known & once], v[known & once]
+                yield _rows(a_ ^ W.mix(d_.view(np.uint64)), d_, False, a_, v_, WIDTH)
+                d_, v_ = d[known & once], _code(a, v)[known & once]
                 o = np.argsort(d_, kind="stable")
                 d_, v_ = d_[o], v_[o]
                 if len(d_):  # answers only pass through the exchange, dealt by document
@@ -84,49 +93,51 @@ def _post(n: int):
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor and document; gives the windows of a document that a smaller one has under the same anchor."""
-    current, seen = None, None
+    current, seen = None, None  # the last anchor; its windows and the smallest document of each
     for batch in batches:
-        anchors = batch.column(0).to_numpy()
-        ids = batch.column(1).to_numpy()
-        known = batch.column(2).to_numpy(zero_copy_only=False)
+        answered = batch.column(2)
+        yield batch.filter(answered).select(["id", "windows"])
+        batch = batch.filter(pc.invert(answered))
+        if not batch.num_rows:
+            continue
+        anchors, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         offsets = np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :][: len(anchors) + 1]
-        raw = batch.column(3).buffers()[2]
-        values = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.empty(0, np.uint8)
-        values = values[offsets[0] :].view(np.uint64)
-        sizes = np.diff(offsets) // 8
-        row = np.repeat(np.arange(len(anchors)), sizes)
-        fresh = ~known[row]
-        same = np.r_[False, anchors[1:] == anchors[:-1]]
-        group = np.cumsum(~same)
-        hit = known[row].copy()
-        # earlier rows of this batch
-        many = np.flatnonzero(fresh & (np.bincount(group, minlength=group[-1] + 2)[group[row]] > 1)) if len(group) else np.empty(0, np.int64)
-        order = many[np.lexsort((ids[row[many]], values[many], group[row[many]]))]
-        g, v, d = group[row[order]], values[order], ids[row[order]]
-        new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])] if len(order) else np.empty(0, bool)
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
-        hit[order] = d > d[lead]
-        # rows of earlier batches with the anchor that this batch begins with
-        if len(anchors) and current == anchors[0]:
-            head = np.flatnonzero((group[row] == group[0]) & fresh)
-            hit[head] |= np.isin(values[head], seen[0]) & (ids[row[head]] > seen[1][np.minimum(np.searchsorted(seen[0], values[head]), len(seen[0]) - 1)])
-        if len(anchors):
-            tail = np.flatnonzero((group[row] == group[-1]) & fresh)
-            v, d = values[tail], ids[row[tail]]
-            if current == anchors[-1]:
-                v, d = np.r_[seen[0], v], np.r_[seen[1], d]
-            o = np.lexsort((d, v))
-            v, d = v[o], d[o]
-            keep = np.r_[True, v[1:] != v[:-1]] if len(v) else np.empty(0, bool)
-            current, seen = anchors[-1], (v[keep], d[keep])
-            if not len(seen[0]):
-                current = None
-        out = _rows(row[hit], ids[row[hit]], True, anchors[row[hit]].view(np.uint64), values[hit])
-        yield out.select(["id", "windows"])
+        packed = np.frombuffer(batch.column(3).buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, WIDTH)
+        values = np.zeros((len(packed), 8), np.uint8)
+        values[:, :WIDTH] = packed
+        values = values.view(np.uint64).ravel()
+        row = np.repeat(np.arange(len(anchors)), np.diff(offsets) // WIDTH)
+        group = np.cumsum(np.r_[False, anchors[1:] != anchors[:-1]])
+        hit = np.zeros(len(row), bool)
+        # other rows of this batch
+        many = np.flatnonzero((np.bincount(group) > 1)[group[row]])
+        if len(many):
+            order = many[np.lexsort((ids[row[many]], values[many], group[row[many]]))]
+            g, v, d = group[row[order]], values[order], ids[row[order]]
+            new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            hit[order] = d > d[lead]
+        # rows of earlier batches with the anchor that this one begins with
+        if current == anchors[0]:
+            head = np.flatnonzero(group[row] == 0)
+            at = np.minimum(np.searchsorted(seen[0], values[head]), len(seen[0]) - 1)
+            hit[head] |= (seen[0][at] == values[head]) & (ids[row[head]] > seen[1][at])
+        tail = np.flatnonzero(group[row] == group[-1])
+        v, d = values[tail], ids[row[tail]]
+        if current == anchors[-1]:
+            v, d = np.r_[seen[0], v], np.r_[seen[1], d]
+        order = np.lexsort((d, v))
+        v, d = v[order], d[order]
+        keep = np.r_[True, v[1:] != v[:-1]]
+        current, seen = anchors[-1], (v[keep], d[keep])
+        if hit.any():
+            r = row[hit]
+            codes = _code(anchors[r].view(np.uint64), values[hit])
+            yield _rows(r, ids[r], True, codes, codes).select(["id", "windows"])
 
 
 def earlier_windows(docs: DataFrame, window: int = 20) -> DataFrame:
-    """``id, windows``: hashes (8 bytes each) of the windows of a document that a document with a smaller id has too."""
+    """``id, windows``: codes (8 bytes each) of the windows of a document that a document with a smaller id has too."""
     posts = texts(docs).filter("id is not null and text is not null").mapInArrow(_post(window), POSTS)
     # the sort makes rows of one anchor neighbours, in the order of their documents
     dealt = posts.repartition(F.col("anchor")).sortWithinPartitions("anchor", "id")
@@ -141,8 +152,8 @@ def _finish(n: int, spans: bool):
             cut = np.array([b"" if x is None else b"".join(x) for x in lists], object)
             n_words, n_removed, sha, kept_text = [], [], [], []
             for chunk in W.chunks(texts_):
-                at, value = chunk.windows(n)
-                doc = chunk.doc
+                at, value, anchor = _levels(chunk, n)
+                code, doc = _code(anchor, value), chunk.doc
                 gone = np.zeros(len(doc) + 1, np.int64)
                 if len(at):
                     order = np.lexsort((at, value, doc[at]))
@@ -153,7 +164,7 @@ def _finish(n: int, spans: bool):
                     for k in range(chunk.count):
                         if cut[chunk.first + k]:
                             part = slice(starts[k], starts[k + 1])
-                            again[part] |= np.isin(value[part], np.frombuffer(cut[chunk.first + k], np.uint64))
+                            again[part] |= np.isin(code[part], np.frombuffer(cut[chunk.first + k], np.uint64))
                     bad = at[again]
                     np.add.at(gone, bad, 1)
                     np.add.at(gone, bad + n, -1)
