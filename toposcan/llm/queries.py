@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from toposcan.llm import minhash_join, packing, quality_rules, sharding, substring_dedup, warc
+from toposcan.llm import decontaminate, minhash_join, packing, quality_rules, sharding, substring_dedup, warc
 from toposcan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "question_share", "answer_share")})
