@@ -86,7 +86,9 @@ def _words(first: int, parts: list[bytes], lower: bool) -> Words:
         raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     up, down = _powers(_BASE, len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[raw] * up[: len(raw)], out=sums[1:])
+    np.take(_TABLE, raw, out=sums[1:])
+    sums[1:] *= up[: len(raw)]
+    np.cumsum(sums, out=sums)
     value = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     return Words(first, data, start, end, bounds, value)
 
