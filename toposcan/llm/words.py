@@ -52,6 +52,13 @@ class Words:
     end: np.ndarray
     bounds: np.ndarray
     hash: np.ndarray
+    sums: np.ndarray | None = None
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word index, hash) of the first ``size`` bytes of every word that has as many."""
+        at = np.flatnonzero(self.end - self.start >= size)
+        begin = self.start[at]
+        return at, mix((self.sums[begin + size] - self.sums[begin]) * _powers(_BASE, len(self.sums))[1][begin] + np.uint64(size))
 
     @property
     def count(self) -> int:
@@ -90,7 +97,7 @@ def _words(first: int, parts: list[bytes], lower: bool) -> Words:
     sums[1:] *= up[: len(raw)]
     np.cumsum(sums, out=sums)
     value = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    return Words(first, data, start, end, bounds, value)
+    return Words(first, data, start, end, bounds, value, sums)
 
 
 def chunks(texts: list[str | None], lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[Words]:
