@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from toposcan.llm import decontaminate, html_blocks, minhash_join, packing, quality_rules, sharding, substring_dedup, toxicity, warc
+from toposcan.llm import decontaminate, html_blocks, line_dedup, minhash_join, packing, quality_rules, sharding, substring_dedup, toxicity, warc
 from toposcan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(fn):
     return fn
 
 
+# words of DuckDB's SQL that the oracles share
+BLANK = "[ \\t\\n\\x0B\\f\\r]"
+WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), x -> x <> '')"
+
+
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20, with_text=False)
@@ -40,6 +45,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ``source`` as their host."""
+    found = line_dedup.cleaned(table(spark, sf_dir, "documents"))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).cast("long")
+    digest = F.sha2(F.encode(F.coalesce(F.array_join("__kept", "\n"), F.lit("")), "UTF-8"), 256)
+    return found.select("__row.doc_id", size("__lines").alias("n_lines"), (size("__lines") - size("__kept")).alias("n_removed"), digest.alias("kept_sha256"))
+
+
 def vocabulary() -> tuple[str, str, str]:
     import public_tokenizers
 
@@ -73,3 +87,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumns({c: F.round(c, 6) for c in ("score", "question_share", "answer_share")})
+
+
+ORACLES["op5_line_dedup"] = f"""
+    WITH d AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), x -> regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')) AS cores,
+                      string_split(text, chr(10)) AS lines FROM documents),
+    seen AS (SELECT DISTINCT source, text, unnest(cores) AS core FROM d WHERE text IS NOT NULL),
+    totals AS (SELECT source, count(DISTINCT text) AS total FROM documents GROUP BY source),
+    bad AS (SELECT s.source, list(core) AS cores FROM (SELECT source, core, count(*) AS pages FROM seen WHERE core <> '' GROUP BY source, core) s
+            JOIN totals t ON s.source IS NOT DISTINCT FROM t.source WHERE pages >= {line_dedup.MIN_PAGES} AND pages > {line_dedup.RATIO} * total GROUP BY s.source),
+    kept AS (SELECT d.doc_id, d.lines, list_filter(d.lines, (x, i) -> NOT coalesce(list_contains(bad.cores, d.cores[i]), false)) AS kept
+             FROM d LEFT JOIN bad ON d.source IS NOT DISTINCT FROM bad.source)
+    SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(len(kept), 0))::BIGINT AS n_removed,
+           sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM kept"""

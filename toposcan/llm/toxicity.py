@@ -29,7 +29,7 @@ from toposcan.llm.common import stored, texts
 INSULTS = "idiot moron stupid loser clown pathetic worthless disgusting scum trash dumb imbecile filthy vermin bastard cretin".split()
 SAMPLE_ROWS = 20_000
 PREFIX_BYTES = (4, 5, 6, 7)
-MIN_PRECISION, MIN_SURPRISE, MAX_ENTRIES = 0.7, 5.0, 5_000
+MIN_PRECISION, MIN_SURPRISE, MAX_ENTRIES = 0.4, 5.0, 5_000
 NEAR_WORDS = 50
 COUNTS = ("listed", "learned", "kinds", "near", "words")
 
@@ -166,8 +166,8 @@ def votes() -> list[Column]:
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Probability of class toxic for each vote pattern (rows of -1, 0, 1), from how often the patterns occur.
 
-    Latent-class model with a tree of dependences among the voters given the class: first independent voters, then
-    the maximum spanning tree by conditional mutual information, and EM again with it.
+    Latent-class model with a tree of dependences among the voters given the class: the maximum spanning tree by mutual
+    information given the majority of votes, then EM with it. Voters taken as independent would make the class of those that agree.
     """
     value = patterns + 1
     voters = patterns.shape[1]
@@ -192,7 +192,6 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) ->
             post = new
         return post
 
-    post = fit(post)
     gain = np.zeros((voters, voters))
     for y in (0, 1):
         w = counts * (post if y else 1 - post)
