@@ -4,9 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from toposcan.llm import decontaminate, line_dedup, minhash_join, packing, quality_rules
 from toposcan.llm.common import stored, table
+from toposcan.llm.queries import vocabulary
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the table of rules."""
+    return quality_rules.keep_good(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that are boilerplate on their source."""
+    return line_dedup.drop_boilerplate(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts: five-word shingles, similarity of 0.8 or more."""
+    return minhash_join.keep_one(docs, width=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, placed in sequences of 2048."""
+    return packing.pack_documents(docs, vocabulary(), size=2048, end_id=1)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packed)]
 
 #: The last stage packs token ids, which SQL cannot make; tests hold run() against a brute-force version.
 ORACLE_SQL = None
