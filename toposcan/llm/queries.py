@@ -20,7 +20,7 @@ def query(fn):
 
 # words of DuckDB's SQL that the oracles share
 BLANK = "[ \\t\\n\\x0B\\f\\r]"
-WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), x -> x <> '')"
+WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}+'), lambda x: x <> '')"
 
 
 @query
@@ -90,13 +90,59 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 ORACLES["op5_line_dedup"] = f"""
-    WITH d AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), x -> regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')) AS cores,
+    WITH d AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')) AS cores,
                       string_split(text, chr(10)) AS lines FROM documents),
     seen AS (SELECT DISTINCT source, text, unnest(cores) AS core FROM d WHERE text IS NOT NULL),
     totals AS (SELECT source, count(DISTINCT text) AS total FROM documents GROUP BY source),
     bad AS (SELECT s.source, list(core) AS cores FROM (SELECT source, core, count(*) AS pages FROM seen WHERE core <> '' GROUP BY source, core) s
             JOIN totals t ON s.source IS NOT DISTINCT FROM t.source WHERE pages >= {line_dedup.MIN_PAGES} AND pages > {line_dedup.RATIO} * total GROUP BY s.source),
-    kept AS (SELECT d.doc_id, d.lines, list_filter(d.lines, (x, i) -> NOT coalesce(list_contains(bad.cores, d.cores[i]), false)) AS kept
+    kept AS (SELECT d.doc_id, d.lines, list_filter(d.lines, lambda x, i: NOT coalesce(list_contains(bad.cores, d.cores[i]), false)) AS kept
              FROM d LEFT JOIN bad ON d.source IS NOT DISTINCT FROM bad.source)
     SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(len(kept), 0))::BIGINT AS n_removed,
            sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM kept"""
+
+ORACLES["op1_substring_dedup"] = f"""
+    WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
+    spots AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d),
+    windows AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS w FROM spots),
+    marked AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY w) OR i > min(i) OVER (PARTITION BY w, doc_id) AS later FROM windows),
+    gone AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS k FROM marked WHERE later) GROUP BY doc_id)
+    SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+           sha256(array_to_string(list_filter(words, lambda x, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256
+    FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id"""
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLES["op7_minhash_near_dedup"] = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}')")} AS words FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN [words[1]] ELSE
+                    list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS grams FROM d),
+    grams AS (SELECT doc_id, unnest(grams) AS g FROM sets WHERE len(grams) > 0),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.grams) + len(y.grams) - n)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a AS node, a AS label FROM both_ways UNION SELECT e.b, r.label FROM reach r JOIN both_ways e ON e.a = r.node),
+    labels AS (SELECT node, min(label) AS label FROM reach GROUP BY node)
+    SELECT doc_id, len(grams)::BIGINT AS n_shingles, coalesce(label, doc_id) AS component_id, doc_id = coalesce(label, doc_id) AS kept
+    FROM sets LEFT JOIN labels ON node = doc_id"""
+
+_STOPS = ", ".join(f"'{w}'" for x in quality_rules.STOP_WORDS for w in {x, x.capitalize()})
+_MEASURES = {
+    "mean_word_chars": "word_chars / n_words", "symbols_per_word": "n_symbols / n_words", "exclamations_per_word": "bangs / n_words",
+    "stop_word_share": f"CASE WHEN n_words >= {quality_rules.STOP_WORDS_FROM} THEN stops / n_words END",
+    "duplicate_line_share": "n_dup_lines / n_lines", "bullet_line_share": "bullets / n_lines", "ellipsis_line_share": "dots / n_lines",
+}
+_PASSED = " AND ".join(f"coalesce({_MEASURES[r.measure]} {'>=' if r.kind == 'min' else '<='} {r.bound}, true)" for r in quality_rules.RULES)
+ORACLES["op9_quality_rules"] = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS body, {WORDS} AS words,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]')) AS lines FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d)),
+    twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY doc_id),
+    m AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                 (length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, length(body) - length(replace(body, '!', '')) AS bangs,
+                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+                 len(list_filter(words, lambda x: x IN ({_STOPS}))) AS stops, len(list_filter(lines, lambda x: regexp_matches(trim(x, ' '), '^[-*•‣]\\s'))) AS bullets,
+                 len(list_filter(lines, lambda x: regexp_matches(rtrim(x, ' '), '(\\.\\.\\.|…)$'))) AS dots
+          FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id),
+    judged AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEAT_PERCENT} * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSED} AS kept FROM judged"""
