@@ -283,8 +283,10 @@ def test_feature_cache_builds_once(spark):
 def test_merge_sites(spark):
     df = spark.createDataFrame([(1, "A", -10.0, -60.0, "acre"), (2, "B", -10.0010, -60.0, "acre"), (3, "C", -10.0021, -60.0, "x"), (4, "D", -11.0, -60.0, "y")],
                                "site_id BIGINT, site_name STRING, lat DOUBLE, lon DOUBLE, culture_tag STRING")
-    got = components.merge_sites(components.cluster_sites(df), lists=True).orderBy("cluster_id").collect()
-    assert [(r.site_name, r.n_merged_sites, r.original_names) for r in got] == [("A_cluster0", 3, ["A", "B", "C"]), ("D", 1, ["D"])]
+    got = components.merge_sites(components.cluster_sites(df)).orderBy("cluster_id").collect()
+    assert [(r.site_name, r.n_merged_sites) for r in got] == [("A_cluster0", 3), ("D", 1)]
+    members = components.cluster_members(components.cluster_sites(df)).orderBy("ord").collect()
+    assert [(r.cluster_id, r.ord, r.original_name) for r in members] == [(0, 1, "A"), (0, 2, "B"), (0, 3, "C"), (1, 4, "D")]
     assert aggregates.merge_summary(components.merge_sites(components.cluster_sites(df))).first().reduction_count == 2
 
 
@@ -350,3 +352,57 @@ def test_river_polar_picks_by_haversine(spark):
     got = {x.id: x for x in spatial.river_polar(p, r, 50.0).collect()}
     assert got[1].nearest_river == 10 and got[1].river_angle == pytest.approx(90.0)
     assert got[2].river_radius is None
+
+
+def test_ranks_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
+    from toposcan.operators import ordered as o
+
+    df = spark.range(3_000).select("id", (F.col("id") * 37 % 101).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("g"))
+    few = {r.id: r["rank"] for r in o.ordered(df, "x", "id").collect()}
+    grouped = {r.id: r["rank"] for r in o.ordered(df, "x", "id", by=["g"]).collect()}
+    assert len(grouped) == 3_000 and sorted(grouped[i] for i in grouped if i % 3 == 0) == list(range(1, 1_001))
+    monkeypatch.setattr(o, "BUCKET_ROWS", 40)
+    assert o._splits_for(3_000) == 75 > o.SPLITS
+    many = o.ordered(df, "x", "id")
+    assert {r.id: r["rank"] for r in many.collect()} == few
+    assert {r.id: r["rank"] for r in o.ordered(df, "x", "id", by=["g"]).collect()} == grouped
+    small, large = (sorted(map(tuple, o.quantiles(df, "x", {"q": 0.3}, ["g"], max_group=m).collect()), key=str) for m in (10_000, 0))
+    assert small == large and len(small) == 6
+
+
+def test_quality_of_any_labels(spark):
+    pts = [(i, [0.0, float(i)]) for i in range(4)] + [(i, [9.0, float(i)]) for i in range(4, 8)]
+    make = lambda a, b: spark.createDataFrame([(i, a if i < 4 else b, v) for i, v in pts], "id BIGINT, label INT, v ARRAY<DOUBLE>")
+    first, second = (similarity.cluster_quality(make(*x)).first() for x in ((0, 1), (-1, 70_000)))
+    assert first.silhouette > 0.6 and tuple(first) == pytest.approx(tuple(second))
+
+
+def test_leave_one_out_scores_every_row_of_a_larger_table(spark):
+    df = spark.range(1_200).select("id", F.concat(F.lit("s"), "id").alias("name"), F.array((F.col("id") % 40).cast("double"), (F.col("id") % 7).cast("double")).alias("v"))
+    got = similarity.loo_scores(df, trees=4, folds=2, fit_rows=300)
+    assert got.filter("composite_score is not null").count() == 1_200
+
+
+def test_splits_round_the_validation_part_up(spark):
+    one = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(4)], "site_id BIGINT, culture_tag STRING")
+    assert sampling.stratified_split(one, 0.3).filter("split = 'val'").count() == 2
+    skew = spark.createDataFrame([(i, "a" if i < 7 else "b") for i in range(10)], "site_id BIGINT, culture_tag STRING")
+    assert sorted(map(tuple, sampling.stratified_split(skew, 0.25).groupBy("culture_tag", "split").count().collect())) == [("a", "train", 5), ("a", "val", 2), ("b", "train", 2), ("b", "val", 1)]
+
+
+def test_negative_samples_are_as_many_as_wanted(spark):
+    one = spark.createDataFrame([(-60.0, -10.0)], "lon DOUBLE, lat DOUBLE")
+    box = (-60.02, -10.02, -59.98, -9.98)
+    assert sampling.negative_samples(one, box, ratio=6, min_km=2.0, max_attempts=2).count() == 6
+
+
+def test_trial_patterns_without_a_completed_trial(spark):
+    df = spark.createDataFrame([(1, "failed", None, 3)], "trial_id BIGINT, status STRING, score DOUBLE, n_candidates BIGINT")
+    assert trials.trial_patterns(df).first().convergence_issues is True
+
+
+def test_weights_need_a_closed_fence_and_tokens_the_engines_dialect(spark):
+    df = spark.createDataFrame([(1, '```json\n{"weights": {"rio": 0.5}}'), (2, '```json\n{"weights": {"rio": 0.5, "x": "0.3"}}\n```')], "k BIGINT, t STRING")
+    assert [tuple(r) for r in validate.parse_weights(df, "t", ["k"]).collect()] == [(2, "rio", 0.5)]
+    roots = spark.createDataFrame([("a", "(?P<n>rio)", "por"), ("b", "rio|igarap[eé]", "por"), ("c", "(rio", "por"), ("d", "r{,3}", "por")], "root STRING, regex_token STRING, lang STRING")
+    assert {r.root: bool(r.errors) for r in validate.validate_roots(roots).collect()} == {"a": True, "b": False, "c": True, "d": True}

@@ -31,23 +31,25 @@ def clip(col: Column, lo: float, hi: float) -> Column:
 def infer_type(df: DataFrame, roots: DataFrame, name: str = "normalized_name", max_roots: int = 5000) -> DataFrame:
     """Add ``type``: category of the first dictionary root (by ``ord``) that is a substring of the name.
 
-    The dictionary becomes one expression while it is small. A larger one is matched by
-    equality: names are cut to the substrings of the lengths that occur in the dictionary.
+    The dictionary becomes one expression up to ``max_roots`` rows. A larger one is matched by
+    equality: names are cut to the substrings of the lengths that occur in the dictionary. Rows and columns are the same.
     """
+    columns = [F.col(f"`{c}`") for c in df.columns if c != "type"]
     label = "category" if "category" in roots.columns else "root"
     first = roots.filter(F.col("root").isNotNull()).groupBy("root").agg(
         F.min_by(F.struct(F.col(label).alias("label")), "ord").alias("r"), F.min("ord").alias("ord"))
     known = first.select("root", "r.label", "ord").orderBy("ord").limit(max_roots + 1).collect()
     if len(known) <= max_roots:
         tries = [F.when(F.col(name).contains(r["root"]), F.lit(r["label"])) for r in known]
-        return df.withColumn("type", F.coalesce(*tries) if tries else F.lit(None).cast("string"))
+        return df.select(*columns, (F.coalesce(*tries) if tries else F.lit(None).cast("string")).alias("type"))
     lengths = [r[0] for r in first.select(F.length("root")).distinct().collect()]
     cut = lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i: F.substring(F.col(name), i, F.lit(n)))
+    df = df.drop("type")
     parts = df.select(name).distinct().withColumn("root", F.explode(F.array_distinct(F.concat(*[cut(n) for n in lengths]))))
     best = parts.join(first.select("root", "r.label", "ord"), "root").groupBy(name).agg(
         F.min_by("label", "ord").alias("type"))
-    return df.join(best, name, "left")
+    return df.join(best, name, "left").select(*columns, "type")
 
 
 def estimate_occurrence(df: DataFrame, kind: str = "type", dist: str = "dist_km") -> DataFrame:
@@ -150,28 +152,26 @@ def tag_categories(df: DataFrame, patterns: dict[str, str], cols: Sequence[str]
     return tagged.withColumn("root_category", F.element_at("root_categories", 1))
 
 
-def root_patterns(roots: DataFrame, categories: Sequence[str] | None = None, max_tokens: int = 10000) -> dict[str, str]:
-    """One whole-word pattern per category from a root dictionary (a small table; its size is checked)."""
+def root_patterns(roots: DataFrame, categories: Sequence[str] | None = None) -> dict[str, str]:
+    """One whole-word pattern per category from a root dictionary, for expressions; the dictionary's tokens are the pattern.
+
+    :func:`root_token_table` has the tokens as rows.
+    """
     d = roots.filter(F.col("regex_token").isNotNull())
     if categories is not None:
         d = d.filter(F.col("category").isin(list(categories)))
     first = d.groupBy("category", "regex_token").agg(F.min("ord").alias("ord"))
-    rows = first.orderBy("category", "ord").limit(max_tokens + 1).collect()
-    if len(rows) > max_tokens:
-        raise ValueError(f"more than {max_tokens} tokens do not fit one pattern")
+    rows = first.orderBy("category", "ord").collect()
     tokens: dict[str, list[str]] = {}
     for r in rows:
         tokens.setdefault(r["category"], []).append(r["regex_token"])
     return {c: text.vocabulary_pattern(t) for c, t in tokens.items()}
 
 
-def root_pattern_table(roots: DataFrame) -> DataFrame:
-    """``category, pattern``: the patterns as a table, tokens in dictionary order."""
-    first = roots.filter(F.col("regex_token").isNotNull()).groupBy("category", "regex_token").agg(
-        F.min("ord").alias("ord"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "regex_token"))), lambda s: s["regex_token"])
-    return first.groupBy("category").agg(
-        F.concat(F.lit(r"(?i)\b("), F.array_join(ordered, "|"), F.lit(r")\b")).alias("pattern"))
+def root_token_table(roots: DataFrame) -> DataFrame:
+    """``category, ord, token``: the distinct tokens of each category with their first place in the dictionary."""
+    named = roots.filter(F.col("regex_token").isNotNull())
+    return named.groupBy("category", F.col("regex_token").alias("token")).agg(F.min("ord").alias("ord")).select("category", "ord", "token")
 
 
 def year_window(df: DataFrame, min_year: int | None = None, max_year: int | None = None) -> DataFrame:

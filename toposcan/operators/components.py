@@ -11,18 +11,16 @@ from toposcan.functions.geodesic import geodesic_m
 from toposcan.operators.ordered import ordered
 from toposcan.session import cut
 
-MAX_ROUNDS = 100
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``a, b`` edges; the label is the smallest node of the component.
 
-    Alternating large-star and small-star steps: a logarithmic number of rounds even for long chains. Each
-    round is checkpointed; only a count and a checksum come to the driver.
+    Alternating large-star and small-star steps: a logarithmic number of rounds even for long chains, until a round
+    changes nothing. Each round is checkpointed; only a count and a checksum come to the driver.
     """
     e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     mark = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b"), F.col("m").alias("a")).filter("a <> b").distinct()
@@ -36,7 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
             roots = e.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
             return e.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(roots)
         mark = now
-    raise RuntimeError("components did not settle")
 
 
 def _gap(kind: str, sphere: bool) -> Column:
@@ -128,28 +125,26 @@ def cluster_sites(sites: DataFrame, max_m: float = 200.0, order: str = "site_id"
     return d.join(ids, "label").drop("label")
 
 
-def merge_sites(clustered: DataFrame, order: str = "site_id", lists: bool = False) -> DataFrame:
+def merge_sites(clustered: DataFrame, order: str = "site_id") -> DataFrame:
     """One row per cluster: name, number of members, mean position, tags of the first member.
 
-    ``lists`` adds the member names and coordinates as arrays; the members are the rows of
-    :func:`cluster_sites`, so leave it off where a cluster may be very large.
+    The members themselves are rows of :func:`cluster_members`, as a cluster may hold any share of the sites.
     """
     tags = [c for c in ("region", "culture_tag") if c in clustered.columns]
     aggs = [F.count(F.lit(1)).alias("n_merged_sites"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
             F.min_by(F.struct("site_name", *tags), order).alias("_f")]
-    if lists:
-        row = F.struct(F.col(order).alias("o"), "site_name", "lat", "lon")
-        aggs.append(F.array_sort(F.collect_list(row)).alias("_all"))
     d = clustered.groupBy("cluster_id").agg(*aggs)
     name = F.col("_f.site_name")
     merged = F.when(F.col("n_merged_sites") == 1, name).otherwise(F.concat(name, F.lit("_cluster"), F.col("cluster_id").cast("string")))
     cols = ["cluster_id", merged.alias("site_name"), "n_merged_sites", "lat", "lon", *[F.col(f"_f.{t}").alias(t) for t in tags]]
-    if lists:
-        cols += [F.transform("_all", lambda r: r["site_name"]).alias("original_names"),
-                 F.transform("_all", lambda r: F.struct(r["lat"].alias("lat"), r["lon"].alias("lon"))).alias("merged_coordinates")]
     return d.select(*cols)
 
 
+def cluster_members(clustered: DataFrame, order: str = "site_id") -> DataFrame:
+    """``cluster_id, ord, original_name, lat, lon``: the members of each cluster, a row each."""
+    return clustered.select("cluster_id", F.col(order).alias("ord"), F.col("site_name").alias("original_name"), "lat", "lon")
+
+
 def label_regions(cells: DataFrame, connectivity: int = 4, value: str = "value") -> DataFrame:
     """Regions of equal neighbouring cells: ``region_id, value, n_cells`` and bounding box; ids by first cell.
 

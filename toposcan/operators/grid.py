@@ -188,7 +188,7 @@ def resample(cells: DataFrame, target_size: float, how: str = "mean") -> DataFra
         "row": F.floor(F.col("cy") / target_size).cast("int"), "col": F.floor(F.col("cx") / target_size).cast("int")})
     if how == "nearest":
         off = F.hypot(F.col("cx") - (F.col("col") + 0.5) * target_size, F.col("cy") - (F.col("row") + 0.5) * target_size)
-        return d.groupBy("row", "col").agg(F.min_by("value", F.struct(F.round(off, 9).alias("d"), "cy", "cx")).alias("value"))
+        return d.groupBy("row", "col").agg(F.min_by("value", F.struct(F.round(off, 9).alias("d"), "cy", "cx", "value")).alias("value"))
     if how == "mode":
         n = d.groupBy("row", "col", "value").agg(F.count(F.lit(1)).alias("n"))
         return n.groupBy("row", "col").agg(F.min_by("value", F.struct((-F.col("n")).alias("n"), "value")).alias("value"))

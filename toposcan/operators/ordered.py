@@ -13,13 +13,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPLITS = 32
+MAX_SPLITS = 1024
+#: Rows that one bucket should not exceed by much; larger tables are cut into more buckets.
+BUCKET_ROWS = 2_000_000
 
 
 def _cuts(df: DataFrame, by: list[str], cols: dict[str, str], splits: int) -> DataFrame:
-    """Quantiles of the columns, as arrays of at most ``splits - 1`` distinct values."""
+    """Quantiles of the columns, as arrays of at most ``splits - 1`` distinct values; without groups also the row count."""
     probs = [i / splits for i in range(1, splits)]
     aggs = [F.array_distinct(F.percentile_approx(F.col(c), probs, 20 * splits)).alias(out) for out, c in cols.items()]
-    return df.groupBy(*by).agg(*aggs)
+    return df.groupBy(*by).agg(*aggs, *([] if by else [F.count(F.lit(1)).alias("_rows")]))
+
+
+def _splits_for(rows: int) -> int:
+    return min(MAX_SPLITS, max(SPLITS, -(-rows // BUCKET_ROWS)))
 
 
 def position(c: Column, cuts: list) -> Column:
@@ -43,23 +50,31 @@ def ordered(
     maxs: dict[str, str] | None = None,
     lags: dict[str, str] | None = None,
     by: list[str] | None = None,
-    splits: int = SPLITS,
+    splits: int | None = None,
 ) -> DataFrame:
     """Add ``rank`` (1..n by ``order``, then ``tie`` ascending; nulls last) and running columns.
 
     ``sums``, ``maxs`` and ``lags`` map an output name to a source column:
     inclusive running sum, inclusive running maximum, value of the row before.
-    ``tie`` must be numeric and make the order unique. With ``by`` (columns
-    without nulls) every group is numbered on its own, large groups in parts.
+    ``tie`` must be numeric and make the order unique. With ``by`` every group (null is a
+    group of its own) is numbered on its own, large groups in parts. The number of cuts follows the number of rows
+    (of the largest group) unless ``splits`` is given; ranks do not depend on it.
     """
     sums, maxs, lags, by = sums or {}, maxs or {}, lags or {}, by or []
-    cuts = _cuts(df, by, {"_oc": order, "_tc": tie}, splits)
+    picked = {"_oc": order, "_tc": tie}
+    if splits is None and by:
+        splits = _splits_for(largest_group(df, by))
+    cuts = _cuts(df, by, picked, splits or SPLITS)
     if by:
-        d = df.join(cuts, by)
+        d = null_safe_join(df, cuts, by)
         below = lambda k, c: sum(F.when(F.get(k, F.lit(i)) < F.col(c), 1).otherwise(0) for i in range(splits - 1))
         at_cut = F.array_contains("_oc", F.col(order))
     else:
-        d, known = df, {k: sorted(v or []) for k, v in cuts.first().asDict().items()}  # at most 2 * splits numbers
+        found = cuts.first().asDict()  # at most 2 * splits numbers and the row count
+        if splits is None:
+            splits = _splits_for(found["_rows"])
+            found = _cuts(df, by, picked, splits).first().asDict() if splits > SPLITS else found
+        d, known = df, {k: sorted(found[k] or []) for k in picked}
         below = lambda k, c: position(F.col(c), known[k])
         at_cut = F.col(order).isin(known["_oc"]) if known["_oc"] else F.lit(False)
     at_cut = F.coalesce(at_cut, F.lit(False))
@@ -93,7 +108,8 @@ def ordered(
     inside = Window.partitionBy(*keys).orderBy(*row_order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     # without groups there are at most splits * splits + 2 * splits offsets
-    out = d.join(offsets if by else F.broadcast(offsets), keys)
+    # (a broadcast of at most a million small rows)
+    out = null_safe_join(d, offsets, keys) if by else d.join(F.broadcast(offsets), keys)
     cols = [F.col(f"`{c}`") for c in df.columns]
     cols.append((F.row_number().over(inside) + F.col("_n0")).cast("bigint").alias(rank))
     for o, c in sums.items():
@@ -106,6 +122,13 @@ def ordered(
     return out.select(*cols)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys of the left side stay."""
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in keys]
+    return left.join(named, on).drop(*[f"__{k}" for k in keys])
+
+
 MAX_GROUP = 2_000_000  # values of one group that may share a buffer
 
 
@@ -130,7 +153,7 @@ def quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str] |
     # distinct values with their counts: position of the first and last copy of each value
     run = ordered(counts, "_v", "_v", by=by, sums={"_hi": "_n"})
     size = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    run = run.join(size, by) if by else run.withColumn("_size", size.scalar())
+    run = null_safe_join(run, size, by) if by else run.withColumn("_size", size.scalar())
     aggs = []
     for o, p in probs.items():
         pos = F.lit(p) * (F.col("_size") - 1)

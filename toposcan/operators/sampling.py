@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from toposcan.operators import spatial
 from toposcan.operators.candidates import year_window
 from toposcan.operators.ordered import ordered
+from toposcan.session import cut
 
 
 def hash_unit(seed: int | str, key: Column) -> Column:
@@ -39,6 +42,8 @@ def ratio_split(df: DataFrame, ratios: dict[str, float], seed: int = 42, key: st
 def stratified_split(df: DataFrame, val_ratio: float = 0.3, seed: int = 42, key: str = "site_id", by: str = "culture_tag") -> DataFrame:
     """Add ``split`` (train, val) with the same share in every stratum.
 
+    The validation part is ``val_ratio`` of all usable rows, rounded up. The train part is shared over the strata in proportion,
+    rounded down, and what is missing goes to the strata with the largest remainders (ties by their name).
     Strata with one row are left out; with fewer than four rows in the others the split is plain.
     """
     sizes = df.groupBy(by).agg(_n().alias("_nc")).filter(F.col(by).isNotNull())
@@ -46,11 +51,17 @@ def stratified_split(df: DataFrame, val_ratio: float = 0.3, seed: int = 42, key:
     rows = usable.agg(F.coalesce(F.sum("_nc"), F.lit(0))).first()[0]
     d = df.withColumn("_h", hash_unit(seed, F.col(key)))
     if rows >= 4:
-        d = ordered(d.join(usable, by), "_h", key, rank="_r", by=[by])
+        train = rows - math.ceil(rows * val_ratio)
+        shares = usable.withColumn("_share", F.col("_nc") * (train / rows)).withColumn("_t", F.floor("_share"))
+        missing = train - shares.agg(F.sum("_t")).first()[0]
+        named = shares.withColumns({"_rest": F.col("_share") - F.col("_t"), "_name": F.dense_rank().over(Window.orderBy(by))})  # a row per stratum
+        shares = ordered(named, "_rest", "_name", desc=True, rank="_place")
+        n_val = F.col("_nc") - F.col("_t") - F.when(F.col("_place") <= missing, 1).otherwise(0)
+        d = ordered(d.join(shares.select(by, n_val.alias("_n_val")), by), "_h", key, rank="_r", by=[by])
     else:
-        d = ordered(d, "_h", key, rank="_r").withColumn("_nc", df.agg(_n()).scalar())
-    n_val = F.floor(F.col("_nc") * val_ratio + 0.5)
-    return d.withColumn("split", F.when(F.col("_r") <= n_val, "val").otherwise("train")).select(*df.columns, "split")
+        n = df.agg(F.ceil(_n() * val_ratio))
+        d = ordered(d, "_h", key, rank="_r").withColumn("_n_val", n.scalar())
+    return d.withColumn("split", F.when(F.col("_r") <= F.col("_n_val"), "val").otherwise("train")).select(*df.columns, "split")
 
 
 def time_split(df: DataFrame, year: int, val_ratio: float | None = None, seed: int = 42, key: str = "site_id") -> DataFrame:
@@ -73,16 +84,27 @@ def negative_samples(positives: DataFrame, bbox: tuple[float, float, float, floa
                      seed: int = 42, max_attempts: int | None = None) -> DataFrame:
     """Uniform points in a box at least ``min_km`` (planar EPSG:3857) from every positive, ``ratio`` times as many.
 
-    ``max_attempts`` defaults to 10000, or three times the wanted number when that is more.
+    Attempts are numbered, and the first that are far enough count. They begin with ``max_attempts``, by default 10000 or three times
+    the wanted number when that is more, and are four times as many in each further round until enough are found. A box
+    in which a round of more than a million attempts finds nothing new has no room, which is an error.
     """
     want = int(positives.count() * ratio)
     attempts = max_attempts or max(10_000, 3 * want)
     w, s, e, n = bbox
-    pts = positives.sparkSession.range(attempts).withColumnsRenamed({"id": "attempt"}).withColumns({
-        "lon": w + (e - w) * hash_unit(f"{seed}x", F.col("attempt")), "lat": s + (n - s) * hash_unit(f"{seed}y", F.col("attempt"))})
-    p = spatial.with_planar(pts)
-    near = spatial.nearest_distance(p, spatial.as_segments(spatial.with_planar(positives)))
-    far = p.join(near, ["x", "y"]).filter(F.col("dist") >= min_km * 1000.0)
+    segments = spatial.as_segments(spatial.with_planar(positives))
+
+    def tried(count: int) -> DataFrame:
+        pts = positives.sparkSession.range(count).withColumnsRenamed({"id": "attempt"}).withColumns({
+            "lon": w + (e - w) * hash_unit(f"{seed}x", F.col("attempt")), "lat": s + (n - s) * hash_unit(f"{seed}y", F.col("attempt"))})
+        p = spatial.with_planar(pts)
+        return cut(p.join(spatial.nearest_distance(p, segments), ["x", "y"]).filter(F.col("dist") >= min_km * 1000.0))
+
+    far, before = tried(attempts), -1
+    while (found := far.count()) < want:
+        if found == before and attempts > 1_000_000:
+            raise ValueError(f"only {found} of {want} points at {min_km} km fit into the box")
+        before, attempts = found, 4 * attempts
+        far = tried(attempts)
     far = ordered(far.select("attempt", "lon", "lat", "dist"), "attempt", "attempt").filter(F.col("rank") <= want)
     return far.select(
         F.format_string("negative_%04d", F.col("rank") - 1).alias("site_name"), "lon", "lat", F.lit("negative").alias("culture_tag"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,16 +12,14 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from toposcan.operators import aggregates, vectors
 from toposcan.operators.dictionary import examples
-from toposcan.operators.ordered import quantiles, rank_by
+from toposcan.operators.ordered import ordered, quantiles, rank_by
 from toposcan.operators.textmine import cluster_first_word
 from toposcan.session import cut
 
-LOO_ROWS, LOO_BYTES = 5000, 64 << 20
-
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> dict[str, tuple[float, float]]:
     """Centre and width per column (nulls count as 0); a width of zero becomes 1. The model has one entry per column."""
@@ -145,39 +143,31 @@ def _depths(tree: tuple, x: np.ndarray, at: float = 0.0) -> np.ndarray:
     return out
 
 
-def _forest(x: np.ndarray, trees: int, seed: int) -> tuple[list, int]:
-    size = min(256, len(x))
-    out = []
-    for t in range(trees):
-        rng = np.random.default_rng([seed, t])
-        out.append(_grow(x[rng.permutation(len(x))[:size]], max(1, math.ceil(math.log2(max(size, 2)))), rng))
-    return out, size
-
-
 def _normality(forest: list, size: int, x: np.ndarray) -> np.ndarray:
     mean = np.mean([_depths(t, x) for t in forest], axis=0)
     return -np.power(2.0, -mean / (_path_norm(size) or 1.0))
 
 
-def isolation_score(test: DataFrame, train: DataFrame, trees: int = 100, contamination: float = 0.2, seed: int = 42) -> DataFrame:
+def isolation_score(test: DataFrame, train: DataFrame, trees: int = 100, contamination: float = 0.2, seed: int = 42,
+                    tree_rows: int = 256) -> DataFrame:
     """``id, anomaly_score`` = (decision + 1) / 2 of an isolation forest fitted on the known sites.
 
-    Every tree is grown in a task of its own from a hash sample of at most 256 rows, whatever the size of
-    the table; the trees (bounded by that) travel with the scoring job.
+    Every tree is grown in a task of its own from a hash sample of at most ``tree_rows`` rows (the algorithm's own
+    subsample), whatever the size of the table; the trees (bounded by that) travel with the scoring job.
     """
     n = train.count()
-    share = 2.0 if n <= 512 else 512.0 / n  # twice what is needed, cut to 256 in the tree's task
+    share = 2.0 if n <= 2 * tree_rows else 2.0 * tree_rows / n  # twice what is needed, cut in the tree's task
     order = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: order(t) < share)
     sample = train.select("id", "v", F.explode(picks).alias("tree")).withColumn("h", order(F.col("tree")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "id"]).head(256)
+        pdf = pdf.sort_values(["h", "id"]).head(tree_rows)
         x = np.array(pdf["v"].tolist(), dtype=float)
         tree = _grow(x, max(1, math.ceil(math.log2(max(len(x), 2)))), np.random.default_rng([seed, int(pdf["tree"].iat[0])]))
         return pd.DataFrame({"size": [len(x)], "tree": [pickle.dumps(tree)]})
 
-    grown = sample.groupBy("tree").applyInPandas(grow, "size INT, tree BINARY").collect()  # ``trees`` rows of at most 256 leaves
+    grown = sample.groupBy("tree").applyInPandas(grow, "size INT, tree BINARY").collect()  # ``trees`` rows of at most ``tree_rows`` leaves
     forest, size = [pickle.loads(r["tree"]) for r in grown], max(r["size"] for r in grown)
 
     @F.pandas_udf(T.DoubleType())
@@ -201,74 +191,40 @@ def similarity_scores(test: DataFrame, train: DataFrame, seed: int = 42) -> Data
     return composite_similarity(d)
 
 
-def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, runs: int = 10) -> np.ndarray:
-    best, best_cost = None, np.inf
-    for _ in range(runs):
-        c = x[[rng.integers(len(x))]]
-        while len(c) < k:  # k-means++ seeding
-            d2 = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
-            c = np.vstack([c, x[rng.choice(len(x), p=d2 / d2.sum())] if d2.sum() > 0 else x[rng.integers(len(x))]])
-        for _ in range(100):
-            d2 = ((x[:, None] - c[None]) ** 2).sum(2)
-            lab = d2.argmin(1)
-            new = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(k)])
-            if np.allclose(new, c):
-                break
-            c = new
-        if d2.min(1).sum() < best_cost:
-            best, best_cost = c, d2.min(1).sum()
-    return best
-
-
-def _mixture(x: np.ndarray, centers: np.ndarray, steps: int = 50) -> tuple:
-    """Gaussian mixture by expectation maximisation, started at k-means centres."""
-    k, d = centers.shape
-    lab = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
-    resp = np.eye(k)[lab]
-    for _ in range(steps):
-        mass = resp.sum(0) + 1e-10
-        means = resp.T @ x / mass[:, None]
-        covs = [(resp[:, j, None] * (x - means[j])).T @ (x - means[j]) / mass[j] + 1e-6 * np.eye(d) for j in range(k)]
-        w = mass / mass.sum()
-        logp = np.array([_log_density(x, [w[j]], [means[j]], [covs[j]]) for j in range(k)]).T
-        new = np.exp(logp - logp.max(1, keepdims=True))
-        new /= new.sum(1, keepdims=True)
-        if np.abs(new - resp).max() < 1e-4:
-            break
-        resp = new
-    return w, means, covs
-
-
-def loo_scores(train: DataFrame, k: int = 3, seed: int = 42, trees: int = 100, contamination: float = 0.2) -> DataFrame:
-    """Leave-one-out scores of the known sites: every model is refitted without the row it scores.
-
-    That is one fit per row, so it is for tables of known sites. The table travels with the job and its size is checked; the
-    fits are spread over the tasks.
+def loo_scores(train: DataFrame, k: int = 3, seed: int = 42, trees: int = 100, contamination: float = 0.2,
+               folds: int = 5, fit_rows: int = 100_000) -> DataFrame:
+    """Scores of the known sites by models fitted without the row they score.
+
+    Rows are dealt to ``folds`` folds (as many as rows when there are fewer) by the rank of a hash, and each fold is scored by models
+    fitted on the other folds. A fit takes at most ``fit_rows`` rows, the smallest by a hash of the id; every row is scored. The
+    nearest-neighbour score leaves out just the row itself.
     """
-    n, d = train.limit(LOO_ROWS + 1).agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    if n > LOO_ROWS or n * (d or 0) * 8 > LOO_BYTES:
-        raise ValueError(f"leave-one-out refits are for at most {LOO_ROWS} known sites")
-    pdf = train.select("id", "v").toPandas().sort_values("id")
-    ids, x = pdf["id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=float)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, name in zip(b["id"], b["name"]):
-                rest, own = x[ids != i], x[ids == i][:1]
-                rng = np.random.default_rng(seed)
-                centers = _lloyd(rest, min(k, len(rest)), rng)
-                cluster = math.exp(-np.sqrt(((centers - own) ** 2).sum(1)).min())
-                loglik = float(_log_density(own, *_mixture(rest, centers))[0]) if len(rest) >= 3 else None
-                forest, size = _forest(rest, trees, seed)
-                offset = np.percentile(_normality(forest, size, rest), 100 * contamination)
-                rows.append((i, name, cluster, loglik, (float(_normality(forest, size, own)[0]) - offset + 1) / 2))
-            yield pd.DataFrame(rows, columns=["id", "name", "cluster_score", "log_likelihood", "anomaly_score"])
-
-    spread = train.select("id", "name").repartition(min(max(n, 1), 200), "id")
-    models = spread.mapInPandas(score, "id BIGINT, name STRING, cluster_score DOUBLE, log_likelihood DOUBLE, anomaly_score DOUBLE")
+    rows = cut(train)
+    n = rows.count()
+    order = F.xxhash64(F.lit(seed), "id")
+    dealt = rows.withColumn("_h", order)
+    folds = min(folds, n)
+    if n <= 1_000:  # few rows: folds of equal size
+        dealt = ordered(dealt, "_h", "id", rank="_r").withColumn("_fold", F.pmod(F.col("_r"), F.lit(max(folds, 1)))).drop("_r")
+    else:
+        dealt = dealt.withColumn("_fold", F.pmod(F.col("_h"), F.lit(folds)))
+    dealt, out = cut(dealt), None
+    for fold in range(folds):
+        test, rest = dealt.filter(F.col("_fold") == fold), dealt.filter(F.col("_fold") != fold)
+        if n > fit_rows:
+            rest = rest.orderBy("_h", "id").limit(fit_rows)
+        rest, test = cut(rest.select("id", "name", "v")), test.select("id", "name", "v")
+        size = rest.count()
+        if size:
+            d = test.select("id", "name").join(cluster_score(test, rest, min(k, size), seed), "id")
+            mixture = gmm_score(test, rest, k, seed).select("id", "log_likelihood") if size >= 3 else test.select("id", F.lit(None).cast("double").alias("log_likelihood"))
+            part = d.join(mixture, "id").join(isolation_score(test, rest, trees, contamination, seed), "id")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        zero = F.lit(None).cast("double")
+        out = train.select("id", "name", zero.alias("cluster_score"), zero.alias("log_likelihood"), zero.alias("anomaly_score"))
     knn = vectors.knn_score(train.select("id", "v"), train.select("id", "v"), leave_one_out=True)
-    d = models.join(knn, "id")
+    d = out.join(knn, "id", "left")
     return composite_similarity(d.withColumn("gaussian_score", F.coalesce(F.exp("log_likelihood"), "knn_score")))
 
 
@@ -283,11 +239,18 @@ def pca2(vec: DataFrame) -> tuple[DataFrame, list[float]]:
     return out.select("id", F.get("p", F.lit(0)).alias("pc1"), F.get("p", F.lit(1)).alias("pc2")), list(model.explainedVariance.toArray())
 
 
+def _dense(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with their labels numbered 0, 1, ... in the order of the labels, and the number of labels."""
+    names = cut(ordered(rows.select(F.col("label").cast("long").alias("label")).distinct(), "label", "label", rank="_n"))
+    dense = rows.withColumn("label", F.col("label").cast("long")).join(names, "label").drop("label")
+    return dense.withColumn("label", (F.col("_n") - 1).cast("int")).drop("_n"), names.count()
+
+
 def silhouette(rows: DataFrame) -> DataFrame:
-    """Mean silhouette (Euclidean) of ``id, label, v``; clusters of one row count 0."""
-    rows = rows.select("id", F.col("label").cast("int").alias("label"), "v")
+    """Mean silhouette (Euclidean) of ``id, label, v``; labels are any integers, clusters of one row count 0."""
+    rows, n_labels = _dense(rows.select("id", "label", "v"))
+    rows = cut(rows)
     sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    n_labels = (rows.agg(F.max("label")).first()[0] or 0) + 1
     sums = vectors.block_sums(rows, n_labels).join(sizes.withColumnRenamed("label", "other"), "other")
     own = F.col("label") == F.col("other")
     per = sums.groupBy("id").agg(
@@ -297,31 +260,34 @@ def silhouette(rows: DataFrame) -> DataFrame:
     return per.agg(F.avg(s).alias("silhouette"))
 
 
-def _scatter(rows: DataFrame, max_labels: int = 10_000) -> tuple[int, list[tuple[int, np.ndarray, float, float]]]:
-    """Rows, and per label: size, centre, within sum of squares, mean distance to the centre."""
-    vec = rows.select("id", "label", "v", array_to_vector("v").alias("f"))
+def _square(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def _scatter(rows: DataFrame) -> DataFrame:
+    """Per label: ``n`` rows, centre ``c``, within sum of squares ``w``, mean distance ``s`` to the centre."""
+    vec = rows.select("label", "v", array_to_vector("v").alias("f"))
     centers = vec.groupBy("label").agg(Summarizer.mean(F.col("f")).alias("c"), F.count(F.lit(1)).alias("n"))
-    if centers.limit(max_labels + 1).count() > max_labels:
-        raise ValueError(f"more than {max_labels} clusters")
-    c = centers.select("label", "n", vector_to_array("c").alias("c"))
-    diff = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    d = vec.select("label", "v").join(F.broadcast(c), "label").withColumn("d2", diff)
-    stats = d.groupBy("label").agg(F.sum("d2").alias("w"), F.avg(F.sqrt("d2")).alias("s")).join(c, "label").orderBy("label").collect()
-    per = [(r["n"], np.array(r["c"]), r["w"], r["s"]) for r in stats]
-    return sum(p[0] for p in per), per
+    centers = cut(centers.select("label", "n", vector_to_array("c").alias("c")))
+    d = vec.select("label", "v").join(centers.select("label", "c"), "label").withColumn("d2", _square("v", "c"))
+    stats = d.groupBy("label").agg(F.sum("d2").alias("w"), F.avg(F.sqrt("d2")).alias("s"))
+    return cut(centers.join(stats, "label"))
 
 
 def cluster_quality(rows: DataFrame) -> DataFrame:
-    """Silhouette, Calinski-Harabasz and Davies-Bouldin of ``id, label, v``: one row."""
-    n, per = _scatter(rows)
-    k = len(per)
-    mean = sum(p[0] * p[1] for p in per) / n
-    between, within = sum(p[0] * ((p[1] - mean) ** 2).sum() for p in per), sum(p[2] for p in per)
-    ch = between / (k - 1) / (within / (n - k)) if within else 1.0
-    c, s = np.array([p[1] for p in per]), np.array([p[3] for p in per])
-    gap = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) + np.diag(np.full(k, np.inf))
-    db = float(((s[:, None] + s[None]) / gap).max(axis=1).mean())
-    return silhouette(rows).withColumns({"calinski_harabasz": F.lit(float(ch)), "davies_bouldin": F.lit(db)})
+    """Silhouette, Calinski-Harabasz and Davies-Bouldin of ``id, label, v``: one row.
+
+    Davies-Bouldin compares every two centres, by its definition.
+    """
+    per = _scatter(rows)
+    total = rows.select(array_to_vector("v").alias("f")).agg(Summarizer.mean(F.col("f")).alias("m")).select(vector_to_array("m").alias("m")).first()["m"]
+    mean = F.array(*[F.lit(float(x)) for x in total])
+    r = per.withColumn("m", mean).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("w").alias("within"), F.sum(F.col("n") * _square("c", "m")).alias("between")).first()
+    ch = r["between"] / (r["k"] - 1) / (r["within"] / (r["n"] - r["k"])) if r["within"] else 1.0
+    other = per.select(F.col("label").alias("label2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
+    pairs = per.select("label", "c", "s").join(other, F.col("label") != F.col("label2"))
+    db = pairs.groupBy("label").agg(F.max((F.col("s") + F.col("s2")) / F.sqrt(_square("c", "c2"))).alias("r")).agg(F.avg("r")).first()[0]
+    return silhouette(rows).withColumns({"calinski_harabasz": F.lit(float(ch)), "davies_bouldin": F.lit(db).cast("double")})
 
 
 def cluster_vectors(vec: DataFrame, k: int | None = None, k_range: tuple[int, int] = (2, 10), seed: int = 42) -> tuple[DataFrame, int]:

@@ -107,7 +107,10 @@ def _completed(trials: DataFrame) -> DataFrame:
 
 
 def trial_patterns(trials: DataFrame) -> DataFrame:
-    """Zero-candidate and negative-score rates, stagnation and score distribution of the completed trials."""
+    """Zero-candidate and negative-score rates, stagnation and score distribution of the completed trials.
+
+    Without a completed trial nothing converges: that is a convergence issue too.
+    """
     ok = _completed(trials)
     zero = F.coalesce(F.try_divide(F.count_if(F.col("n_candidates") == 0), _n()), F.lit(1.0))
     stats = ok.agg(
@@ -115,7 +118,8 @@ def trial_patterns(trials: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.count_if(F.col("score") < 0), _n()), F.lit(0.0)).alias("negative_score_rate"),
         F.max("score").alias("best_score"), F.min("score").alias("min_score"), F.avg("score").alias("mean_score"),
         F.stddev_pop("score").alias("std_score"))
-    return one_row(stats, recent_vs_earlier(ok).select(F.col("stagnated").alias("convergence_issues")))
+    return one_row(stats, recent_vs_earlier(ok).select(F.col("stagnated").alias("convergence_issues"))).withColumn(
+        "convergence_issues", F.col("convergence_issues") | (F.col("n") == 0))
 
 
 def trial_stats(trials: DataFrame) -> DataFrame:

@@ -32,22 +32,20 @@ def parse_weights(df: DataFrame, col: str, keys: Sequence[str]) -> DataFrame:
     text = F.trim(F.col(col))
     fenced = F.regexp_extract(text, r"(?s)```json[^\n]*\n(.*?)```", 1)
     bare = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    body = F.when(text.contains("```json") & (fenced != ""), fenced).when(bare != "", bare).otherwise(text)
-    doc = F.from_json(body, "struct<weights: map<string,string>>")
-    value = F.col("_v").try_cast("double")
+    # a fence that is never closed holds no answer
+    body = F.when(text.contains("```json"), F.nullif(fenced, F.lit(""))).when(bare != "", bare).otherwise(text)
+    doc = F.from_json(body, "struct<weights: map<string,variant>>")
+    value = F.try_variant_get("_v", "$", "double")
     return (
-        df.withColumn("_body", body)
-        .select(*keys, F.col("_body"), F.explode(doc["weights"]).alias("root", "_v"))
-        .withColumn("_kind", is_json_number(F.col("_body"), F.col("root")))
-        .filter(value.isNotNull() & F.col("_kind"))
+        df.select(*keys, F.explode(doc["weights"]).alias("root", "_v"))
+        .filter(is_json_number(F.col("_v")) & value.isNotNull())
         .select(*keys, "root", F.greatest(F.lit(0.1), F.least(F.lit(1.0), value)).alias("weight"))
     )
 
 
-def is_json_number(body: Column, root: Column) -> Column:
-    """True where ``weights.root`` is a JSON number; a quoted number is a string and no weight."""
-    doc = F.from_json(body, "struct<weights: map<string,variant>>")
-    kind = F.schema_of_variant(F.element_at(doc["weights"], root))
+def is_json_number(value: Column) -> Column:
+    """True where a variant is a JSON number; a quoted number is a string and no weight."""
+    kind = F.schema_of_variant(value)
     return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
 
 
@@ -102,9 +100,15 @@ def validate_actions(df: DataFrame, action: str = "action", params: str = "param
     return df.withColumn("params_valid", F.coalesce(out, F.lit(False)))
 
 
+#: Constructs that Python's regular expressions have and the engine's lack: named groups with P, conditions, {,n}.
+NOT_JAVA = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?P|\(\?\(|\{,)")
+
+
 @F.pandas_udf(T.BooleanType())
 def _compiles(tokens: pd.Series) -> pd.Series:
     def ok(token: str | None) -> bool:
+        if NOT_JAVA.search(token or ""):
+            return False
         try:
             re.compile(token or "")
             return True

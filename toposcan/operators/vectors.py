@@ -39,18 +39,17 @@ def _matrix(col: pd.Series, metric: str) -> np.ndarray:
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, metric: str, skip_self: bool) -> pd.DataFrame:
     """The k best of ``ids`` for every query; larger scores are better (a distance is negated)."""
     frames = []
-    for lo in range(0, len(q), 256):
-        part, part_ids = q[lo:lo + 256], q_ids[lo:lo + 256]
-        if metric == "cosine":
-            s = part @ m.T
-        else:
-            s = -np.sqrt(np.maximum(0.0, ((part[:, None, :] - m[None, :, :]) ** 2).sum(axis=2))) if len(m) * part.shape[0] * part.shape[1] < 5e7 \
-                else -np.sqrt(np.maximum(0.0, (part**2).sum(1)[:, None] - 2 * part @ m.T + (m**2).sum(1)[None, :]))
+    step = 256 if metric == "cosine" else max(1, min(256, int(2e7 // max(1, m.size))))
+    for lo in range(0, len(q), step):
+        part, part_ids = q[lo:lo + step], q_ids[lo:lo + step]
+        # distances by differences at every size: the expanded square cancels for near vectors
+        s = part @ m.T if metric == "cosine" else -np.sqrt(((part[:, None, :] - m[None, :, :]) ** 2).sum(axis=2))
         s = np.round(s, 9)  # copies of a vector tie, whatever the order of summation
         if skip_self:
             s[part_ids[:, None] == ids[None, :]] = -np.inf
         for row, qid in zip(s, part_ids):
-            take = np.lexsort((ids, -row))[:k]
+            good = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+            take = good[np.lexsort((ids[good], -row[good]))[:k]]  # ties at the k-th place are decided by id
             take = take[np.isfinite(row[take])]
             frames.append((np.full(len(take), qid), ids[take], row[take]))
     if not frames:

@@ -14,7 +14,7 @@ from toposcan.plans.catalog_metrics import ALL_METRICS, DISTANCE, feature_sql, r
 from toposcan.plans.catalog_names import NORM, PATTERNS, WEIGHTED, WEIGHTS
 from toposcan.plans.catalog_space import KNOWN_CAND, PLANAR_PAIRS
 from toposcan.plans.catalog_trials import ALL_FAILURES, OK_RUN, RECENT, RUN, grid, shifted, space, with_params
-from toposcan.plans.catalog_words import NEG_BOX, STRAT
+from toposcan.plans.catalog_words import NEG_BOX, STRAT_EARLY
 from toposcan.plans.registry import q6, query, rounded
 from toposcan.plans.views import d
 from toposcan.session import scratch
@@ -277,7 +277,7 @@ def _(v):
 @query("ml7_leave_one_out")
 def _(v):
     """Refitted models for every known site (cluster, mixture and forest scores)."""
-    f = agg.engineer_features(half(v, 1))
+    f = agg.engineer_features(v("v_site_toponym"))
     cols = [c for c in f.columns if c != "site_name"]
     x = sim.to_vectors(sim.scale(f, cols), cols)
     return sim.loo_scores(x, trees=50).select("name", *[F.round(c, 6).alias(c) for c in ("knn_score", "cluster_score", "anomaly_score", "composite_score")])
@@ -299,7 +299,7 @@ WORD_STEMS = """
 
 
 @query("pip6_grow_dictionary", f"""
-    WITH r AS (SELECT * FROM {{v_root}} WHERE lang <> 'tup'),
+    WITH r AS (SELECT * FROM {{v_root}}),
     a AS (SELECT pattern FROM ({WORD_STEMS}) GROUP BY pattern HAVING count(*) >= 2 AND pattern NOT IN (SELECT lower(root) FROM r)
           AND NOT (starts_with(pattern, 'de') OR starts_with(pattern, 'da') OR starts_with(pattern, 'do') OR starts_with(pattern, 'rua') OR starts_with(pattern, 'avenida')
                    OR starts_with(pattern, 'travessa') OR starts_with(pattern, 'estrada'))),
@@ -308,7 +308,7 @@ WORD_STEMS = """
     SELECT root, 0.6e0 FROM p WHERE root IN (SELECT pattern FROM a) AND lower(root) NOT IN (SELECT lower(root) FROM r)""")
 def _(v):
     """Patterns of the part names; the answers call those of even length small rivers and leave out a field otherwise."""
-    roots = v("v_root").filter("lang <> 'tup'").withColumn("weight", F.lit(1.0))
+    roots = v("v_root").withColumn("weight", F.lit(1.0))
     words = v("v_word")
     asked = flows.propose_roots(words, roots)
     answers = stem_names(words).select("pattern").distinct().select(
@@ -319,7 +319,7 @@ def _(v):
 
 
 @query("pip7_split_dataset", f"""
-    WITH s AS (SELECT site_id, split FROM ({STRAT} WHERE discovery_year < 2012) UNION ALL SELECT site_id, 'test_time' FROM {{v_site}} WHERE discovery_year >= 2012)
+    WITH s AS (SELECT site_id, split FROM ({STRAT_EARLY}) UNION ALL SELECT site_id, 'test_time' FROM {{v_site}} WHERE discovery_year >= 2012)
     SELECT split, true AS is_positive, count(*) AS n FROM s GROUP BY 1
     UNION ALL SELECT 'negative', false, 2 * count(*) FROM {{v_site}}""")
 def _(v):

@@ -154,13 +154,12 @@ HOW = {"mean": q6("avg(value)"), "max": "max(value)", "min": "min(value)", "medi
     UNION ALL SELECT 'mode', row, col, value FROM (SELECT row, col, value, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, value) AS rn FROM (
         SELECT {TARGET}, value, count(*) AS n FROM {CENTRED} WHERE value IS NOT NULL GROUP BY 1, 2, 3)) WHERE rn = 1
     UNION ALL SELECT 'nearest', row, col, value FROM (SELECT row, col, value, row_number() OVER (PARTITION BY row, col ORDER BY
-        round(sqrt(pow(cx - (col + 0.5e0) * 0.37e0, 2) + pow(cy - (row + 0.5e0) * 0.37e0, 2)), 9), cy, cx) AS rn FROM (SELECT {TARGET}, cx, cy, value FROM {CENTRED} WHERE value IS NOT NULL AND tile = 0)) WHERE rn = 1""")
+        round(sqrt(pow(cx - (col + 0.5e0) * 0.37e0, 2) + pow(cy - (row + 0.5e0) * 0.37e0, 2)), 9), cy, cx, value) AS rn FROM (SELECT {TARGET}, cx, cy, value FROM {CENTRED} WHERE value IS NOT NULL )) WHERE rn = 1""")
 def _(v):
     c = centred(v)
     out = None
     for how in [*HOW, "mode", "nearest"]:
-        src = c.filter("tile = 0") if how == "nearest" else c
-        part = grid.resample(src, 0.37, how).select(F.lit(how).alias("how"), "row", "col", r6("value").alias("value"))
+        part = grid.resample(c, 0.37, how).select(F.lit(how).alias("how"), "row", "col", r6("value").alias("value"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -255,12 +254,16 @@ def _(v):
 
 
 @query("ml1_merge_sites", CLUSTERS + f""" SELECT cluster_id, arg_min(site_name, site_id) || CASE WHEN count(*) > 1 THEN '_cluster' || CAST(cluster_id AS VARCHAR) ELSE '' END AS site_name,
-    count(*) AS n_merged_sites, {q6("avg(lat)")} AS lat, {q6("avg(lon)")} AS lon, arg_min(culture_tag, site_id) AS culture_tag,
-    string_agg(site_name, ',' ORDER BY site_id) AS original_names FROM m JOIN {{v_site}} USING (site_id) GROUP BY cluster_id""")
+    count(*) AS n_merged_sites, {q6("avg(lat)")} AS lat, {q6("avg(lon)")} AS lon, arg_min(culture_tag, site_id) AS culture_tag
+    FROM m JOIN {{v_site}} USING (site_id) GROUP BY cluster_id""")
 def _(v):
-    m = comp.merge_sites(comp.cluster_sites(v("v_site"), 28000.0), lists=True)
-    return rounded(m, "lat", "lon").select("cluster_id", "site_name", "n_merged_sites", "lat", "lon", "culture_tag",
-                                           F.array_join("original_names", ",").alias("original_names"))
+    m = comp.merge_sites(comp.cluster_sites(v("v_site"), 28000.0))
+    return rounded(m, "lat", "lon").select("cluster_id", "site_name", "n_merged_sites", "lat", "lon", "culture_tag")
+
+
+@query("ml1_cluster_members", CLUSTERS + " SELECT cluster_id, site_id AS ord, site_name AS original_name, lat, lon FROM m JOIN {v_site} USING (site_id)")
+def _(v):
+    return comp.cluster_members(comp.cluster_sites(v("v_site"), 28000.0))
 
 
 @query("agg35_merge_summary", f"""

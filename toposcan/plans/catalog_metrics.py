@@ -206,14 +206,14 @@ def _(v):
 
 @query("agg19_range_objective", f"""
     WITH c AS (SELECT count(*) AS n, stddev_samp(lat) AS sa, stddev_samp(lon) AS so, min(lat) AS a0, max(lat) AS a1, min(lon) AS o0,
-                      max(lon) AS o1 FROM (SELECT * FROM {{v_cand}} WHERE root = 'rio')),
+                      max(lon) AS o1 FROM {{v_cand}}),
     k AS (SELECT count(*) FILTER (WHERE lat BETWEEN a0 AND a1 AND lon BETWEEN o0 AND o1) / count(*) AS share FROM {{v_site}}, c),
     s AS (SELECT n, CASE WHEN n = 0 THEN 0 WHEN n < 50 THEN n / 50 WHEN n <= 500 THEN 1 ELSE greatest(0.1, 1 - (n - 500) / 1000) END AS b,
                  least(1, (sa + so) / 2) AS v, least(1, share * 2) AS u FROM c, k)
     SELECT n, {q6("b")} AS count_score, {q6("v")} AS diversity_score, {q6("u")} AS validation_score,
            {q6("0.4 * b + 0.3 * v + 0.3 * u")} AS objective FROM s""")
 def _(v):
-    return round_all(metrics.range_objective(v("v_cand").filter("root = 'rio'"), v("v_site")))
+    return round_all(metrics.range_objective(v("v_cand"), v("v_site")))
 
 
 @query("agg20_polar_summary", f"""
@@ -283,12 +283,12 @@ def _(v):
     return round_all(agg.pair_corr(scored(v), [("dist_km", "total_score"), ("occ_pct", "total_score"), ("dist_km", "occ_pct")]))
 
 
-@query("agg26_null_counts", """
-    SELECT 'river_radius' AS "column", count(*) - count(river_radius) AS n_null FROM {v_site_toponym} UNION ALL
-    SELECT 'radius', count(*) - count(radius) FROM {v_site_toponym} UNION ALL
-    SELECT 'site_name', count(*) - count(site_name) FROM {v_site_toponym}""")
+ST_COLS = "site_name toponym_name radius angle river_radius river_angle nearest_river culture site_lat site_lon".split()
+
+
+@query("agg26_null_counts", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null FROM {{v_site_toponym}}" for c in ST_COLS))
 def _(v):
-    return agg.null_counts(v("v_site_toponym").select("river_radius", "radius", "site_name"))
+    return agg.null_counts(v("v_site_toponym"))
 
 
 # ---- classification, regression, grids -----------------------------------------------------------

@@ -261,10 +261,9 @@ def _(v):
 
 
 @query("prj5_root_patterns", """
-    WITH f AS (SELECT category, regex_token, min(ord) AS ord FROM {v_root} WHERE regex_token IS NOT NULL GROUP BY 1, 2)
-    SELECT category, '(?i)\\b(' || string_agg(regex_token, '|' ORDER BY ord) || ')\\b' AS pattern FROM f GROUP BY category""")
+    SELECT category, min(ord) AS ord, regex_token AS token FROM {v_root} WHERE regex_token IS NOT NULL GROUP BY category, regex_token""")
 def _(v):
-    return cand.root_pattern_table(v("v_root"))
+    return cand.root_token_table(v("v_root"))
 
 
 CATS_SQL = """

@@ -174,21 +174,21 @@ def _(v):
     return dic.lookup_candidates(similar, e).select("conv_id", "turn", "canonical_name", "first_ord")
 
 
-TAGS = "SELECT p_name AS variant_name, count(*) AS n_parts FROM {part} WHERE p_size > 40 GROUP BY p_name"
+TAGS = "SELECT p_name AS variant_name, count(*) AS n_parts FROM {part} GROUP BY p_name"
 
 
 @query("jn11_attach_tags", f"SELECT ord, n_parts FROM {{v_word}} w LEFT JOIN ({TAGS}) t ON w.name = t.variant_name")
 def _(v):
-    tags = v("part").filter("p_size > 40").groupBy(F.col("p_name").alias("variant_name")).agg(F.count(F.lit(1)).alias("n_parts"))
+    tags = v("part").groupBy(F.col("p_name").alias("variant_name")).agg(F.count(F.lit(1)).alias("n_parts"))
     return dic.attach_tags(v("v_word"), tags).select("ord", "n_parts")
 
 
 @query("jn12_rank_with_location", f"""
     SELECT s.site_name, c.n, {q6("c.center_lat")} AS center_lat FROM (SELECT 'Site_' || CAST(s_suppkey AS VARCHAR) AS site_name FROM {{supplier}}) s
-    LEFT JOIN (SELECT site_name, count(*) AS n, avg(site_lat) AS center_lat FROM {{v_site_toponym}} WHERE radius < 0.2 GROUP BY 1) c USING (site_name)""")
+    LEFT JOIN (SELECT site_name, count(*) AS n, avg(site_lat) AS center_lat FROM {{v_site_toponym}} GROUP BY 1) c USING (site_name)""")
 def _(v):
     ranking = v("supplier").select(F.concat(F.lit("Site_"), F.col("s_suppkey").cast("string")).alias("site_name"))
-    centers = agg.site_centers(v("v_site_toponym").filter("radius < 0.2"))
+    centers = agg.site_centers(v("v_site_toponym"))
     return rounded(dic.rank_with_location(ranking, centers), "center_lat").select("site_name", F.col("n_toponyms").alias("n"), "center_lat")
 
 
@@ -232,9 +232,17 @@ def _(v):
     return sampling.ratio_split(v("v_site"), {"train": 0.6, "val": 0.2, "test": 0.2}, years={"test": (2000, None)}).select("site_id", "split")
 
 
-STRAT = f"""
-    SELECT site_id, culture_tag, discovery_year, CASE WHEN row_number() OVER (PARTITION BY culture_tag ORDER BY {unit(42, 'site_id')}, site_id)
-           <= floor(count(*) OVER (PARTITION BY culture_tag) * 0.3e0 + 0.5) THEN 'val' ELSE 'train' END AS split FROM {{v_site}}"""
+def strat(where: str = "") -> str:
+    """30 % for validation, rounded up over all rows; train parts rounded down, what is missing goes to the largest remainders."""
+    return f"""
+    SELECT site_id, culture_tag, discovery_year, CASE WHEN r <= c - t THEN 'val' ELSE 'train' END AS split FROM (
+      SELECT *, row_number() OVER (PARTITION BY culture_tag ORDER BY {unit(42, 'site_id')}, site_id) AS r FROM {{v_site}} {where}) JOIN (
+      SELECT culture_tag, c, f + CASE WHEN row_number() OVER (ORDER BY share - f DESC, culture_tag) <= train - sum(f) OVER () THEN 1 ELSE 0 END AS t FROM (
+        SELECT *, floor(share) AS f FROM (SELECT *, n - ceil(n * 0.3e0) AS train, c * ((n - ceil(n * 0.3e0)) / n) AS share FROM (
+          SELECT culture_tag, count(*) AS c, sum(count(*)) OVER () AS n FROM {{v_site}} {where} GROUP BY culture_tag HAVING count(*) > 1)))) USING (culture_tag)"""
+
+
+STRAT, STRAT_EARLY = strat(), strat("WHERE discovery_year < 2012")
 
 
 @query("smp2_stratified_split", f"SELECT site_id, split FROM ({STRAT})")
@@ -243,7 +251,7 @@ def _(v):
 
 
 @query("smp3_time_split", f"""
-    SELECT site_id, split FROM ({STRAT} WHERE discovery_year < 2012) UNION ALL SELECT site_id, 'test_time' FROM {{v_site}} WHERE discovery_year >= 2012""")
+    SELECT site_id, split FROM ({STRAT_EARLY}) UNION ALL SELECT site_id, 'test_time' FROM {{v_site}} WHERE discovery_year >= 2012""")
 def _(v):
     return sampling.time_split(v("v_site"), 2012, 0.3).select("site_id", "split")
 
