@@ -406,3 +406,23 @@ def test_weights_need_a_closed_fence_and_tokens_the_engines_dialect(spark):
     assert [tuple(r) for r in validate.parse_weights(df, "t", ["k"]).collect()] == [(2, "rio", 0.5)]
     roots = spark.createDataFrame([("a", "(?P<n>rio)", "por"), ("b", "rio|igarap[eé]", "por"), ("c", "(rio", "por"), ("d", "r{,3}", "por")], "root STRING, regex_token STRING, lang STRING")
     assert {r.root: bool(r.errors) for r in validate.validate_roots(roots).collect()} == {"a": True, "b": False, "c": True, "d": True}
+
+
+def test_pairs_across_the_date_line(spark):
+    a = spark.createDataFrame([(1, 179.99, 5.0), (2, -179.99, 5.0), (3, 0.0, 5.0)], "site_id BIGINT, lon DOUBLE, lat DOUBLE")
+    assert [(r.a, r.b) for r in spatial.close_pairs(a, 3_000.0).collect()] == [(1, 2)]
+    t = a.withColumnRenamed("site_id", "feature_id").filter("feature_id = 2")
+    near = spatial.toponyms_around(a.filter("site_id = 1"), t, 3.0).collect()
+    assert len(near) == 1 and near[0].distance_km == pytest.approx(2.22, abs=0.02)
+
+
+def test_unreadable_files_are_named(spark):
+    files = spark.createDataFrame([("a.kml", bytearray(b"<kml></kml>")), ("b.kmz", bytearray(b"PK\x03\x04 broken")), ("c.kml", bytearray(b"<kml>"))], "path STRING, content BINARY")
+    assert {r.path for r in placemarks.unreadable_files(files).collect()} == {"b.kmz", "c.kml"}
+
+
+def test_recent_trials_with_and_without_scores(spark):
+    rows = [(i, None if i > 10 else float(i)) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "trial_id BIGINT, score DOUBLE")
+    scored, every = trials.recent_vs_earlier(df).first(), trials.recent_vs_earlier(df, scored_only=False).first()
+    assert (scored.recent_best, scored.earlier_best, every.recent_best, every.earlier_best) == (10.0, 5.0, 10.0, 7.0)

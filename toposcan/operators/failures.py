@@ -110,8 +110,10 @@ PRIORITY_BONUS = {"high": 0.2, "medium": 0.1}
 def proposal_scores(props: DataFrame, key: str = "prop_id", clusters: Sequence[str] = ()) -> DataFrame:
     """Add ``improvement_score`` and ``cost_score`` from ``effects`` (metric to text), ``priority``, ``effort``, ``risk``.
 
-    ``clusters`` names known failure groups; a proposal whose ``title`` speaks of one gains 0.1 each.
+    ``clusters`` names known failure groups; a proposal whose title or ``rationale`` (where there is one) speaks of one gains
+    0.1 each. ``effects`` is a map, so an entry that names cost or api is the only one of its name; the largest penalty counts.
     """
+    told = F.concat_ws(" ", *[c for c in ("title", "rationale") if c in props.columns])
     x = text.numeric_change(F.col("effect"))
     m = F.col("metric")
     gain = (
@@ -121,14 +123,13 @@ def proposal_scores(props: DataFrame, key: str = "prop_id", clusters: Sequence[s
         .otherwise(0.0))
     api = F.when(_has(m, ["cost", "api"]) & F.col("effect").contains("+") & (x > 0), F.least(F.lit(0.2), x / 50.0)).otherwise(0.0)
     long = props.select(key, F.explode("effects").alias("metric", "effect"))
-    # the penalty of the last cost entry in the map would win in a loop; there is at most one such entry per proposal
     sums = long.groupBy(key).agg(F.sum(gain).alias("_gain"), F.max(api).alias("_api"))
     d = props.join(sums, key, "left")
     bonus = F.lit(0.0)
     for level, value in PRIORITY_BONUS.items():
         bonus = F.when(F.col("priority") == level, value).otherwise(bonus)
     for c in clusters:
-        bonus = bonus + F.when(_has(F.col("title"), [c.lower(), "distance", "root", "spatial"]), 0.1).otherwise(0.0)
+        bonus = bonus + F.when(_has(told, [c.lower(), "distance", "root", "spatial"]), 0.1).otherwise(0.0)
     effort = (
         F.when(F.col("effort").contains("★★★"), 0.2).when(F.col("effort").contains("★★☆"), 0.6).when(F.col("effort").contains("★☆☆"), 1.0)
         .when(_has(F.col("effort"), ["day", "week"]), 0.1).when(_has(F.col("effort"), ["hour", "h"]), 0.7)

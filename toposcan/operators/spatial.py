@@ -255,14 +255,18 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, lx: str = "x",
 def geo_cells(left: DataFrame, right: DataFrame, km: float, l_lon: str, l_lat: str, r_lon: str, r_lat: str) -> DataFrame:
     """Pairs whose degree cells meet: a superset of the pairs within ``km``, each at most once.
 
-    The number of longitude cells a circle touches grows with latitude.
+    The number of longitude cells a circle touches grows with latitude. Cells wrap at the date line: longitude cells
+    divide the full turn evenly and are counted modulo their number.
     """
     s = km / 110.0
+    turn = max(1, int(360.0 // s))
+    sx = 360.0 / turn
     lat, lon = F.col(l_lat), F.col(l_lon)
-    wide = s / F.cos(F.radians(F.least(F.abs(lat) + s, F.lit(89.0))))
-    cells = lambda c, r: F.explode(F.sequence(F.floor((c - r) / s), F.floor((c + r) / s)))
-    a = left.withColumn("_cx", cells(lon, wide)).withColumn("_cy", cells(lat, F.lit(s)))
-    b = right.withColumns({"_cx": F.floor(F.col(r_lon) / s), "_cy": F.floor(F.col(r_lat) / s)})
+    wide = F.least(s / F.cos(F.radians(F.least(F.abs(lat) + s, F.lit(89.0)))), F.lit(180.0))
+    span = F.sequence(F.floor((lon + 180.0 - wide) / sx), F.floor((lon + 180.0 + wide) / sx))
+    around = F.array_distinct(F.transform(span, lambda i: F.pmod(i, F.lit(turn).cast("bigint"))))
+    a = left.withColumn("_cx", F.explode(around)).withColumn("_cy", F.explode(F.sequence(F.floor((lat - s) / s), F.floor((lat + s) / s))))
+    b = right.withColumns({"_cx": F.pmod(F.floor((F.col(r_lon) + 180.0) / sx), F.lit(turn).cast("bigint")), "_cy": F.floor(F.col(r_lat) / s)})
     return a.join(b, ["_cx", "_cy"]).drop("_cx", "_cy")
 
 

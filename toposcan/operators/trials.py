@@ -84,9 +84,14 @@ def _last(trials: DataFrame, k: int) -> DataFrame:
     return last.withColumn("back", F.row_number().over(Window.orderBy(F.desc("trial_id"))))
 
 
-def recent_vs_earlier(trials: DataFrame) -> DataFrame:
-    """Best of the last five trials, best of the five before, and whether progress has stopped."""
-    d = _last(trials.filter(F.col("score").isNotNull()).select("trial_id", "score"), 10)
+def recent_vs_earlier(trials: DataFrame, scored_only: bool = True) -> DataFrame:
+    """Best of the last five trials, best of the five before, and whether progress has stopped.
+
+    ``scored_only`` looks at the last ten trials with a score; without it at the last ten of all, of which those without a
+    score bring nothing.
+    """
+    trials = trials.filter(F.col("score").isNotNull()) if scored_only else trials
+    d = _last(trials.select("trial_id", "score"), 10)
     d = d.agg(F.max(F.when(F.col("back") <= 5, F.col("score"))).alias("recent_best"),
               F.max(F.when(F.col("back") > 5, F.col("score"))).alias("earlier_best"), _n().alias("_n"))
     return d.select("recent_best", "earlier_best",
@@ -228,7 +233,7 @@ def trial_issues(trials: DataFrame, space: DataFrame, params: str = "params") ->
     by_zero = trials.agg(F.avg(F.when(F.col("n_candidates") == 0, F.col("score"))).alias("zero_mean"),
                          F.avg(F.when(F.col("n_candidates") > 0, F.col("score"))).alias("nonzero_mean"), _n().alias("n_all"))
     narrow = param_exploration(trials, space, params).agg(F.min("utilization").alias("least_used"))
-    d = one_row(p, by_zero, narrow, recent_vs_earlier(trials).select(F.col("stagnated").alias("stagnated_all")))
+    d = one_row(p, by_zero, narrow, recent_vs_earlier(trials, scored_only=False).select(F.col("stagnated").alias("stagnated_all")))
     zero, neg = F.col("candidates_zero_rate"), F.col("negative_score_rate")
     flaw = (F.col("best_score") <= 0) & (zero > 0) & (F.col("zero_mean") >= F.col("nonzero_mean"))
     rules = [

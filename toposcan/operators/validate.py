@@ -55,17 +55,17 @@ def _error_map(pairs: dict[str, Column]) -> Column:
 
 
 def _missing(field: str) -> Column:
-    return F.when(F.col(field).isNull(), F.lit(f"Required field '{field}' is missing"))
+    return F.when(F.col(field).isNull(), F.lit(f"{field}: no value"))
 
 
 def _bad_code(field: str, codes: Sequence[str]) -> Column:
-    return F.when(F.col(field).isNotNull() & ~F.col(field).isin(list(codes)), F.concat(F.lit(f"Invalid {field}: "), field))
+    return F.when(F.col(field).isNotNull() & ~F.col(field).isin(list(codes)), F.concat(F.lit(f"{field}: unknown code "), field))
 
 
 def _bad_confidence(col: str = "confidence") -> Column:
     number = F.col(col).try_cast("double")
-    return F.when(F.col(col).isNotNull() & number.isNull(), F.lit("Confidence must be a number")).when(
-        ~number.between(0.0, 1.0), F.concat(F.lit("Confidence must be between 0.0 and 1.0, got "), F.col(col)))
+    return F.when(F.col(col).isNotNull() & number.isNull(), F.lit("not a number")).when(
+        ~number.between(0.0, 1.0), F.concat(F.lit("outside 0 to 1: "), F.col(col)))
 
 
 def validate_responses(df: DataFrame, langs: Sequence[str] = RESPONSE_LANGS) -> DataFrame:
@@ -85,9 +85,9 @@ def validate_proposals(df: DataFrame, langs: Sequence[str] = PROPOSAL_LANGS) ->
     errors["confidence"] = F.coalesce(errors["confidence"], _bad_confidence())
     errors["frequency"] = F.coalesce(
         errors["frequency"],
-        F.when(freq.isNull(), "Frequency must be an integer").when(freq < 1, "Frequency must be >= 1"))
+        F.when(freq.isNull(), "no whole number").when(freq < 1, "below 1"))
     errors["example_toponyms"] = F.coalesce(
-        errors["example_toponyms"], F.when(F.size("example_toponyms") == 0, "example_toponyms must not be empty"))
+        errors["example_toponyms"], F.when(F.size("example_toponyms") == 0, "no example"))
     return df.withColumn("errors", _error_map(errors))
 
 
@@ -122,9 +122,9 @@ def validate_roots(df: DataFrame, langs: Sequence[str] = ROOT_LANGS) -> DataFram
     """Add ``errors``: messages for missing fields, a token that is no regular expression, an unknown language."""
     blank = lambda c: F.col(c).isNull() | (F.col(c) == "")
     checks = [
-        F.when(blank("root"), "Required field 'root' is missing or empty"),
-        F.when(blank("regex_token"), "Required field 'regex_token' is missing or empty"),
-        F.when(~blank("regex_token") & ~_compiles(F.coalesce("regex_token", F.lit(""))), "Invalid regex pattern"),
+        F.when(blank("root"), "root: no value"),
+        F.when(blank("regex_token"), "regex_token: no value"),
+        F.when(~blank("regex_token") & ~_compiles(F.coalesce("regex_token", F.lit(""))), "regex_token: no regular expression"),
         F.when(~blank("lang"), _bad_code("lang", langs)),
     ]
     return df.withColumn("errors", F.array_compact(F.array(*checks)))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from toposcan.functions import text
 
@@ -129,26 +129,50 @@ def knn_score(test: DataFrame, train: DataFrame, k: int = 3, leave_one_out: bool
     return near.groupBy(F.col("query_id").alias("id")).agg(F.exp(F.avg("score")).alias("knn_score"))
 
 
+def digits_vector(name: Column, dim: int, seed: int) -> Column:
+    """Unit vector of a text from the digits of md5('seed:block:text'): four hex digits per component, scaled to [-1, 1]."""
+    blocks = [F.md5(F.concat(F.lit(f"{seed}:{b}:"), name)) for b in range(-(-dim // 8))]
+    part = lambda h, i: F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("double") / 65535.0 * 2.0 - 1.0
+    return unit_vector(once(F.concat(*blocks), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: part(h, i))))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unit_vector(v: Column) -> Column:
+    """A vector scaled to length 1; zeros stay."""
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    return once(v, lambda a: once(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x))))
+
+
 def hash_embedding(dim: int = 512, seed: int = 42):
-    """Column function: unit vector per text, fixed by the text; words of water, terrain and settlement nudge it."""
-
-    def vector(name: str) -> np.ndarray:
-        key = int.from_bytes(hashlib.md5(f"{seed}:{name}".encode()).digest()[:8], "big")
-        rng = np.random.default_rng(key)
-        unit = lambda x: x / np.linalg.norm(x)
-        base, shift = unit(rng.normal(size=dim)), np.zeros(dim)
-        for word in name.split():
-            for weight, words in WORD_GROUPS:
-                if word in words:
-                    shift += weight * unit(rng.normal(size=dim))
-                    break
-        if shift.any():
-            shift = unit(shift)
-        return unit(0.7 * base + 0.3 * shift)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: vector(n or ""))
+    """Column function: unit vector per text, fixed by the text; words of water, terrain and settlement nudge it.
+
+    Built-in expressions only. A nudging word adds its own vector with the weight of its group.
+    """
+
+    def digits(word: str) -> np.ndarray:
+        text_ = "".join(hashlib.md5(f"{seed}:{b}:{word}".encode()).hexdigest() for b in range(-(-dim // 8)))
+        x = np.array([int(text_[4 * i : 4 * i + 4], 16) for i in range(dim)]) / 65535.0 * 2.0 - 1.0
+        return x / np.linalg.norm(x)
+
+    nudges: dict[str, list[float]] = {}
+    for weight, words in WORD_GROUPS:
+        for word in words:
+            nudges.setdefault(word, (weight * digits(word)).tolist())
+
+    def embed(name: str | Column) -> Column:
+        name = F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit(""))
+        known = list(nudges)
+        table = F.array(*[F.lit(nudges[w]) for w in known])
+        hits = F.filter(F.split(name, " "), lambda w: w.isin(known))
+        zero = F.array_repeat(F.lit(0.0), dim)
+        shift = F.aggregate(hits, zero, lambda s, w: F.zip_with(s, F.get(table, (F.array_position(F.lit(known), w) - 1).cast("int")), lambda x, y: x + y))
+        base = digits_vector(name, dim, seed)
+        both = F.zip_with(base, unit_vector(shift), lambda x, y: 0.7 * x + 0.3 * y)
+        return F.when(F.size(hits) > 0, unit_vector(both)).otherwise(base)
 
     return embed
 

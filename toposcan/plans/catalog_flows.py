@@ -15,7 +15,7 @@ from toposcan.plans.catalog_names import NORM, PATTERNS, WEIGHTED, WEIGHTS
 from toposcan.plans.catalog_space import KNOWN_CAND, PLANAR_PAIRS
 from toposcan.plans.catalog_trials import ALL_FAILURES, OK_RUN, RECENT, RUN, grid, shifted, space, with_params
 from toposcan.plans.catalog_words import NEG_BOX, STRAT_EARLY
-from toposcan.plans.registry import q6, query, rounded
+from toposcan.plans.registry import q6, query, r6, rounded
 from toposcan.plans.views import d
 from toposcan.session import scratch
 
@@ -62,12 +62,35 @@ def _(v):
     return rounded(vectors.knn_score(x, x, 3, leave_one_out=True), "knn_score")
 
 
-@query("prj29_hash_embedding")
+def unit_sql(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / sqrt(list_sum(list_transform({v}, lambda y: y * y))))"
+
+
+def digits_sql(name: str, dim: int = 64) -> str:
+    """Twin of ``vectors.digits_vector`` before scaling, as a list."""
+    hexes = " || ".join(f"md5('42:{b}:' || {name})" for b in range(dim // 8))
+    return f"list_transform(range(0, {dim}), lambda i: CAST('0x' || substr({hexes}, CAST(i * 4 + 1 AS INT), 4) AS INT) / 65535e0 * 2 - 1)"
+
+
+NUDGES = ", ".join(f"('{w}', {g}e0)" for g, words in vectors.WORD_GROUPS for w in words)
+EMBEDDED = f"""
+    n AS (SELECT feature_id, {NORM.format("name")} AS n FROM {{v_feature}}),
+    u AS (SELECT DISTINCT n FROM n UNION SELECT unnest({list(text.WATER_SEEDS)})),
+    raw AS (SELECT n, {digits_sql("n")} AS r FROM u), base AS (SELECT n, {unit_sql("r")} AS v FROM raw),
+    word AS (SELECT w, g, {digits_sql("w")} AS r FROM (VALUES {NUDGES}) t(w, g)), nudge AS (SELECT w, list_transform({unit_sql("r")}, lambda x: x * g) AS v FROM word),
+    hit AS (SELECT n, v FROM (SELECT n, unnest(string_split(n, ' ')) AS w FROM u) JOIN nudge USING (w)),
+    comp AS (SELECT n, i, sum(v[i]) AS x FROM hit, range(1, 65) t(i) GROUP BY n, i), shift AS (SELECT n, list(x ORDER BY i) AS s FROM comp GROUP BY n),
+    mixed AS (SELECT n, v, s, {unit_sql("s")} AS us FROM base LEFT JOIN shift USING (n)),
+    added AS (SELECT n, v, s, list_transform(v, lambda x, i: 0.7e0 * x + 0.3e0 * us[i]) AS m FROM mixed),
+    e AS (SELECT n, CASE WHEN s IS NULL THEN v ELSE {unit_sql("m")} END AS e FROM added)"""
+
+
+@query("prj29_hash_embedding", f"WITH {EMBEDDED} SELECT feature_id, 64 AS dim, {q6('list_sum(list_transform(e, lambda x: x * x))')} AS norm, {q6('e[1]')} AS first FROM n JOIN e USING (n)")
 def _(v):
     names = v("v_feature").select("feature_id", text.normalize_name(F.col("name")).alias("n"))
     e = names.withColumn("e", vectors.hash_embedding(64)("n"))
     return e.select("feature_id", F.size("e").alias("dim"),
-                    F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"), F.round(F.get("e", F.lit(0)), 6).alias("first"))
+                    r6(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"), r6(F.get("e", F.lit(0))).alias("first"))
 
 
 @query("prj12_geodesic")
@@ -203,7 +226,12 @@ def _(v):
     return sim.cluster_summary(clustered_names(v)).select("cluster", "n", "cluster_type", F.md5(F.array_join("examples", "|")).alias("examples"), "first_word")
 
 
-@query("ml16_process_names")
+@query("ml16_process_names", f"""
+    WITH {EMBEDDED},
+    sim AS (SELECT a.n, list_sum(list_transform(a.e, lambda x, i: x * b.e[i])) AS c FROM e a, e b WHERE b.n IN {tuple(text.WATER_SEEDS)}),
+    top AS (SELECT n, avg(round(c, 9)) AS w FROM (SELECT n, c, row_number() OVER (PARTITION BY n ORDER BY round(c, 9) DESC) AS k FROM sim) WHERE k <= 3 GROUP BY n)
+    SELECT feature_id, n AS normalized_name, {q6("w")} AS water_score, {q6("greatest(0, least(1, 1.2e0 * w))")} AS confidence, greatest(0, least(1, 1.2e0 * w)) < 0.6 AS needs_review
+    FROM n JOIN top USING (n)""")
 def _(v):
     return rounded(flows.process_names(v("v_feature"), dim=64, key="feature_id"), "water_score", "confidence")
 

@@ -146,6 +146,15 @@ def _(v):
     return readers.validate_regions(c.select("c_custkey", box.alias("bbox"))).select("c_custkey", "bbox_valid")
 
 
+@query("src9_region_box", f"SELECT s_suppkey, {d('n_nationkey')} AS west, {d('n_nationkey + 5')} AS north FROM {{supplier}} LEFT JOIN (SELECT * FROM {{nation}} WHERE n_regionkey <> 1) ON s_nationkey = n_nationkey")
+def _(v):
+    """Suppliers with the box of their nation; nations of one region are not in the catalogue."""
+    k = F.col("n_nationkey").cast("double")
+    regions = v("nation").filter("n_regionkey <> 1").select(F.col("n_nationkey").alias("region"), F.array(k, k - 1.0, k + 2.0, k + 5.0).alias("bbox"))
+    found = readers.region_box(v("supplier").withColumn("region", F.col("s_nationkey")), regions)
+    return found.select("s_suppkey", F.get("bbox", F.lit(0)).alias("west"), F.get("bbox", F.lit(3)).alias("north"))
+
+
 # ---- sinks ---------------------------------------------------------------------------------------
 
 @query("snk1_export", f"""

@@ -357,6 +357,16 @@ def _(v):
     return rounded(failures.proposal_scores(proposals(v)), "improvement_score", "cost_score").select("prop_id", "improvement_score", "cost_score")
 
 
+@query("rnk2_cluster_bonus", f"""SELECT event_id AS prop_id, {q6("least(1, imp + CASE WHEN user_id % 2 = 0 OR event_type = 'click' THEN 0.1e0 ELSE 0 END + CASE WHEN user_id % 2 = 0 THEN 0.1e0 ELSE 0 END)")} AS improvement_score
+    FROM ({PSCORES.replace("event_id, least(1, greatest(0,", "event_id, event_type, user_id, ((").replace(" ELSE 0 END)) AS imp", " ELSE 0 END)) AS imp", 1)})""")
+def _(v):
+    """Two failure groups; the rationale of every second user speaks of distance, titles of clicks name the first group."""
+    p = proposals(v).join(v("events").select(F.col("event_id").alias("prop_id"), "user_id"), "prop_id")
+    p = p.withColumn("rationale", F.when(F.col("user_id") % 2 == 0, "the Distance is wrong").otherwise("unclear"))
+    scored = failures.proposal_scores(p, clusters=("click", "elsewhere"))
+    return rounded(scored, "improvement_score").select("prop_id", "improvement_score")
+
+
 @query("rnk3_rank_proposals", f"""{DIVERSITY},
     t AS (SELECT event_id, round(0.6e0 * imp + 0.2e0 * dv + 0.2e0 * cost, 6) AS total FROM ({PSCORES}) JOIN p USING (event_id))
     SELECT event_id AS prop_id, total AS total_score, row_number() OVER (ORDER BY total DESC, event_id) AS rank FROM t""")
@@ -379,3 +389,14 @@ def _(v):
     sinks.append_trials(t, log)
     stream.run_to_table(stream.stream_trials(spark, log), out, scratch(spark, "stream-ckpt"))
     return spark.read.parquet(out)
+
+
+@query("str1_stream_summary", f"SELECT count(*) AS n_trials, {q6('max(score)')} AS best_score, {q6('avg(score)')} AS avg_score FROM {{v_trial}}")
+def _(v):
+    """Count, best and mean score over the same stream."""
+    t = _trial_json(v)
+    spark = t.sparkSession
+    log, out = scratch(spark, "stream-log"), scratch(spark, "stream-out")
+    sinks.append_trials(t, log)
+    stream.run_to_table(stream.stream_trials(spark, log), out, scratch(spark, "stream-ckpt"), fp=False)
+    return rounded(spark.read.parquet(out), "best_score", "avg_score")

@@ -127,9 +127,11 @@ def process_names(names: DataFrame, seeds: Sequence[str] = tuple(text.WATER_SEED
     """Normalised names with water score, confidence and review flag."""
     embed = vectors.hash_embedding(dim)
     norm = names.select(key, text.normalize_name(F.col(name)).alias("normalized_name"))
-    vec = norm.select(F.col(key).cast("bigint").alias("id"), embed("normalized_name").alias("v"))
+    # equal names have equal vectors: each is embedded and scored once
+    vec = norm.select("normalized_name").distinct().select(F.xxhash64("normalized_name").alias("id"), embed("normalized_name").alias("v"))
     seed_rows = names.sparkSession.createDataFrame(list(enumerate(seeds)), "id BIGINT, word STRING")
     seed_vec = seed_rows.select("id", embed("word").alias("v"))
     scored = vectors.water_scores(vec, seed_vec, 3)
-    return cand.review_flags(norm.join(scored.withColumnRenamed("id", key), key))
+    joined = norm.withColumn("_id", F.xxhash64("normalized_name")).join(scored.withColumnRenamed("id", "_id"), "_id")
+    return cand.review_flags(joined.drop("_id"))
 

@@ -57,8 +57,28 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["path", "item", "site_name", "lon", "lat", "description"])
 
 
+def _broken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            try:
+                for _ in _placemarks(bytes(content)):
+                    pass
+            except (ET.ParseError, zipfile.BadZipFile) as e:
+                rows.append((path, f"{type(e).__name__}: {e}"))
+        yield pd.DataFrame(rows, columns=["path", "error"])
+
+
+def unreadable_files(files: DataFrame) -> DataFrame:
+    """``path, error`` of the files that :func:`parse_placemarks` cannot read."""
+    return files.select("path", "content").mapInPandas(_broken, "path STRING, error STRING")
+
+
 def parse_placemarks(files: DataFrame, configured: tuple[str, ...] = ()) -> DataFrame:
-    """Placemarks of files given as ``path, content``; points without readable coordinates are skipped."""
+    """Placemarks of files given as ``path, content``; points without readable coordinates are skipped.
+
+    Files that cannot be read give no rows; :func:`unreadable_files` names them.
+    """
     sites = files.select("path", "content").mapInPandas(_parse, SCHEMA)
     return with_culture_from_path(sites, F.col("path"), configured)
 

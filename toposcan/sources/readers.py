@@ -134,6 +134,12 @@ def read_trial_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_trial_log(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
+def region_box(df: DataFrame, regions: DataFrame, name: str = "region") -> DataFrame:
+    """Add ``bbox`` of the region that each row names; null where the catalogue does not have it."""
+    one = regions.groupBy(F.col("region").alias(name)).agg(F.first("bbox").alias("bbox"))
+    return df.join(one, name, "left")
+
+
 def validate_regions(df: DataFrame) -> DataFrame:
     """Add ``bbox_valid``: four numbers in range, west < east and south < north. ``bbox`` is an array."""
     b = [F.get(F.col("bbox"), F.lit(i)) for i in range(4)]

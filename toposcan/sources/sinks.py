@@ -48,20 +48,20 @@ def write_candidates(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     candidate_rows(df).write.mode("overwrite").option("header", True).format(fmt).save(path)
 
 
-def placemark_rows(df: DataFrame) -> DataFrame:
-    """Name, HTML description, style and coordinates of each candidate (``name, score, water_type, dist_km, occ_pct``)."""
+PLACEMARK_LABELS = {"name": "Name", "score": "Score", "water_type": "Water type", "dist_km": "Distance to water (km)", "occ_pct": "Water occurrence (%)", "at": "Position"}
+
+
+def placemark_rows(df: DataFrame, labels: dict[str, str] = PLACEMARK_LABELS) -> DataFrame:
+    """Name, HTML description, style and coordinates of each candidate (``name, score, water_type, dist_km, occ_pct``).
+
+    The description is a table with one line per entry of ``labels`` (field to caption).
+    """
     score = F.col("score")
-    html = F.concat_ws(
-        "\n",
-        F.lit("<h3>候補地</h3>"),
-        F.format_string("<p><strong>元の名前:</strong> %s</p>", "name"),
-        F.lit("<p><strong>タイプ:</strong> 古河道候補地</p>"),
-        F.format_string("<p><strong>スコア:</strong> %.3f</p>", score),
-        F.format_string("<p><strong>水系タイプ:</strong> %s</p>", "water_type"),
-        F.format_string("<p><strong>現河道からの距離:</strong> %.1f km</p>", "dist_km"),
-        F.format_string("<p><strong>水域頻度:</strong> %.1f%%</p>", "occ_pct"),
-        F.format_string("<p><strong>座標:</strong> %.6f, %.6f</p>", "lat", "lon"),
-    )
+    shown = {
+        "score": F.format_string("%.3f", score), "dist_km": F.format_string("%.1f", "dist_km"), "occ_pct": F.format_string("%.1f", "occ_pct"),
+        "at": F.format_string("%.6f, %.6f", "lat", "lon")}
+    cells = [F.concat(F.lit(f"<tr><th>{caption}</th><td>"), shown[field] if field in shown else F.col(field), F.lit("</td></tr>")) for field, caption in labels.items()]
+    html = F.concat(F.lit("<table>"), F.concat_ws("", *cells), F.lit("</table>"))
     style = F.when(score > 0.6, "high").when(score >= 0.5, "mid").otherwise("low")
     return df.withColumns({
         "title": F.format_string("候補地 (スコア: %.3f)", score),
