@@ -136,4 +136,7 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     passed = ~base_failed()
     for test in compiled(rules).values():
         passed = passed & test
-    return df.filter(passed).select("__row.*")
+    # The row number keeps the filter above the measures. Pushed below them it would repeat each measure inside the
+    # next one, down to the text.
+    df = df.select("__row", passed.alias("__passed"), F.monotonically_increasing_id().alias("__number"))
+    return df.filter(F.col("__passed") & (F.col("__number") >= 0)).select("__row.*")
