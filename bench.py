@@ -19,6 +19,7 @@ HEADLINE = [
     "win1_rank", "win10_assign_ids", "txt1_root_candidates", "txt3_shared_affixes", "smp1_ratio_split", "smp5_negative_samples",
     "set2_upsert_dictionary", "ml1_cluster_sites", "ml6_knn_score", "ml13_water_scores", "grd2_sample_points", "grd4_zonal_stats", "grd7_slope_aspect",
     "grd10_label_regions", "trl2_trial_stats", "rnk1_jaccard_diversity",
+    "pip2_precompute_then_threshold", "pip3_site_neighbourhood", "pip4_similarity_ranking", "ml11_cluster_quality", "ml14_cluster_vectors", "txt4_compare_roots",
 ]
 
 

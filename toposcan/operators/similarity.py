@@ -89,7 +89,12 @@ def _dist(center: np.ndarray):
 def cluster_score(test: DataFrame, train: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
     """``id, cluster_score`` = exp(-distance to the nearest of k k-means centres of the known sites)."""
     model = KMeans(k=k, seed=seed, featuresCol="f", maxIter=50).fit(train.select(array_to_vector("v").alias("f")))
-    nearest = F.array_min(F.array(*[_dist(c) for c in model.clusterCenters()]))
+    return center_score(test, model.clusterCenters())
+
+
+def center_score(test: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
+    """``id, cluster_score`` = exp(-distance to the nearest of the given centres)."""
+    nearest = F.array_min(F.array(*[_dist(c) for c in centers]))
     return test.select("id", F.exp(-nearest).alias("cluster_score"))
 
 

@@ -158,6 +158,22 @@ def _(v):
     return rounded(sim.cluster_score(x, x, 3), "cluster_score")
 
 
+@query("ml7_center_score", f"""
+    WITH x AS (SELECT vec_id AS id, embedding AS v, label FROM {{embeddings}}),
+    c AS (SELECT label, i, avg(v[i]) AS m FROM x, (SELECT unnest(range(1, len(v) + 1)) AS i FROM (SELECT v FROM x LIMIT 1)) GROUP BY label, i),
+    k AS (SELECT label, list(m ORDER BY i) AS c FROM c GROUP BY label)
+    SELECT id, {q6("exp(-min(sqrt(list_sum(list_transform(v, lambda y, i: pow(y - k.c[i], 2))))))")} AS cluster_score FROM x, k GROUP BY id""")
+def _(v):
+    """The score alone, against the mean vector of every label."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    e = v("embeddings").select("label", F.transform("embedding", lambda y: y.cast("double")).alias("v"), F.col("vec_id").alias("id"))
+    means = e.select("label", array_to_vector("v").alias("f")).groupBy("label").agg(Summarizer.mean(F.col("f")).alias("m"))
+    centers = [r["c"] for r in means.select(vector_to_array("m").alias("c")).collect()]  # a row per label
+    return rounded(sim.center_score(e, centers), "cluster_score")
+
+
 @query("ml8_gmm_score")
 def _(v):
     x = vec(v)
