@@ -23,8 +23,9 @@ def test_wand_equals_scoring_everything():
     _, shards = D.build([(i, sentence(rng, rng.choice([5, 30, 120]), 120)) for i in range(60)])
     for shard in shards:
         dense = np.zeros((len(shard.terms), len(shard.item)))
-        for t, (u, w) in enumerate(zip(shard.units, shard.weights)):
-            dense[t, u] = w
+        for t, own in enumerate(shard.postings):
+            for u, w in own.values():
+                dense[t, u] = w
         for _ in range(150):
             terms = np.array(sorted(rng.sample(range(len(shard.terms)), min(len(shard.terms), rng.choice([1, 10, 40])))))
             for threshold in (0.05, 0.2, 0.5):

@@ -2,9 +2,9 @@
 
 Long items are indexed as overlapping segments, so that a passage can hold a whole unit. The weight of a term in a unit is
 its BM25 part divided by the unit's score for its own text: a passage that holds the unit whole scores 1, and one threshold serves
-all units. Units are grouped in blocks of neighbours; for every term the index keeps its largest weight per list and per
-block. Block bounds of all passages come from one running sum; passages with a block that can reach the threshold are searched by
-block-max WAND, which returns exactly the units at or above it.
+all units. Units are grouped in blocks of neighbours; for every term the index keeps its largest weight per block. The block bounds
+of all passages of a chunk are summed at once, passages without a block that can reach the threshold are done, and the others
+are searched by block-max WAND, which returns exactly the units at or above it.
 
 What is found is verified on the words around the passage: the share of the item's words that lie in a run of ``run``
 words also found there, apart for the question (all but the last sentence) and the answer (the rest). A document leaks an item if both
@@ -17,6 +17,7 @@ wordless items and texts match nothing. Items equal in text are found alike. Oth
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,10 @@ from toposcan.llm.common import texts
 K1, B = 1.2, 0.75
 THRESHOLD = 0.4
 SEGMENT, PASSAGE, STRIDE = 48, 64, 32
-BLOCK, SHARD_UNITS, PASS_ITEMS = 16, 512, 50_000
+BLOCK, SHARD_UNITS, PASS_ITEMS = 8, 512, 50_000
+PASSAGES_AT_ONCE = 4_096
+#: Block bounds are sums of up to PASSAGE single-precision maxima.
+SLACK = 1e-4
 RUN, QUESTION_SHARE, ANSWER_SHARE = 5, 0.8, 0.8
 SENTENCE_END = re.compile(rb"[.!?]+[\s\"')]+(?=\S)")
 
@@ -72,12 +76,17 @@ class Shard:
                 rows.setdefault(int(t), []).append((u, float(w)))
         self.terms = np.array(sorted(rows), np.uint64)
         self.blocks = -(-len(units) // BLOCK)
-        self.units = [np.array([u for u, _ in rows[int(t)]]) for t in self.terms]
-        self.weights = [np.array([w for _, w in rows[int(t)]]) for t in self.terms]
-        self.top = np.array([w.max() for w in self.weights])
-        self.block_top = np.zeros((len(self.terms), self.blocks))
-        for t, (u, w) in enumerate(zip(self.units, self.weights)):
-            np.maximum.at(self.block_top[t], u // BLOCK, w)
+        #: postings of a term by block: (units, weights), both in the order of the units
+        self.postings: list[dict[int, tuple[list[int], list[float]]]] = []
+        self.block_top = np.zeros((len(self.terms), self.blocks), np.float32)
+        for t, term in enumerate(self.terms):
+            own: dict[int, tuple[list[int], list[float]]] = {}
+            for u, w in rows[int(term)]:
+                us, ws = own.setdefault(u // BLOCK, ([], []))
+                us.append(u)
+                ws.append(w)
+                self.block_top[t, u // BLOCK] = max(self.block_top[t, u // BLOCK], w)
+            self.postings.append(own)
 
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, term number) of the words that the index knows."""
@@ -85,40 +94,64 @@ class Shard:
         known = np.flatnonzero(self.terms[at] == words)
         return known, at[known]
 
-    def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(unit, score) of all units that score at least ``threshold`` for the distinct ``terms``: block-max WAND."""
-        lists, at, found = list(terms), [0] * len(terms), []
-        bound = threshold - 1e-9
+    def promising(self, chunk: W.Words, low: np.ndarray, high: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(passage, distinct terms, block bounds) of the passages with a block that can reach the threshold."""
+        at, term = self.lookup(chunk.hash)
+        first, past = np.searchsorted(at, low), np.searchsorted(at, high)
+        count = past - first
+        passage = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(passage)) + np.repeat(first - (np.cumsum(count) - count), count)
+        pairs = np.unique(passage * len(self.terms) + term[place])
+        if not len(pairs):
+            return
+        passage, term = pairs // len(self.terms), pairs % len(self.terms)
+        begin = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        end = np.r_[begin[1:], len(passage)]
+        for part in range(0, len(begin), PASSAGES_AT_ONCE):
+            b, e = begin[part : part + PASSAGES_AT_ONCE], end[part : part + PASSAGES_AT_ONCE]
+            bounds = np.add.reduceat(self.block_top[term[b[0] : e[-1]]], b - b[0], axis=0)
+            for k in np.flatnonzero(bounds.max(axis=1) >= threshold - SLACK):
+                yield int(passage[b[k]]), term[b[k] : e[k]], bounds[k]
+
+    def search(self, terms: np.ndarray, threshold: float, bounds: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """(unit, score) of all units that score at least ``threshold`` for the distinct ``terms``: block-max WAND.
+
+        Blocks whose maxima cannot reach the threshold are skipped whole; ``bounds`` are the sums of these maxima, if known.
+        """
+        bounds = self.block_top[terms].sum(0) if bounds is None else bounds
+        found: list[tuple[int, float]] = []
+        for block in np.flatnonzero(bounds >= threshold - SLACK):
+            found += self._in_block(terms, int(block), threshold - 1e-9)
+        return found
+
+    def _in_block(self, terms: np.ndarray, block: int, bound: float) -> list[tuple[int, float]]:
+        """WAND inside a block: the unit at which the maxima of the lists in front add up to ``bound`` is the next to look at."""
+        lists = [(*self.postings[t][block], float(self.block_top[t, block]) + 1e-7) for t in terms if block in self.postings[t]]
+        at, found = [0] * len(lists), []
         while True:
-            heads = sorted((int(self.units[t][at[k]]), k) for k, t in enumerate(lists) if at[k] < len(self.units[t]))
+            heads = sorted((us[at[k]], k) for k, (us, _, _) in enumerate(lists) if at[k] < len(us))
             reach, pivot = 0.0, None
-            for n, (unit, k) in enumerate(heads):
-                reach += self.top[lists[k]]
+            for unit, k in heads:
+                reach += lists[k][2]
                 if reach >= bound:
-                    pivot = n
+                    pivot = unit
                     break
             if pivot is None:
                 return found
-            unit = heads[pivot][0]
-            while pivot + 1 < len(heads) and heads[pivot + 1][0] == unit:
-                pivot += 1
-            before = heads[: pivot + 1]
-            block = unit // BLOCK
-            if sum(self.block_top[lists[k], block] for _, k in before) >= bound:
-                if before[0][0] == unit:
-                    score = sum(float(self.weights[lists[k]][at[k]]) for _, k in before)
-                    if score >= bound:
-                        found.append((unit, score))
-                    target = unit + 1
-                else:
-                    target = unit
-            else:  # nothing up to the end of the block, or to the next list's unit, can reach the threshold
-                target = (block + 1) * BLOCK
-                if pivot + 1 < len(heads):
-                    target = min(target, heads[pivot + 1][0])
-            for _, k in before:
-                u = self.units[lists[k]]
-                at[k] += int(np.searchsorted(u[at[k] :], target))
+            if heads[0][0] == pivot:
+                score = 0.0
+                for unit, k in heads:
+                    if unit != pivot:
+                        break
+                    score += lists[k][1][at[k]]
+                    at[k] += 1
+                if score >= bound:
+                    found.append((pivot, score))
+            else:  # nothing before the pivot can reach the bound
+                for unit, k in heads:
+                    if unit >= pivot:
+                        break
+                    at[k] = bisect_left(lists[k][0], pivot, at[k])
 
 
 def build(items: list[tuple[int, str]]) -> tuple[list[Item], list[Shard]]:
@@ -156,12 +189,8 @@ def _leaks(shared, threshold: float, question_share: float, answer_share: float)
                 text, low, high = passages(chunk)
                 best: dict[tuple[int, int], list] = {}
                 for shard in shards:
-                    at, term = shard.lookup(chunk.hash)
-                    sums = np.zeros((len(at) + 1, shard.blocks))
-                    np.cumsum(shard.block_top[term], axis=0, out=sums[1:])
-                    first, past = np.searchsorted(at, low), np.searchsorted(at, high)
-                    for p in np.flatnonzero((sums[past] - sums[first]).max(axis=1) >= threshold - 1e-6):
-                        for unit, score in shard.search(np.unique(term[first[p] : past[p]]), threshold):
+                    for p, terms, bounds in shard.promising(chunk, low, high, threshold):
+                        for unit, score in shard.search(terms, threshold, bounds):
                             k = shard.item[unit]
                             item, begin, end = items[k], chunk.bounds[text[p]], chunk.bounds[text[p] + 1]
                             shares = item.overlap(chunk, max(begin, low[p] - item.size), min(end, high[p] + item.size))
