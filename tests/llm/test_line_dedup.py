@@ -1,6 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
+from toposcan.llm import line_dedup
 from toposcan.llm.line_dedup import drop_boilerplate
 
 BLANKS = " \t\n\x0b\f\r"
@@ -18,7 +21,10 @@ def brute(rows, ratio, least):
     return sorted(((d, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(BLANKS) not in bad[s] or not x.strip(BLANKS))) for d, t, s in rows), key=str)
 
 
-def test_against_brute_force(docs):
+@pytest.mark.parametrize("lines", [0, 1_000])
+def test_against_brute_force(docs, monkeypatch, lines):
+    """Both ways of joining: by shuffle and by broadcast."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", lines)
     rng = random.Random(5)
     pool = [f"line {i}" for i in range(200)] + ["", "  ", " é"]
     rows = []

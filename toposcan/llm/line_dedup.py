@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from toposcan.llm.common import SEPARATORS
+from toposcan.llm.common import SEPARATORS, stored
 
 RATIO = 0.1
 MIN_PAGES = 5
+BROADCAST_LINES = 2_000_000
 
 
 def _lines(text: Column) -> Column:
@@ -48,8 +49,10 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 def cleaned(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Rows of ``docs`` as ``__row`` with ``__lines`` and those of them ``__kept``."""
     whole = docs.select(F.struct("*").alias("__row"), F.col(host).cast("string").alias("__own"), F.col(text).alias("__text"))
-    bad = boilerplate(docs, host, text, ratio, min_pages)
-    joined = whole.join(bad, F.col("__own").eqNullSafe(F.col("host")), "left").withColumn("__lines", _lines(F.col("__text")))
+    bad = stored(boilerplate(docs, host, text, ratio, min_pages), "boilerplate-lines")
+    size = bad.agg(F.sum(F.size("lines"))).first()[0] or 0
+    # up to 16 MB of keys go to every task, and no text is shuffled; beyond that hosts are joined by shuffle, a large one in parts
+    joined = whole.join(F.broadcast(bad) if size <= BROADCAST_LINES else bad, F.col("__own").eqNullSafe(F.col("host")), "left").withColumn("__lines", _lines(F.col("__text")))
     clean = F.filter("__lines", lambda x: ~F.array_contains(F.col("lines"), _key(x)))
     return joined.withColumn("__kept", F.when(F.col("lines").isNull(), F.col("__lines")).otherwise(clean))
 
