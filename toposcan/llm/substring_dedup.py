@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from toposcan.llm import words as W
 from toposcan.llm.common import texts
 
-BLOCK_BYTES = 4 << 20
+#: A little below a power of two, up to which tables of powers are kept.
+BLOCK_BYTES = (2 << 20) - (64 << 10)
 POSTS = "anchor long, id long, known boolean, windows binary"
 #: Bytes of a window's hash that travel; beside its anchor's eight.
 WIDTH = 6

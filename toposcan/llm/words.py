@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 20
+#: A little below a power of two, up to which tables of powers are kept.
+CHUNK_BYTES = (1 << 20) - (32 << 10)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _TABLE = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
