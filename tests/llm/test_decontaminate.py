@@ -66,3 +66,22 @@ def test_edges(docs, items, monkeypatch):
     monkeypatch.setattr(D, "PASS_ITEMS", 2)
     assert sorted(((r.doc_id, r.item_id) for r in D.leaks(frame, tests).collect()), key=str) == pairs
     assert D.leaks(docs().limit(0), tests).count() == 0 and D.leaks(frame, items().limit(0)).count() == 0
+
+
+def test_signs_at_word_ends_and_case_do_not_hide_an_item(docs, items):
+    rng = random.Random(5)
+    text = f"Où était la {sentence(rng, 40)}? Élan éaux."
+    changed = text.upper().replace(" ", ", ").replace("ÉAUX.", "(_ÉAUX_.###")
+    other = f"{sentence(rng, 40)}. Der kurze Weg nach Hause."
+    one_differs, none = other.replace("kurze", "lange"), other.replace("Der kurze Weg nach Hause", "Ein ganz anderer Ort hier")
+    signs = "∀ ∃ → ⊢ ∧ ∨ ¬ ≡"
+    rows = [(1, changed), (2, f"x y {one_differs} z"), (3, none), (4, f"a {signs} b"), (5, text.replace("Élan éaux", "Autre chose")), (6, text.replace("éaux.", "for.&&&"))]
+    found = {(r.doc_id, r.item_id) for r in D.leaks(docs(*rows), items((1, text), (2, other), (3, signs), (4, "Wer war es? Der."))).collect()}
+    assert found == {(1, 1), (2, 2), (4, 3), (6, 1)}
+
+
+def test_an_answer_of_one_word_must_be_there(docs, items):
+    rng = random.Random(6)
+    question = sentence(rng, 30)
+    rows = [(1, f"{question}? DER.###"), (2, f"{question}? Die."), (3, f"{question}?")]
+    assert [r.doc_id for r in D.leaks(docs(*rows), items((1, f"{question}? Der."))).collect()] == [1]

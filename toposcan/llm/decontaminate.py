@@ -6,11 +6,15 @@ all units. Units are grouped in blocks of neighbours; for every term the index k
 of all passages of a chunk are summed at once, passages without a block that can reach the threshold are done, and the others
 are searched by block-max WAND, which returns exactly the units at or above it.
 
+Index and verification see words as they are read: case is folded (all of Unicode), signs at the ends of a word and words of signs
+alone do not count. Items made of signs alone have an index of their own, over the words as they stand.
+
 What is found is verified on the words around the passage: the share of the item's words that lie in a run of ``run``
-words also found there, apart for the question (all but the last sentence) and the answer (the rest). A document leaks an item if both
-shares reach their bounds.
+words also found there, apart for the question (all but the last sentence) and the answer (the rest). Runs miss much of a
+short answer of which one word differs, so its words also count where they stand at their place behind a run of the question, and one of two
+to four words may differ. A document leaks an item if both shares reach their bounds.
 
-Items are read in passes of ``PASS_ITEMS``; an index in memory never grows beyond that. Words are lower-cased (A-Z). Null or
+Items are read in passes of ``PASS_ITEMS``; an index in memory never grows beyond that. Null or
 wordless items and texts match nothing. Items equal in text are found alike. Other columns are ignored.
 """
 
@@ -32,34 +36,57 @@ THRESHOLD = 0.4
 SEGMENT, PASSAGE, STRIDE = 48, 64, 32
 BLOCK, SHARD_UNITS, PASS_ITEMS = 8, 512, 50_000
 PASSAGES_AT_ONCE = 4_096
+TEXTS_AT_ONCE = 500
 #: Block bounds are sums of up to PASSAGE single-precision maxima.
 SLACK = 1e-4
 RUN, QUESTION_SHARE, ANSWER_SHARE = 5, 0.8, 0.8
-SENTENCE_END = re.compile(rb"[.!?]+[\s\"')]+(?=\S)")
+SENTENCE_END = re.compile(r"[.!?]+[\s\"')]+(?=\S)")
+#: From the first letter or digit of a word to its last.
+CORE = re.compile(r"[^\W_](?:\S*[^\W_])?")
+
+
+def plain(text: str) -> str:
+    """The words of a text with case folded and without the signs at their ends."""
+    return " ".join(CORE.findall(text.casefold()))
+
+
+def same(text: str) -> str:
+    return text
 
 
 class Item:
     """An item's words and the windows by which it is verified."""
 
-    def __init__(self, item_id: int, text: str, run: int = RUN) -> None:
-        chunk = next(W.chunks([text], lower=True))
+    def __init__(self, item_id: int, text: str, run: int = RUN, form=plain) -> None:
+        ends = [m.end() for m in SENTENCE_END.finditer(text)]
+        chunk = next(W.chunks([form(text)]))
         self.item_id, self.hash, self.size = item_id, chunk.hash, len(chunk.hash)
         self.run = max(1, min(run, self.size))
         self.windows = chunk.windows(self.run)[1]
-        ends = [m.end() for m in SENTENCE_END.finditer(chunk.data)]
-        at = int(np.searchsorted(chunk.start, ends[-1])) if ends else 0
+        at = len(next(W.chunks([form(text[: ends[-1]])])).hash) if ends else 0
         # without a second sentence the last quarter stands for the answer
         self.answer = at if 0 < at < self.size else self.size - max(1, self.size // 4)
 
     def overlap(self, around: W.Words, low: int, high: int) -> tuple[float, float]:
         """Shares of question and answer words in runs that the words ``low:high`` have too."""
         part = W.Words(0, b"", around.start[low:high], around.end[low:high], np.array([0, high - low]), around.hash[low:high])
-        hits = np.flatnonzero(np.isin(self.windows, part.windows(self.run)[1]))
+        at, value = part.windows(self.run)
+        hits = np.flatnonzero(np.isin(self.windows, value))
         covered = np.zeros(self.size, bool)
         for k in range(self.run):
             covered[hits + k] = True
         question, answer = covered[: self.answer], covered[self.answer :]
-        return (float(question.mean()) if len(question) else 1.0), float(answer.mean())
+        return (float(question.mean()) if len(question) else 1.0), self._answer_share(answer, part.hash, at, value)
+
+    def _answer_share(self, covered: np.ndarray, words: np.ndarray, at: np.ndarray, value: np.ndarray) -> float:
+        """Share of the answer's words that are covered or at their place behind a run of the question; see above for short answers."""
+        size = len(covered)
+        wanted, most = self.hash[self.answer :], int(covered.sum())
+        for k in range(max(0, self.answer - 2 * self.run + 1), self.answer - self.run + 1):
+            for begin in at[value == self.windows[k]] + (self.answer - k) if most < size else ():
+                got = words[begin : begin + size]
+                most = max(most, int((covered[: len(got)] | (got == wanted[: len(got)])).sum()))
+        return 1.0 if 1 < size < RUN and most == size - 1 else most / size
 
 
 class Shard:
@@ -154,9 +181,9 @@ class Shard:
                     at[k] = bisect_left(lists[k][0], pivot, at[k])
 
 
-def build(items: list[tuple[int, str]]) -> tuple[list[Item], list[Shard]]:
+def build(items: list[tuple[int, str]], form=plain) -> tuple[list[Item], list[Shard]]:
     """Items with words, and the shards of their units; ``Shard.item`` points into the items."""
-    kept = [x for x in (Item(i, t) for i, t in items if t is not None) if x.size]
+    kept = [x for x in (Item(i, t, form=form) for i, t in items if t is not None) if x.size]
     units = []
     for k, item in enumerate(kept):
         starts = range(0, max(1, item.size - SEGMENT + 1), SEGMENT // 2)
@@ -180,12 +207,24 @@ def passages(chunk: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, low, np.minimum(low + PASSAGE, chunk.bounds[1:][text])
 
 
+def indexes(items: list[tuple[int, str]]) -> list[tuple]:
+    """(form of the words, items, shards): one index of the items with letters or digits, one of those without, if there are any."""
+    signs = [(i, t) for i, t in items if t is not None and not plain(t)]
+    made = [(plain, *build(items)), (same, *build(signs, same))]
+    return [x for x in made if x[1]]
+
+
 def _leaks(shared, threshold: float, question_share: float, answer_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, shards = shared.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for chunk in W.chunks(batch.column(1).to_pylist(), lower=True):
+            for index in shared.value:
+                yield from search(batch, *index)
+
+    def search(batch: pa.RecordBatch, form, items: list[Item], shards: list[Shard]) -> Iterator[pa.RecordBatch]:
+        for part in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            ids = batch.column(0)[part : part + TEXTS_AT_ONCE].to_pylist()
+            texts_ = batch.column(1)[part : part + TEXTS_AT_ONCE].to_pylist()
+            for chunk in W.chunks([None if t is None else form(t) for t in texts_]):
                 text, low, high = passages(chunk)
                 best: dict[tuple[int, int], list] = {}
                 for shard in shards:
@@ -215,7 +254,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, quest
     rows = rows.withColumn("__pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
     for k in range(passes):  # one pass over the documents for every PASS_ITEMS items
         part = [(r["item_id"], r["text"]) for r in rows.filter(F.col("__pass") == k).collect()]
-        shared = spark.sparkContext.broadcast(build(sorted(part, key=str)))
+        shared = spark.sparkContext.broadcast(indexes(sorted(part, key=str)))
         found = body.mapInArrow(_leaks(shared, threshold, question_share, answer_share), "doc_id long, item_id long, passages long, score double, question_share double, answer_share double")
         out = found if out is None else out.unionByName(found)
     # rows repeating a document or an item give one line
