@@ -50,3 +50,20 @@ def test_table(spark):
     texts = {(r.page_id, r.url): r.text for r in out}
     assert texts[1, "u"] == CASES["all"][1] and texts[2, None] == "" and texts[None, "v"] == "" and texts[3, "w"].count("ferry") == 20_000
     assert H.extract(frame.limit(0)).count() == 0
+
+
+WRAPPED = f"<header><p>{SENTENCES}</p></header><article><h1>Fog</h1><p>{SENTENCES}</p><div class=ad>{SENTENCES}</div><section class=comments><article><p>{SENTENCES}</p></article></section><p>End</p></article><aside><article><p>{SENTENCES}</p></article></aside>"
+LIFTED = {
+    "closed svg": (f"<body><header><svg class='i'/><a href=1>Home</a></header><article><p>{SENTENCES}</p><svg><title>no</title></svg><p>{SENTENCES}</p></article></body>", f"{SENTENCES} {SENTENCES}"),
+    "math": (f"<article><p>{SENTENCES} So <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>x=2</annotation></semantics></math> holds.</p><p><math/>{SENTENCES}</p></article>", f"{SENTENCES} So x=2 holds. {SENTENCES}"),
+    "wrapper": (f"<body><div id=page class='site has-sidebar'>{WRAPPED}</div></body>", f"Fog {SENTENCES} End"),
+    "form": (f"<body><form id=aspnetForm>{WRAPPED}</form></body>", f"Fog {SENTENCES} End"),
+    "main in a small wrapper": (f"<body><p>{SENTENCES}</p><p>{SENTENCES}</p><div class=no-sidebar><main><p>{SENTENCES}</p></main></div></body>", SENTENCES),
+    "teasers": (f"<body><article><p>{SENTENCES}</p></article><div class=related><article><p>{SENTENCES}</p></article><article><p>{SENTENCES}</p></article></div></body>", SENTENCES),
+}
+
+
+@pytest.mark.parametrize("name", LIFTED)
+def test_main_text_inside_wrappers(tree, name):
+    page, want = LIFTED[name]
+    assert H.main_text(page, tree) == want

@@ -2,7 +2,8 @@
 
 A page is cut at block-level tags into text blocks. Each has a row of features: its words, the share of them in links, the same for the
 block before and after, whether it lies in a container that names itself as navigation, advert, form, comments and so on, whether it
-lies in the article element (or the page has none), whether it is a heading and whether it ends like a sentence. A decision tree
+lies in the article element (or the page has none; an article or main element in a page-wide wrapper counts, whatever the wrapper is named),
+whether it is a heading and whether it ends like a sentence. A decision tree
 trained on the small labelled pages below (``EXAMPLES``; blocks marked ``data-main`` are main text) classifies the rows; the tree
 is fitted once on the driver and travels with the task.
 
@@ -23,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Element names of HTML, and words by which containers name themselves.
-SKIPPED = "script|style|noscript|template|title|svg|math|iframe|object|canvas|audio|video|textarea|select|button"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SKIPPED = "script|style|noscript|template|title|svg|annotation|annotation-xml|iframe|object|canvas|audio|video|textarea|select|button"
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+                   "mtable mtext munder munderover none semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -33,11 +36,14 @@ BOILER_WORDS = frozenset((
     "masthead topbar header footer sidebar aside widget widgets rail cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login register paywall share sharing social related recommended recommendations trending popular comment comments commentlist "
     "disqus reply replies respond discussion search form pagination pager copyright legal disclaimer toolbar skip hidden tags").split())
+#: What an article or main element inside does not lift.
+FIRM_TAGS = BOILER_TAGS - {"form", "fieldset"}
+FIRM_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 ARTICLE_WORDS = frozenset("article content post entry main story body text maincontent".split())
 CLOSED_BY_SAME = {"p": "", "li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table tr", "th": "table tr", "option": ""}
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    rf"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>|<({SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"[a-z0-9]+")
@@ -58,27 +64,51 @@ class _Open(NamedTuple):
     boiler: bool
     article: bool
     marked: bool
+    firm: bool = False  # boiler whatever it holds
+    wrapper: int = -1  # number of the outermost container that is boiler
+    lifted: bool = False  # in an article or main element below a wrapper that is not firm
+    sure: bool = False  # it is a main element
+    inner: bool = False  # boiler, from the lifting element on
 
 
-def _container(tag: str, attributes: str, outer: _Open) -> _Open:
+def _container(tag: str, attributes: str, outer: _Open, number: int = -1) -> _Open:
     """State inside an element: what its name and attributes say, and what it inherits."""
-    boiler, article, marked = outer.boiler, outer.article, outer.marked
-    if tag in ("article", "main"):
-        article = True
+    boiler, article, marked, firm = False, outer.article, outer.marked, False
+    own = tag if tag in ("article", "main") else ""
+    article = article or bool(own)
     if tag in BOILER_TAGS or (tag == "header" and not article):
-        boiler = True
+        boiler, firm = True, tag in FIRM_TAGS or tag == "header"
     if attributes and not attributes.isspace():
         values = {k.lower(): entities.unescape(a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)}
         marked = marked or "data-main" in values
         if values.get("role") in BOILER_ROLES or "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
-            boiler = True
+            boiler = firm = True
         if values.get("role") in ("main", "article"):
-            article = True
+            article, own = True, own or values["role"]
         if tag not in ("html", "body", "main"):
             names = set(NAME.findall(values.get("class", ""))) | set(NAME.findall(values.get("id", "")))
             if names & BOILER_WORDS and not (names & ARTICLE_WORDS and not names & {"comment", "comments"}) and not (article and names & BOILER_WORDS <= {"header"}):
-                boiler = True
-    return _Open(tag, boiler, article, marked)
+                boiler, firm = True, firm or bool(names & FIRM_WORDS)
+    lifted, sure, inner = outer.lifted, outer.sure, outer.inner or boiler
+    if own and outer.boiler and not outer.firm and (not lifted or own == "main" and not sure):
+        lifted, sure, inner = True, own == "main", boiler
+    wrapper = number if boiler and not outer.boiler else outer.wrapper
+    return _Open(tag, outer.boiler or boiler, article, marked, outer.firm or firm, wrapper, lifted, sure, inner)
+
+
+def _lift(rows: list[tuple[Block, _Open]]) -> list[Block]:
+    """Blocks; those of an article in a page-wide wrapper are judged by what lies between them and the article.
+
+    A wrapper is page-wide if it holds a main element, or at least half of the page's words and no article lies outside of boiler.
+    """
+    if not any(o.lifted for _, o in rows):
+        return [b for b, _ in rows]
+    words: dict[int, int] = {}
+    for b, o in rows:
+        words[o.wrapper] = words.get(o.wrapper, 0) + b.words
+    half, free = sum(words.values()) / 2, not any(b.article and not b.boiler for b, _ in rows)
+    wide = {o.wrapper for _, o in rows if o.lifted and (o.sure or (free and words[o.wrapper] >= half))}
+    return [b._replace(boiler=o.inner) if o.lifted and o.wrapper in wide else b for b, o in rows]
 
 
 def blocks(page: str) -> list[Block]:
@@ -93,7 +123,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = sum(len(entities.unescape(x).split()) for x, in_link in parts if in_link)
                 top = stack[-1]
-                out.append(Block(text, len(text.split()), linked, top.boiler, top.article, heading, top.marked))
+                out.append((Block(text, len(text.split()), linked, top.boiler, top.article, heading, top.marked), top))
             parts = []
 
     at = 0
@@ -113,9 +143,9 @@ def blocks(page: str) -> list[Block]:
             if tag != "span" or not m[4]:
                 continue
             inside = _container(tag, m[4], stack[-1])
-            if inside.boiler == stack[-1].boiler:
+            if inside.boiler == stack[-1].boiler and inside.inner == stack[-1].inner:
                 continue  # a plain span does not end a block
-        if tag == "br":
+        if tag in ("br", "mtr", "mtd"):
             parts.append((" ", False))
             continue
         flush()
@@ -138,11 +168,11 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].tag in limit or stack[k].tag in ("div", "section", "article", "main", "body", "nav", "aside", "footer", "header", "form"):
                     break
         if tag not in VOID and not m[4].endswith("/"):
-            stack.append(_container(tag, m[4], stack[-1]))
+            stack.append(_container(tag, m[4], stack[-1], m.start()))
     if at < len(page):
         parts.append((page[at:], link > 0))
     flush()
-    return out
+    return _lift(out)
 
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "boiler", "place", "heading", "sentence")
@@ -179,6 +209,8 @@ EXAMPLES = (
     f"<div data-main>{_LONG}</div><div class=comments><p>{_MORE}</p><p>{_LONG}</p><p>True.</p></div><div class=related><a href=1>{_LONG}</a></div></body>",
     f"<body><article><h1 data-main>Flood</h1><p data-main>{_LONG}</p><div class=ad>{_LONG}</div><p data-main>{_MORE}</p><aside><p>{_MORE}</p><p>Read on.</p></aside><p data-main>Les.</p><p data-main><a href=7>The first map</a></p><p data-main><a href=8>The second map, drawn after the flood.</a></p><form><p>{_LONG}</p><p>Send it.</p></form>"
     f"<section class=comments><p>{_MORE}</p><p>{_LONG}</p><p>I agree with all of it.</p></section></article></body>",
+    f"<body><div id=page class='site has-sidebar'><header><svg class='i'/><a href=/>Home</a></header><article data-main><h1>Flood</h1><p>{_LONG}</p><p>So it was.</p><p>{_MORE}</p></article><aside><p>{_LONG}</p></aside><footer>All rights reserved.</footer></div></body>",
+    f"<body><form id=aspnetForm><div class=menu><a href=1>Start</a></div><main data-main><h2>Report</h2><p>{_MORE}</p><p>Of <math><mi>x</mi><mo>=</mo><mn>2</mn></math> boats.</p></main><div class=footer><p>{_LONG}</p></div></form></body>",
 )
 
 
