@@ -197,26 +197,22 @@ def similarity_scores(test: DataFrame, train: DataFrame, seed: int = 42) -> Data
 
 
 def loo_scores(train: DataFrame, k: int = 3, seed: int = 42, trees: int = 100, contamination: float = 0.2,
-               folds: int = 5, fit_rows: int = 100_000) -> DataFrame:
-    """Scores of the known sites by models fitted without the row they score.
+               folds: int = 5, fit_rows: int | None = None) -> DataFrame:
+    """Scores of the known sites by models fitted without the fold of the row they score.
 
-    Rows are dealt to ``folds`` folds (as many as rows when there are fewer) by the rank of a hash, and each fold is scored by models
-    fitted on the other folds. A fit takes at most ``fit_rows`` rows, the smallest by a hash of the id; every row is scored. The
-    nearest-neighbour score leaves out just the row itself.
+    Rows are dealt to ``folds`` folds of equal size (as many as rows when there are fewer) by the rank of a hash, and each fold is
+    scored by models fitted on all rows of the other folds: of more than ``folds`` sites a model leaves out a whole fold, not one site.
+    ``fit_rows`` bounds the rows of a fit (the smallest by a hash of the id). The nearest-neighbour score leaves out just the row itself.
     """
     rows = cut(train)
     n = rows.count()
-    order = F.xxhash64(F.lit(seed), "id")
-    dealt = rows.withColumn("_h", order)
+    dealt = rows.withColumn("_h", F.xxhash64(F.lit(seed), "id"))
     folds = min(folds, n)
-    if n <= 1_000:  # few rows: folds of equal size
-        dealt = ordered(dealt, "_h", "id", rank="_r").withColumn("_fold", F.pmod(F.col("_r"), F.lit(max(folds, 1)))).drop("_r")
-    else:
-        dealt = dealt.withColumn("_fold", F.pmod(F.col("_h"), F.lit(folds)))
+    dealt = ordered(dealt, "_h", "id", rank="_r").withColumn("_fold", F.pmod(F.col("_r"), F.lit(max(folds, 1)))).drop("_r")
     dealt, out = cut(dealt), None
     for fold in range(folds):
         test, rest = dealt.filter(F.col("_fold") == fold), dealt.filter(F.col("_fold") != fold)
-        if n > fit_rows:
+        if fit_rows is not None:
             rest = rest.orderBy("_h", "id").limit(fit_rows)
         rest, test = cut(rest.select("id", "name", "v")), test.select("id", "name", "v")
         size = rest.count()
@@ -324,7 +320,7 @@ def rank_candidates(known_rows: DataFrame, cand_rows: DataFrame, seed: int = 42)
     """Rank candidate sites by similarity to known sites, both given as site-toponym rows.
 
     Features, scaler and kept columns come from the known sites. ``above_known`` is the share of candidates that
-    score above the leave-one-out mean of the known sites.
+    score above the mean of the known sites under models fitted without their fold (``loo_scores``).
     """
     known, cand = cut(aggregates.engineer_features(known_rows)), aggregates.engineer_features(cand_rows)
     cols = [c for c in known.columns if c != "site_name"]
