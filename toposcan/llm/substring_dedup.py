@@ -1,10 +1,9 @@
-"""Removal of passages that repeat earlier text, by level-wise doubling of window lengths.
+"""Removal of passages that repeat earlier text, by a one-pass join of windows on their minimizers.
 
-Windows of ``window // 2`` words are the first level. Of these only the one with the smallest hash among those inside a longer
-window is posted (a minimizer): equal long windows hold equal minimizers, so no repeat is missed, and about a sixth of the
-positions remain. Windows of the second level, ``window`` words, travel under their minimizer and are compared only where
-that was met again: windows repeated at one length alone are extended to twice the length. There the ladder ends: what is removed
-is defined by windows of ``window`` words, and every longer repeat is a run of them.
+Every distinct window of ``window`` words of a block is posted once, under the smallest hash of the windows of ``window // 2`` words
+inside it (its minimizer): equal long windows hold equal minimizers, so no repeat is missed. The half-length windows only deal the
+long ones to tasks; they are not counted first, and no level removes candidates before the next. What is removed is
+defined by windows of ``window`` words, and every longer repeat is a run of them.
 
 Before the shuffle every block of a few megabytes compares its own documents: of equal windows only that of the smallest
 document is posted, the others learn their answer at once. A passage found in a third of all documents therefore costs one
