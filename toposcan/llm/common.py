@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from toposcan.session import scratch
@@ -21,6 +25,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def per_process(key: tuple, make: Callable):
+    """``make()``, called once per Python process: functions travel to tasks by value, so a module's globals do not outlive a task."""
+    held = vars(sys.modules.setdefault("_toposcan_held", types.ModuleType("_toposcan_held")))
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key (as long) and the text, under names of their own, so that other columns cannot clash."""
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))

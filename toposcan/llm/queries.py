@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from toposcan.llm import decontaminate, html_blocks, line_dedup, minhash_join, packing, quality_rules, sharding, substring_dedup, toxicity, warc
+from toposcan.llm import decontaminate, html_blocks, line_dedup, minhash_join, packing, quality_rules, sharding, substring_dedup, token_align, toxicity, warc
 from toposcan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.withColumns({c: F.round(c, 6) for c in ("score", "question_share", "answer_share")})
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_align.aligned(table(spark, sf_dir, "documents"), files).withColumnRenamed("id", "doc_id")
+
+
 ORACLES["op5_line_dedup"] = f"""
     WITH d AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')) AS cores,
                       string_split(text, chr(10)) AS lines FROM documents),
