@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from toposcan.llm import decontaminate, html_blocks, line_dedup, minhash_join, packing, quality_rules, sharding, substring_dedup, token_align, toxicity, warc
+from toposcan.llm import decontaminate, html_blocks, line_dedup, minhash_join, packing, prefix_trie, quality_rules, sharding, substring_dedup, token_align, toxicity, warc
 from toposcan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,15 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.aligned(table(spark, sf_dir, "documents"), files).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.encode(F.col("conv_id").cast("string"), "UTF-8")) % 4
+    rebuilt = prefix_trie.share_heads(prefix_trie.keyed(table(spark, sf_dir, "conversations")), every=20, heads=heads, most=3)
+    return prefix_trie.prefix_trie(rebuilt).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
 ORACLES["op5_line_dedup"] = f"""
     WITH d AS (SELECT doc_id, source, text, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{BLANK}+|{BLANK}+$', '', 'g')) AS cores,
                       string_split(text, chr(10)) AS lines FROM documents),
@@ -154,3 +163,24 @@ ORACLES["op9_quality_rules"] = f"""
           FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id),
     judged AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEAT_PERCENT} * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSED} AS kept FROM judged"""
+
+# CRC-32 of the decimal digits, bit by bit (polynomial 0xEDB88320)
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda d: list_transform(range(8), lambda k: (ascii(d)::BIGINT >> k) & 1)))), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384))"""
+ORACLES["op13_prefix_trie"] = f"""
+    WITH said AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn,
+                         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+    ids AS (SELECT conv_id AS c, xor({_CRC}, 4294967295) % 4 AS heads FROM (SELECT DISTINCT conv_id FROM said)),
+    rebuilt AS (SELECT c, 0 AS part, pos, turn FROM ids JOIN said ON conv_id = c - c % 20 AND pos <= heads
+                UNION ALL SELECT c, 1, pos, turn FROM ids JOIN said ON conv_id = c AND pos > heads),
+    convs AS (SELECT ids.c, coalesce(list(turn ORDER BY part, pos) FILTER (turn IS NOT NULL), []) AS turns FROM ids LEFT JOIN rebuilt ON rebuilt.c = ids.c GROUP BY ids.c),
+    prefixes AS (SELECT c, d, turns[1:d] AS path, len(turns) = d AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM convs)),
+    nodes AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends) AS ended FROM prefixes GROUP BY d, path),
+    families AS (SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+    valued AS (SELECT nodes.*, coalesce(n, 0) AS n_children,
+                      CASE WHEN nodes.d = 0 THEN 0 ELSE (n_convs - 1) * len(list_filter(regexp_split_to_array(nodes.path[-1].text, '{BLANK}+'), lambda x: x <> '')) END AS own
+               FROM nodes LEFT JOIN families ON families.d = nodes.d AND families.path = nodes.path),
+    above AS (SELECT e AS d, path[1:e] AS path, sum((n_children = 0)::INT) AS leaves, sum(own) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM valued) GROUP BY ALL)
+    SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+           sha256(coalesce(v.ended, '')) AS ends_sha256
+    FROM valued v JOIN above a ON a.d = v.d AND a.path = v.path LEFT JOIN nodes p ON p.d = v.d - 1 AND p.path = v.path[1:v.d - 1]"""
