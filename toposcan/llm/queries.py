@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from toposcan.llm import decontaminate, html_blocks, line_dedup, minhash_join, packing, prefix_trie, quality_rules, sharding, substring_dedup, token_align, toxicity, warc
+from toposcan.llm import decontaminate, html_blocks, line_dedup, minhash_join, packing, personal_data, prefix_trie, quality_rules, sharding, substring_dedup, token_align, toxicity, warc
 from toposcan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.withColumns({c: F.round(c, 6) for c in ("score", "question_share", "answer_share")})
 
 
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in personal_data.KINDS], F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans")
+    )
+
+
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
