@@ -377,29 +377,6 @@ def test_quality_of_any_labels(spark):
     assert first.silhouette > 0.6 and tuple(first) == pytest.approx(tuple(second))
 
 
-def test_leave_one_out_scores_every_row_of_a_larger_table(spark):
-    df = spark.range(1_200).select("id", F.concat(F.lit("s"), "id").alias("name"), F.array((F.col("id") % 40).cast("double"), (F.col("id") % 7).cast("double")).alias("v"))
-    got = similarity.loo_scores(df, trees=4, folds=2, fit_rows=300)
-    assert got.filter("composite_score is not null").count() == 1_200
-
-
-def test_fold_models_see_all_rows_of_the_other_folds(spark, monkeypatch):
-    seen = []
-
-    def stub(column):
-        def score(test, train, *_, **__):
-            seen.append((test.count(), train.count()))
-            return test.select("id", F.lit(0.5).alias(column))
-        return score
-
-    for name, column in (("cluster_score", "cluster_score"), ("gmm_score", "log_likelihood"), ("isolation_score", "anomaly_score")):
-        monkeypatch.setattr(similarity, name, stub(column))
-    monkeypatch.setattr(similarity.vectors, "knn_score", lambda test, train, **_: test.select("id", F.lit(0.5).alias("knn_score")))
-    df = spark.range(126_000).select("id", F.lit("s").alias("name"), F.array(F.col("id").cast("double")).alias("v"))
-    assert similarity.loo_scores(df).count() == 126_000
-    assert seen == [(25_200, 100_800)] * 15
-
-
 def test_splits_round_the_validation_part_up(spark):
     one = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(4)], "site_id BIGINT, culture_tag STRING")
     assert sampling.stratified_split(one, 0.3).filter("split = 'val'").count() == 2

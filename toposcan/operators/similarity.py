@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from toposcan.operators import aggregates, vectors
+from toposcan.operators import aggregates, leaveout, vectors
 from toposcan.operators.dictionary import examples
 from toposcan.operators.ordered import ordered, quantiles, rank_by
 from toposcan.operators.textmine import cluster_first_word
@@ -123,36 +123,6 @@ def gmm_score(test: DataFrame, train: DataFrame, k: int = 3, seed: int = 42) ->
     return d.withColumn("gaussian_score", F.exp("log_likelihood"))
 
 
-def _path_norm(n: float) -> float:
-    if n <= 1:
-        return 0.0
-    return 1.0 if n == 2 else 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
-
-
-def _grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple:
-    """Random tree as nested tuples (feature, cut, left, right); a leaf is its expected remaining depth."""
-    spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else []
-    if depth == 0 or len(x) <= 1 or not len(spread):
-        return (_path_norm(len(x)),)
-    f = int(rng.choice(spread))
-    at = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-    left = x[:, f] <= at
-    return f, at, _grow(x[left], depth - 1, rng), _grow(x[~left], depth - 1, rng)
-
-
-def _depths(tree: tuple, x: np.ndarray, at: float = 0.0) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), at + tree[0])
-    out, left = np.empty(len(x)), x[:, tree[0]] <= tree[1]
-    out[left], out[~left] = _depths(tree[2], x[left], at + 1), _depths(tree[3], x[~left], at + 1)
-    return out
-
-
-def _normality(forest: list, size: int, x: np.ndarray) -> np.ndarray:
-    mean = np.mean([_depths(t, x) for t in forest], axis=0)
-    return -np.power(2.0, -mean / (_path_norm(size) or 1.0))
-
-
 def isolation_score(test: DataFrame, train: DataFrame, trees: int = 100, contamination: float = 0.2, seed: int = 42,
                     tree_rows: int = 256) -> DataFrame:
     """``id, anomaly_score`` = (decision + 1) / 2 of an isolation forest fitted on the known sites.
@@ -160,24 +130,21 @@ def isolation_score(test: DataFrame, train: DataFrame, trees: int = 100, contami
     Every tree is grown in a task of its own from a hash sample of at most ``tree_rows`` rows (the algorithm's own
     subsample), whatever the size of the table; the trees (bounded by that) travel with the scoring job.
     """
-    n = train.count()
-    share = 2.0 if n <= 2 * tree_rows else 2.0 * tree_rows / n  # twice what is needed, cut in the tree's task
-    order = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("id")), F.lit(1 << 30)) / float(1 << 30)
-    picks = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: order(t) < share)
-    sample = train.select("id", "v", F.explode(picks).alias("tree")).withColumn("h", order(F.col("tree")))
-
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "id"]).head(tree_rows)
-        x = np.array(pdf["v"].tolist(), dtype=float)
-        tree = _grow(x, max(1, math.ceil(math.log2(max(len(x), 2)))), np.random.default_rng([seed, int(pdf["tree"].iat[0])]))
+        x = np.array(pdf.sort_values(["h", "id"]).head(tree_rows)["v"].tolist(), dtype=float)
+        tree = leaveout.grow(x, leaveout.max_depth(len(x)), seed, int(pdf["tree"].iat[0]))
         return pd.DataFrame({"size": [len(x)], "tree": [pickle.dumps(tree)]})
 
+    sample = leaveout.tree_samples(train, train.count(), trees, seed, tree_rows)
     grown = sample.groupBy("tree").applyInPandas(grow, "size INT, tree BINARY").collect()  # ``trees`` rows of at most ``tree_rows`` leaves
     forest, size = [pickle.loads(r["tree"]) for r in grown], max(r["size"] for r in grown)
 
     @F.pandas_udf(T.DoubleType())
     def normality(v: pd.Series) -> pd.Series:
-        return pd.Series(_normality(forest, size, np.array(v.tolist(), dtype=float))) if len(v) else pd.Series([], dtype=float)
+        if not len(v):
+            return pd.Series([], dtype=float)
+        x = np.array(v.tolist(), dtype=float)
+        return pd.Series(leaveout.normality(np.mean([leaveout.depths(t, x) for t in forest], axis=0), size))
 
     offset = quantiles(cut(train.select(normality("v").alias("s"))), "s", {"q": contamination}).first()[0]
     return test.select("id", ((normality("v") - F.lit(offset) + 1.0) / 2.0).alias("anomaly_score"))
@@ -196,36 +163,25 @@ def similarity_scores(test: DataFrame, train: DataFrame, seed: int = 42) -> Data
     return composite_similarity(d)
 
 
-def loo_scores(train: DataFrame, k: int = 3, seed: int = 42, trees: int = 100, contamination: float = 0.2,
-               folds: int = 5, fit_rows: int | None = None) -> DataFrame:
-    """Scores of the known sites by models fitted without the fold of the row they score.
+def loo_scores(train: DataFrame, k: int = 3, seed: int = 42, trees: int = 100, contamination: float = 0.2) -> DataFrame:
+    """Scores of every known site (``id, name, v``) by models of all the others.
 
-    Rows are dealt to ``folds`` folds of equal size (as many as rows when there are fewer) by the rank of a hash, and each fold is
-    scored by models fitted on all rows of the other folds: of more than ``folds`` sites a model leaves out a whole fold, not one site.
-    ``fit_rows`` bounds the rows of a fit (the smallest by a hash of the id). The nearest-neighbour score leaves out just the row itself.
+    No model is refitted per site: each is fitted once and the site's share taken out of it, see :mod:`toposcan.operators.leaveout`. A single site has
+    null scores; of fewer than four the mixture score is that of the neighbours.
     """
-    rows = cut(train)
+    rows = cut(train.select("id", "name", "v"))
     n = rows.count()
-    dealt = rows.withColumn("_h", F.xxhash64(F.lit(seed), "id"))
-    folds = min(folds, n)
-    dealt = ordered(dealt, "_h", "id", rank="_r").withColumn("_fold", F.pmod(F.col("_r"), F.lit(max(folds, 1)))).drop("_r")
-    dealt, out = cut(dealt), None
-    for fold in range(folds):
-        test, rest = dealt.filter(F.col("_fold") == fold), dealt.filter(F.col("_fold") != fold)
-        if fit_rows is not None:
-            rest = rest.orderBy("_h", "id").limit(fit_rows)
-        rest, test = cut(rest.select("id", "name", "v")), test.select("id", "name", "v")
-        size = rest.count()
-        if size:
-            d = test.select("id", "name").join(cluster_score(test, rest, min(k, size), seed), "id")
-            mixture = gmm_score(test, rest, k, seed).select("id", "log_likelihood") if size >= 3 else test.select("id", F.lit(None).cast("double").alias("log_likelihood"))
-            part = d.join(mixture, "id").join(isolation_score(test, rest, trees, contamination, seed), "id")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        zero = F.lit(None).cast("double")
-        out = train.select("id", "name", zero.alias("cluster_score"), zero.alias("log_likelihood"), zero.alias("anomaly_score"))
-    knn = vectors.knn_score(train.select("id", "v"), train.select("id", "v"), leave_one_out=True)
-    d = out.join(knn, "id", "left")
+    none = rows.select("id", F.lit(None).cast("double").alias("s"))
+    pairs = rows.select("id", "v")
+    parts = [
+        leaveout.cluster_scores(pairs, min(k, n - 1), seed) if n > 2 else vectors.knn_score(pairs, pairs, leave_one_out=True).withColumnRenamed("knn_score", "cluster_score"),
+        leaveout.mixture_scores(pairs, min(k, n - 1), seed) if n > 3 else none.withColumnRenamed("s", "log_likelihood"),
+        leaveout.forest_scores(pairs, trees, contamination, seed) if n > 1 else none.withColumnRenamed("s", "anomaly_score"),
+        vectors.knn_score(pairs, pairs, leave_one_out=True),
+    ]
+    d = rows.select("id", "name")
+    for part in parts:
+        d = d.join(part, "id", "left")
     return composite_similarity(d.withColumn("gaussian_score", F.coalesce(F.exp("log_likelihood"), "knn_score")))
 
 
@@ -320,7 +276,7 @@ def rank_candidates(known_rows: DataFrame, cand_rows: DataFrame, seed: int = 42)
     """Rank candidate sites by similarity to known sites, both given as site-toponym rows.
 
     Features, scaler and kept columns come from the known sites. ``above_known`` is the share of candidates that
-    score above the mean of the known sites under models fitted without their fold (``loo_scores``).
+    score above the mean of the known sites, each scored by models without itself (``loo_scores``).
     """
     known, cand = cut(aggregates.engineer_features(known_rows)), aggregates.engineer_features(cand_rows)
     cols = [c for c in known.columns if c != "site_name"]

@@ -320,7 +320,7 @@ def _(v):
 
 @query("ml7_leave_one_out")
 def _(v):
-    """Every known site by cluster, mixture and forest models fitted without its fold, and by its neighbours without itself."""
+    """Every known site by cluster, mixture and forest models without it, and by its neighbours."""
     f = agg.engineer_features(v("v_site_toponym"))
     cols = [c for c in f.columns if c != "site_name"]
     x = sim.to_vectors(sim.scale(f, cols), cols)
