@@ -1,7 +1,7 @@
 """Nearest vectors: exact top-k by cosine similarity or Euclidean distance, and name embeddings.
 
-A side that is proven small travels with the job; otherwise both sides are cut into blocks and
-every block pair is one matrix product. Pairs never become rows: a block pair yields k rows per query.
+A side that is proven small travels with the job; otherwise an index of cells is asked (:mod:`toposcan.operators.metric_index`). Pairs never become
+rows: a meeting of two blocks yields k rows per query.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from toposcan.functions import text
+from toposcan.operators import metric_index
 
 SMALL_ROWS = 2048  # rows of a side that may travel with the job
 SMALL_BYTES = 32 << 20
@@ -92,19 +93,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, metric: str = "cosin
                     yield _best(q_ids, q, b["id"].to_numpy(), _matrix(b["v"], metric), k, metric, skip_self)
 
         return _merge(index.mapInPandas(against_queries, OUT), k)
-    nq, ni = (max(1, math.ceil(d.count() / BLOCK_ROWS)) for d in (queries, index))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = queries.select("id", "v", block(nq).alias("qb"), every(ni).alias("ib"))
-    right = index.select("id", "v", block(ni).alias("ib"), every(nq).alias("qb"))
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _best(a["id"].to_numpy(), _matrix(a["v"], metric), b["id"].to_numpy(), _matrix(b["v"], metric), k, metric, skip_self)
-
-    parts = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(pair, OUT)
-    return _merge(parts, k)
+    return metric_index.top_k(queries, index, k, metric, skip_self)
 
 
 def _merge(parts: DataFrame, k: int) -> DataFrame:
@@ -180,7 +169,7 @@ def hash_embedding(dim: int = 512, seed: int = 42):
 def block_sums(rows: DataFrame, n_labels: int) -> DataFrame:
     """``id, label, other, total``: sum of Euclidean distances of every row to all rows of each label.
 
-    ``rows`` is ``id, label INT, v``. Blocks meet as in :func:`top_k`; a block pair yields one row per id and label.
+    ``rows`` is ``id, label INT, v``. Every block meets every block; a block pair yields one row per id and label.
     """
     n = max(1, math.ceil(rows.count() / BLOCK_ROWS))
     block = F.pmod(F.xxhash64("id"), F.lit(n))
