@@ -3,8 +3,10 @@
 import io
 import json
 import math
+import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,13 +164,39 @@ def test_sweep_metrics_equal_single_evaluations(spark, ranked, known):
         assert r.map == pytest.approx(metrics.map_score(kept, known).first()[0])
 
 
-def test_sweep_in_chunks(spark, monkeypatch):
-    c = spark.createDataFrame([(float(i % 17), float(i % 11)) for i in range(200)], "dist_km DOUBLE, occ_pct DOUBLE")
-    g = spark.createDataFrame([(float(d), float(o)) for d in range(-1, 18, 3) for o in range(-1, 12, 2)], "D DOUBLE, O DOUBLE")
-    whole = sorted(map(tuple, trials.sweep(c, g).collect()))
-    assert whole == sorted((float(d), float(o), sum(1 for i in range(200) if i % 17 >= d and i % 11 <= o)) for d in range(-1, 18, 3) for o in range(-1, 12, 2))
-    monkeypatch.setattr(trials, "CHUNK", 5)
-    assert sorted(map(tuple, trials.sweep(c, g).collect())) == whole
+def test_sweep_counts_by_dominance(spark):
+    rng = random.Random(6)
+    pick = lambda: rng.choice([None, *range(-2, 30), 3.5, 3.5])
+    rows = [(pick(), pick()) for _ in range(600)]
+    grid = [(rng.choice([-5, 0, 3.5, *range(40)]), rng.choice([-9, 2, 3.5, *range(40)])) for _ in range(400)] + [(None, 3.0)]
+    frame = lambda data, cols: spark.createDataFrame([tuple(None if x is None else float(x) for x in r) for r in data], cols)
+    got = sorted(map(tuple, trials.sweep(frame(rows, "dist_km DOUBLE, occ_pct DOUBLE"), frame(grid, "D DOUBLE, O DOUBLE")).collect()), key=str)
+    want = {(d, o): sum(1 for x, y in rows if None not in (x, y, d) and x >= d and y <= o) for d, o in grid}
+    assert got == sorted(((d if d is None else float(d), float(o), n) for (d, o), n in want.items()), key=str)
+
+
+def test_sweep_of_five_thousand_trials_reads_the_candidates_once(spark):
+    c = spark.range(20_000).select((F.col("id") * 7919 % 1009).cast("double").alias("dist_km"), (F.col("id") * 104729 % 997).cast("double").alias("occ_pct"))
+    g = spark.range(5_000).select((F.col("id") * 37 % 1200 - 50.5).alias("D"), (F.col("id") * 91 % 1100 - 20.5).alias("O"))
+    out = trials.sweep(c, g)
+    assert "Range (0, 20000" not in out._jdf.queryExecution().optimizedPlan().toString()  # counted once, into cells
+    x = np.array(c.collect())
+    for r in out.filter("pmod(cast(D as int), 97) = 3").collect():
+        assert r.n == int(((x[:, 0] >= r.D) & (x[:, 1] <= r.O)).sum())
+    assert out.count() == g.distinct().count()
+
+
+def test_sweep_metrics_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["rio", "lagoa", None]), rng.uniform(-67.02, -66.98), rng.uniform(-10.02, -9.98), rng.uniform(0, 9), rng.choice([None, 1.0, 2.0, 3.0])) for i in range(300)]
+    c = spark.createDataFrame(rows, "cand_id BIGINT, root STRING, lon DOUBLE, lat DOUBLE, dist_km DOUBLE, occ_pct DOUBLE")
+    known = spark.createDataFrame([(i, rng.uniform(-67.02, -66.98), rng.uniform(-10.02, -9.98)) for i in range(12)], "site_id BIGINT, lon DOUBLE, lat DOUBLE")
+    g = spark.createDataFrame([(d / 2, float(o)) for d in range(20) for o in range(4)], "D DOUBLE, O DOUBLE")
+    run = lambda: [[round(x, 9) for x in r] for r in sorted(map(tuple, trials.sweep_metrics(c, known, g, {"rio": 1.0, "lagoa": 0.5}, k=20).collect()))]
+    one = run()
+    monkeypatch.setattr(trials, "BLOCK_ROWS", 17)
+    monkeypatch.setattr(trials, "TRIALS_PER_ROW", 7)
+    assert run() == one and len(one) == 80 and any(r[4] > 0 for r in one)
 
 
 def test_composite_score_of_zero_candidates(spark):

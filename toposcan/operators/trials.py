@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from toposcan.operators import metrics, spatial
 from toposcan.operators.aggregates import one_row, value_counts
 from toposcan.operators.candidates import score_weighted
-from toposcan.operators.ordered import ordered, position, quantiles
+from toposcan.operators.ordered import ordered, quantiles
 from toposcan.session import cut
 
 
@@ -272,83 +273,132 @@ def validate_summary(trials: DataFrame, declared_total: int, declared_ok: int, w
 
 # ---- threshold sweep -----------------------------------------------------------------------------
 
-CHUNK = 256  # trials per pass over the candidates
+#: Candidates whose ranks one task follows through all trials.
+BLOCK_ROWS = 65_536
+#: Trials whose counts travel as one row.
+TRIALS_PER_ROW = 512
+_BLOCK_BITS = 6  # ranks of occurrence that are summed together
 
 
-def _by_threshold(cands: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidate counts per trial of ``grid`` (``D, O``) and ``keys``, without a row per candidate and trial.
-
-    A candidate matters only through the largest D it reaches and the smallest O that admits it. Counts per
-    such cell are joined to the trials, so the join does not grow with the candidates. Many trials are taken in chunks.
-    """
-    grid = grid.select("D", "O").distinct()
-    n = grid.count()
-    chunks = max(1, math.ceil(n / CHUNK))
-    part = F.pmod(F.xxhash64("D", "O"), F.lit(chunks))
-    return reduce(DataFrame.unionByName, [_chunk_counts(cands, grid.filter(part == i), keys) for i in range(chunks)])
-
-
-def _chunk_counts(cands: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
-    rows = grid.collect()  # about CHUNK rows
-    ds, os = sorted({r["D"] for r in rows}), sorted({r["O"] for r in rows})
-    d = cands.select(*keys, "dist_km", "occ_pct").dropna(subset=["dist_km", "occ_pct"])
-    # _d: number of thresholds D reached; _o: number of thresholds O that are too small
-    d = d.withColumns({"_d": F.lit(len(ds)) - position(-F.col("dist_km"), [-x for x in reversed(ds)]), "_o": position(F.col("occ_pct"), os)})
-    cells = d.groupBy(*keys, "_d", "_o").agg(_n().alias("n")).filter((F.col("_d") > 0) & (F.col("_o") < len(os)))
-    reach = cells.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_d"))))
-    spark = cands.sparkSession
-    trials = spark.createDataFrame([(float(r["D"]), float(r["O"]), ds.index(r["D"]) + 1, os.index(r["O"])) for r in rows],
-                                   "D DOUBLE, O DOUBLE, _i INT, _j INT")
-    return (reach.join(F.broadcast(trials), "_i").filter(F.col("_o") <= F.col("_j"))
-            .groupBy("D", "O", *keys).agg(F.sum("n").alias("n")))
+def _place(value: Column, table: Column, at_value: bool, steps: int = 24) -> Column:
+    """Number of entries of the sorted array ``table`` below ``value`` (``at_value``: up to it), by halving steps."""
+    fits = lambda x: x <= value if at_value else x < value
+    powers = F.array(*[F.lit(1 << s) for s in range(steps - 1, -1, -1)])
+    return F.aggregate(powers, F.lit(0), lambda at, step: F.when(fits(F.get(table, at + step - 1)), at + step).otherwise(at))
 
 
 def sweep(cands: DataFrame, grid: DataFrame) -> DataFrame:
-    """Number of candidates with ``dist_km >= D`` and ``occ_pct <= O`` for every trial."""
-    counts = _by_threshold(cands, grid, [])
-    return grid.distinct().join(counts, ["D", "O"], "left").select("D", "O", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-
+    """Number of candidates with ``dist_km >= D`` and ``occ_pct <= O`` for every trial.
 
-def _harmonic(n: Column) -> Column:
+    Offline dominance counting over ranks of the thresholds. A candidate counts in the cell (thresholds D reached, thresholds O too small); the
+    candidates are read once, whatever the number of trials. A cell goes to the dyadic blocks of its D rank, one per level; a block keeps prefix counts
+    over the O ranks (within runs of 64 ranks, and over runs). The D ranks of a trial are a union of at most one block per level,
+    so it adds as many numbers as there are levels. No row per candidate and trial, no window longer than the thresholds over 64.
+    """
+    grid = grid.select("D", "O").distinct()
+    found = grid.agg(*[F.sort_array(F.collect_set(F.col(c).cast("double"))).alias(c) for c in ("D", "O")]).first()  # two numbers a trial
+    table = lambda c: F.split(F.lit(",".join(map(repr, found[c]))), ",").cast("array<double>")  # noqa: E731 folded to one literal
+    top = max(1, len(found["D"]).bit_length())
+    levels = F.sequence(F.lit(0), F.lit(top - 1))
+    cells = cut(cands.select("dist_km", "occ_pct").dropna()
+                .groupBy(_place(F.col("dist_km"), table("D"), True).alias("i"), _place(F.col("occ_pct"), table("O"), False).alias("j"))
+                .agg(_n().alias("n")).filter("i > 0"))  # the one scan of the candidates
+    held = cells.select(F.explode(levels).alias("level"), "i", "j", "n").select("level", F.expr("shiftright(i, level)").alias("block"), "j", "n")
+    # the blocks of ranks from i up: always the largest one that begins there
+    first = _place(F.col("D"), table("D"), True)
+    ask = grid.dropna().withColumns({"i": first, "j": _place(F.col("O"), table("O"), False)})
+    ask = ask.withColumn("level", F.explode(levels))
+    at = F.expr("shiftright(i + shiftleft(1, level) - 1, level)")  # first block of the level at or above i
+    ask = ask.withColumn("block", at).filter((F.col("block") % 2 == 1) & (F.expr("shiftleft(block, level)") < (1 << top)))
+    rows = held.unionByName(ask.select("level", "block", "j", F.lit(0).cast("bigint").alias("n")))
+    rows = rows.groupBy("level", "block", "j").agg(F.sum("n").alias("n")).withColumn("run", F.shiftright("j", _BLOCK_BITS))
+    runs = rows.groupBy("level", "block", "run").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("level", "block").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("level", "block", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("level", "block", "run").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = rows.withColumn("upto", F.sum("n").over(upto)).join(runs, ["level", "block", "run"])
+    asked = ask.join(prefix.select("level", "block", "j", (F.col("before") + F.col("upto")).alias("n")), ["level", "block", "j"], "left")
+    counts = asked.groupBy("D", "O").agg(F.sum("n").alias("n"))
+    return grid.join(counts, ["D", "O"], "left").select("D", "O", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def _harmonic(n: np.ndarray) -> np.ndarray:
     """1 + 1/2 + ... + 1/n; beyond 40 terms by the asymptotic series (error below 1e-14)."""
-    x = n.cast("double")
-    short = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.lit(40))).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i)
-    series = F.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, 4))
-    return F.when(n <= 0, 0.0).when(n <= 40, short).otherwise(series)
+    short = np.append(0.0, np.cumsum(1.0 / np.arange(1, 41)))
+    x = np.maximum(n, 1).astype(float)
+    series = np.log(x) + 0.5772156649015329 + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x**4)
+    return np.where(n <= 40, short[np.clip(n, 0, 40)], series)
+
+
+def _passing(pdf: pd.DataFrame, trials: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(trial, which candidates pass it), candidates in the order of their rank."""
+    dist, occ = pdf["dist_km"].to_numpy(), pdf["occ_pct"].to_numpy()
+    for t, (d, o) in enumerate(trials):
+        yield t, (dist >= d) & (occ <= o)
 
 
 def sweep_metrics(cands: DataFrame, known: DataFrame, grid: DataFrame, weights: dict[str, float], k: int = 100,
                   max_m: float = 500.0, tie: str = "cand_id", site: str = "site_id") -> DataFrame:
     """Count, recall@k, mAP and composite score for every (D, O) of ``grid``.
 
-    Scores do not depend on the thresholds, so the candidates are ranked once. Only candidates near a known
-    site ("hits") need a rank per trial: it is one plus the number of better candidates that pass, and
-    those are counted between consecutive hits. The mean precision over all ranks is a sum over hits, because a hit at
-    rank r adds 1/r + ... + 1/n.
+    Scores do not depend on the thresholds, so the candidates are ranked once and cut into blocks of ``BLOCK_ROWS`` consecutive ranks. A block
+    counts what passes each trial; running totals over the blocks tell how many better candidates pass before it, and a second look
+    gives the ranks of its candidates near a known site ("hits"). The mean precision over all ranks is a sum over hits, because a hit at
+    rank r adds 1/r + ... + 1/n. Rows are blocks x trials in packs of ``TRIALS_PER_ROW``, and the first k candidates of a trial at most.
+    The trials (two numbers each) travel with the job.
     """
-    scored = score_weighted(cands, weights).select(tie, "total_score", "dist_km", "occ_pct", "lon", "lat")
-    flagged = cut(spatial.is_hit(scored, known, max_m).withColumn("_h", F.col("is_hit").cast("int")))
-    ranked = cut(ordered(flagged, "total_score", tie, desc=True, sums={"seg": "_h"}).drop("rank"))
-    counts = _by_threshold(ranked, grid, ["seg"])
-    upto = Window.partitionBy("D", "O").orderBy("seg").rangeBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    total = counts.groupBy("D", "O").agg(F.sum("n").alias("total"))
-    hits = ranked.filter("is_hit").select(tie, F.col("seg"), "dist_km", "occ_pct")
-    # a hit that passes a trial is itself counted in its own segment there, so the equi-join finds it
-    passing = (hits.join(before, "seg").filter((F.col("dist_km") >= F.col("D")) & (F.col("occ_pct") <= F.col("O")))
-               .join(total, ["D", "O"]).select("D", "O", tie, "total", (F.col("before") + 1).alias("r")))
-    ap = passing.groupBy("D", "O").agg(
-        (F.sum(_harmonic(F.col("total")) - _harmonic(F.col("r") - 1)) / F.max("total")).alias("map"))
+    trials_df = grid.select("D", "O").distinct().orderBy("D", "O")
+    trials = np.array([(r["D"], r["O"]) for r in trials_df.collect()], float).reshape(-1, 2)
+    packs = [slice(lo, lo + TRIALS_PER_ROW) for lo in range(0, len(trials), TRIALS_PER_ROW)]
+    scored = score_weighted(cands, weights).select(F.col(tie).cast("bigint").alias("_tie"), "total_score", "dist_km", "occ_pct", "lon", "lat").dropna(subset=["dist_km", "occ_pct"])
+    flagged = cut(spatial.is_hit(scored, known, max_m))
+    ranked = cut(ordered(flagged, "total_score", "_tie", desc=True).withColumn("_block", F.floor((F.col("rank") - 1) / BLOCK_ROWS)))
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(len(trials), np.int64)
+        for t, ok in _passing(pdf, trials):
+            n[t] = np.count_nonzero(ok)
+        return pd.DataFrame({"_block": key[0], "pack": range(len(packs)), "n": [n[p].tolist() for p in packs]})
+
+    def totals(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        n = np.array(pdf["n"].tolist())
+        upto = np.cumsum(n, 0)
+        return pd.DataFrame({"_block": pdf["_block"], "pack": key[0], "before": list(upto - n), "total": [upto[-1]] * len(pdf)})
+
+    packed = "_block BIGINT, pack INT, n ARRAY<BIGINT>"
+    counts = ranked.select("_block", "dist_km", "occ_pct").groupBy("_block").applyInPandas(count, packed)
+    before = cut(counts.groupBy("pack").applyInPandas(totals, "_block BIGINT, pack INT, before ARRAY<BIGINT>, total ARRAY<BIGINT>"))
+
+    def follow(pdf: pd.DataFrame, packs_: pd.DataFrame) -> pd.DataFrame:
+        packs_ = packs_.sort_values("pack")
+        start, total = (np.concatenate(packs_[c].tolist()) for c in ("before", "total"))
+        pdf = pdf.sort_values("rank")
+        hit, ids, out = pdf["is_hit"].to_numpy(bool), pdf["_tie"].to_numpy(), []
+        for t, ok in _passing(pdf, trials):
+            at = np.flatnonzero(ok & hit)
+            if len(at):
+                r = start[t] + np.cumsum(ok)[at]
+                ap = float((_harmonic(total[t : t + 1]) - _harmonic(r - 1)).sum()) / total[t]
+                out.append((t, ap, ids[at[r <= k]]))
+        return pd.DataFrame(out, columns=["t", "ap", "first"])
+
+    order = ranked.select("_block", "rank", "_tie", "is_hit", "dist_km", "occ_pct")
+    parts = cut(order.groupBy("_block").cogroup(before.groupBy("_block")).applyInPandas(follow, "t INT, ap DOUBLE, first ARRAY<BIGINT>"))
     near = spatial.near_pairs(
-        spatial.with_planar(ranked.filter("is_hit").select(tie, "lon", "lat"), "utm21s").select(tie, "x", "y"),
+        spatial.with_planar(ranked.filter("is_hit").select("_tie", "lon", "lat"), "utm21s").select("_tie", "x", "y"),
         spatial.with_planar(known, "utm21s", x="x2", y="y2").select(F.col(site).alias("site"), "x2", "y2"), max_m)
-    matched = (passing.filter(F.col("r") <= k).join(near.select(tie, "site", "dist"), tie)
-               .groupBy("D", "O", "site", "dist").agg(_n().alias("n"))
-               .groupBy("D", "O", "site").agg(F.min_by("n", "dist").alias("n"))
-               .groupBy("D", "O").agg(F.sum("n").alias("matched")))
-    n_known = known.agg(_n()).scalar()
-    out = grid.select("D", "O").distinct().join(total, ["D", "O"], "left").join(ap, ["D", "O"], "left").join(matched, ["D", "O"], "left")
-    out = out.withColumn("_k", n_known).select(
+    matched = (parts.select("t", F.explode("first").alias("_tie")).join(near.select("_tie", "site", "dist"), "_tie")
+               .groupBy("t", "site", "dist").agg(_n().alias("n"))
+               .groupBy("t", "site").agg(F.min_by("n", "dist").alias("n"))
+               .groupBy("t").agg(F.sum("n").alias("matched")))
+    sizes = before.groupBy("pack").agg(F.any_value("total").alias("total")).select("pack", F.posexplode("total").alias("p", "total"))
+    sizes = sizes.select((F.col("pack") * TRIALS_PER_ROW + F.col("p")).alias("t"), "total")
+    spark = cands.sparkSession
+    out = spark.createDataFrame([(t, float(d), float(o)) for t, (d, o) in enumerate(trials)], "t INT, D DOUBLE, O DOUBLE")
+    for part in (sizes, parts.groupBy("t").agg(F.sum("ap").alias("map")), matched):
+        out = out.join(part, "t", "left")
+    out = out.withColumn("_k", known.agg(_n()).scalar()).select(
         "D", "O", F.coalesce("total", F.lit(0)).cast("bigint").alias("n_candidates"),
         F.coalesce(F.try_divide(F.col("matched"), F.col("_k")), F.lit(0.0)).alias("recall"), F.coalesce("map", F.lit(0.0)).alias("map"))
     return out.withColumn("composite_score", metrics.composite(F.col("recall"), F.col("map"), F.col("n_candidates")))
