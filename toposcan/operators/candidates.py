@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from toposcan.functions import text
+from toposcan.operators import multipattern
 from toposcan.operators.ordered import quantiles, top_k
 
 # Share of the distance estimate by toponym type, and the base used without a distance.
@@ -28,11 +29,11 @@ def clip(col: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), col))
 
 
-def infer_type(df: DataFrame, roots: DataFrame, name: str = "normalized_name", max_roots: int = 5000) -> DataFrame:
+def infer_type(df: DataFrame, roots: DataFrame, name: str = "normalized_name", max_roots: int = 64) -> DataFrame:
     """Add ``type``: category of the first dictionary root (by ``ord``) that is a substring of the name.
 
-    The dictionary becomes one expression up to ``max_roots`` rows. A larger one is matched by
-    equality: names are cut to the substrings of the lengths that occur in the dictionary. Rows and columns are the same.
+    The dictionary becomes one expression up to ``max_roots`` rows. A larger one is searched by automata over the distinct names
+    (:mod:`toposcan.operators.multipattern`). Rows and columns are the same.
     """
     columns = [F.col(f"`{c}`") for c in df.columns if c != "type"]
     label = "category" if "category" in roots.columns else "root"
@@ -42,14 +43,10 @@ def infer_type(df: DataFrame, roots: DataFrame, name: str = "normalized_name", m
     if len(known) <= max_roots:
         tries = [F.when(F.col(name).contains(r["root"]), F.lit(r["label"])) for r in known]
         return df.select(*columns, (F.coalesce(*tries) if tries else F.lit(None).cast("string")).alias("type"))
-    lengths = [r[0] for r in first.select(F.length("root")).distinct().collect()]
-    cut = lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i: F.substring(F.col(name), i, F.lit(n)))
     df = df.drop("type")
-    parts = df.select(name).distinct().withColumn("root", F.explode(F.array_distinct(F.concat(*[cut(n) for n in lengths]))))
-    best = parts.join(first.select("root", "r.label", "ord"), "root").groupBy(name).agg(
-        F.min_by("label", "ord").alias("type"))
-    return df.join(best, name, "left").select(*columns, "type")
+    found = multipattern.first_contained(df.select(F.col(name).alias("text")), first.select(F.col("root").alias("pattern"), F.col("ord").alias("number")))
+    best = found.join(first.groupBy(F.col("ord").alias("number")).agg(F.any_value("r.label").alias("type")), "number")
+    return df.join(best.select(F.col("text").alias(name), "type"), name, "left").select(*columns, "type")
 
 
 def estimate_occurrence(df: DataFrame, kind: str = "type", dist: str = "dist_km") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from toposcan.functions import text
+from toposcan.operators import multipattern
 
 # Beginnings of words that are no root candidates.
 STOP_PREFIXES = ["de", "da", "do", "das", "dos", "rua", "avenida", "travessa", "estrada"]
@@ -74,18 +75,14 @@ def shared_affixes(df: DataFrame, name: str = "name") -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _substrings(c: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))))
-
-
 def root_matches(patterns: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``pattern, root`` where one contains the other, by equality on substrings."""
+    """Pairs ``pattern, root`` where one contains the other, by automata over either side."""
     p = patterns.select("pattern").filter(F.length("pattern") > 0).distinct()
     r = roots.select("root").filter(F.length("root") > 0).distinct()
-    inside = p.select("pattern", F.explode(_substrings(F.col("pattern"))).alias("root")).join(r, "root")
-    around = r.select("root", F.explode(_substrings(F.col("root"))).alias("pattern")).join(p, "pattern")
-    return inside.select("pattern", "root").unionByName(around.select("pattern", "root")).distinct()
+    inside = multipattern.contained_pairs(p.select(F.col("pattern").alias("text")), r.select(F.col("root").alias("pattern")))
+    around = multipattern.contained_pairs(r.select(F.col("root").alias("text")), p)
+    return inside.select(F.col("text").alias("pattern"), F.col("pattern").alias("root")).unionByName(
+        around.select("pattern", F.col("text").alias("root"))).distinct()
 
 
 def compare_roots(patterns: DataFrame, roots: DataFrame) -> DataFrame:
