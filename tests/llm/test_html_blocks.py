@@ -59,6 +59,16 @@ LIFTED = {
     "wrapper": (f"<body><div id=page class='site has-sidebar'>{WRAPPED}</div></body>", f"Fog {SENTENCES} End"),
     "form": (f"<body><form id=aspnetForm>{WRAPPED}</form></body>", f"Fog {SENTENCES} End"),
     "main in a small wrapper": (f"<body><p>{SENTENCES}</p><p>{SENTENCES}</p><div class=no-sidebar><main><p>{SENTENCES}</p></main></div></body>", SENTENCES),
+    "content in a named wrapper": (f"<body><div class='layout has-sidebar'><div class='content'><h1>Fog</h1><p>{SENTENCES}</p><p>{SENTENCES}</p></div></div></body>", f"Fog {SENTENCES} {SENTENCES}"),
+    "content beside a menu": (f"<body><div id=page class='with-menu'><div id=menu><a href=1>Start</a></div><div id=content><p>{SENTENCES}</p><p>{SENTENCES}</p></div></div></body>", f"{SENTENCES} {SENTENCES}"),
+    "content in a menu wrapper": (f"<body><div class='menu'><div class=nav><a href=1>Start</a></div><div id=content><p>{SENTENCES}</p><p>{SENTENCES}</p></div></div></body>", f"{SENTENCES} {SENTENCES}"),
+    "content in a form": (f"<body><form id=aspnetForm><div class=content><h1>Fog</h1><p>{SENTENCES}</p><p>{SENTENCES}</p></div></form></body>", f"Fog {SENTENCES} {SENTENCES}"),
+    "form without content element": (f"<body><form id=f><h1>Fog</h1><p>{SENTENCES}</p><p>{SENTENCES}</p><div class=footer>{SENTENCES}</div></form></body>", f"Fog {SENTENCES} {SENTENCES}"),
+    "named span": (f"<article><p>{SENTENCES} A <span class='tags'>tagged</span> word, more text here.</p></article>", f"{SENTENCES} A tagged word, more text here."),
+    "named paragraph": (f"<article><p>{SENTENCES}</p><p class='legal'>{SENTENCES}</p><p class=ad>{SENTENCES}</p></article>", f"{SENTENCES} {SENTENCES}"),
+    "named section": (f"<article><p>{SENTENCES}</p><section id='discussion'><h2>Discussion</h2><p>{SENTENCES}</p></section></article>", f"{SENTENCES} Discussion {SENTENCES}"),
+    "only a notice": (f"<body><div class=cookie-notice><h2>We use cookies</h2><p>{SENTENCES}</p></div></body>", ""),
+    "a form to fill in": (f"<body><div><p>{SENTENCES}</p><p>{SENTENCES}</p></div><form><h3>Write to us</h3><p>{SENTENCES}</p></form></body>", f"{SENTENCES} {SENTENCES}"),
     "teasers": (f"<body><article><p>{SENTENCES}</p></article><div class=related><article><p>{SENTENCES}</p></article><article><p>{SENTENCES}</p></article></div></body>", SENTENCES),
 }
 

@@ -36,6 +36,17 @@ BOILER_WORDS = frozenset((
     "masthead topbar header footer sidebar aside widget widgets rail cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login register paywall share sharing social related recommended recommendations trending popular comment comments commentlist "
     "disqus reply replies respond discussion search form pagination pager copyright legal disclaimer toolbar skip hidden tags").split())
+#: Names of page-wide wrappers as well as of boilerplate; such a wrapper is judged by what it holds.
+SOFT_WORDS = frozenset("sidebar nav navbar navigation menu header footer topbar toolbar rail aside banner form search widget widgets hidden modal overlay".split())
+#: Names that tell boilerplate on a paragraph or the like too; others only tell it on containers.
+PARAGRAPH_WORDS = frozenset((
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription share sharing comment comments "
+    "commentlist breadcrumb breadcrumbs pagination pager").split())
+PARAGRAPH_TAGS = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption td th address".split())
+#: First words of names that tell about the whole, as in ``has-sidebar``.
+ABOUT = frozenset("has with no without is not".split())
+#: Names that are headings of an article as well.
+SECTION_WORDS = frozenset("header discussion disclaimer legal copyright notice notices related social".split())
 #: What an article or main element inside does not lift.
 FIRM_TAGS = BOILER_TAGS - {"form", "fieldset"}
 FIRM_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
@@ -69,11 +80,13 @@ class _Open(NamedTuple):
     lifted: bool = False  # in an article or main element below a wrapper that is not firm
     sure: bool = False  # it is a main element
     inner: bool = False  # boiler, from the lifting element on
+    soft: bool = False  # the outermost container that is boiler has only a soft name
+    below: bool = False  # boiler, from within the outermost container that is
 
 
 def _container(tag: str, attributes: str, outer: _Open, number: int = -1) -> _Open:
     """State inside an element: what its name and attributes say, and what it inherits."""
-    boiler, article, marked, firm = False, outer.article, outer.marked, False
+    boiler, article, marked, firm, soft = False, outer.article, outer.marked, False, True
     own = tag if tag in ("article", "main") else ""
     article = article or bool(own)
     if tag in BOILER_TAGS or (tag == "header" and not article):
@@ -86,29 +99,36 @@ def _container(tag: str, attributes: str, outer: _Open, number: int = -1) -> _Op
         if values.get("role") in ("main", "article"):
             article, own = True, own or values["role"]
         if tag not in ("html", "body", "main"):
-            names = set(NAME.findall(values.get("class", ""))) | set(NAME.findall(values.get("id", "")))
-            if names & BOILER_WORDS and not (names & ARTICLE_WORDS and not names & {"comment", "comments"}) and not (article and names & BOILER_WORDS <= {"header"}):
-                boiler, firm = True, firm or bool(names & FIRM_WORDS)
+            tokens = [NAME.findall(t) for t in f"{values.get('class', '')} {values.get('id', '')}".split()]
+            names = {w for t in tokens if t and t[0] not in ABOUT for w in t}
+            told = names & (PARAGRAPH_WORDS if tag in PARAGRAPH_TAGS else BOILER_WORDS)
+            if told and not (names & ARTICLE_WORDS and not names & {"comment", "comments"}) and not (article and told <= (SECTION_WORDS if tag == "section" else {"header"})):
+                boiler, firm, soft = True, firm or bool(told & FIRM_WORDS), told <= SOFT_WORDS
+            elif not told and names & ARTICLE_WORDS:
+                own = own or "content"
     lifted, sure, inner = outer.lifted, outer.sure, outer.inner or boiler
     if own and outer.boiler and not outer.firm and (not lifted or own == "main" and not sure):
         lifted, sure, inner = True, own == "main", boiler
-    wrapper = number if boiler and not outer.boiler else outer.wrapper
-    return _Open(tag, outer.boiler or boiler, article, marked, outer.firm or firm, wrapper, lifted, sure, inner)
+    wrapper, soft = (number, soft and not firm) if boiler and not outer.boiler else (outer.wrapper, outer.soft)
+    return _Open(tag, outer.boiler or boiler, article, marked, outer.firm or firm, wrapper, lifted, sure, inner, soft, outer.below or (boiler and outer.boiler))
 
 
 def _lift(rows: list[tuple[Block, _Open]]) -> list[Block]:
-    """Blocks; those of an article in a page-wide wrapper are judged by what lies between them and the article.
+    """Blocks; those in a page-wide wrapper are judged by what lies between them and the article, the content element or the wrapper.
 
-    A wrapper is page-wide if it holds a main element, or at least half of the page's words and no article lies outside of boiler.
+    A wrapper is page-wide if it holds a main element, or at least half of the page's words and no article lies outside of boiler. One without an
+    article or content element must have a soft name (or be a form) and hold a heading.
     """
-    if not any(o.lifted for _, o in rows):
+    if not any(o.wrapper >= 0 and not o.firm for _, o in rows):
         return [b for b, _ in rows]
     words: dict[int, int] = {}
     for b, o in rows:
         words[o.wrapper] = words.get(o.wrapper, 0) + b.words
     half, free = sum(words.values()) / 2, not any(b.article and not b.boiler for b, _ in rows)
     wide = {o.wrapper for _, o in rows if o.lifted and (o.sure or (free and words[o.wrapper] >= half))}
-    return [b._replace(boiler=o.inner) if o.lifted and o.wrapper in wide else b for b, o in rows]
+    plain = {o.wrapper for b, o in rows if o.soft and b.heading and not o.below and free and words[o.wrapper] >= half} - wide
+    judged = lambda b, o: b._replace(boiler=o.inner) if o.lifted and o.wrapper in wide else b._replace(boiler=o.below) if o.wrapper in plain else b
+    return [judged(b, o) for b, o in rows]
 
 
 def blocks(page: str) -> list[Block]:
@@ -140,11 +160,7 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             if tag == "a":
                 link = 0 if closing else 1
-            if tag != "span" or not m[4]:
-                continue
-            inside = _container(tag, m[4], stack[-1])
-            if inside.boiler == stack[-1].boiler and inside.inner == stack[-1].inner:
-                continue  # a plain span does not end a block
+            continue  # it stays in its block, whatever its name
         if tag in ("br", "mtr", "mtd"):
             parts.append((" ", False))
             continue
