@@ -448,3 +448,18 @@ def test_recent_trials_with_and_without_scores(spark):
     df = spark.createDataFrame(rows, "trial_id BIGINT, score DOUBLE")
     scored, every = trials.recent_vs_earlier(df).first(), trials.recent_vs_earlier(df, scored_only=False).first()
     assert (scored.recent_best, scored.earlier_best, every.recent_best, every.earlier_best) == (10.0, 5.0, 10.0, 7.0)
+
+
+def test_tokens_are_checked_in_the_engines_dialect(spark):
+    tokens = ["rio", "(?<name>rio)", r"\\p{L}+", "(?a)rio", "(?P<n>rio)", "a{,3}", "[", "(", "x*+", "(?i)rio", r"\\Qa[\\E", "(?(1)a|b)", "(?<=a+)b", r"\\h", "a**", "[[:alpha:]]", r"\\z", r"\\Z", "日+"]
+    tokens = [t.replace("\\\\", "\\") for t in tokens]
+    df = spark.createDataFrame([(t, t, "tupi") for t in tokens], "root STRING, regex_token STRING, lang STRING")
+    got = {r.root: not any("regular expression" in e for e in r.errors) for r in validate.validate_roots(df).collect()}
+    for t in tokens:
+        try:
+            spark.range(1).select(F.lit("a rio").rlike(t)).collect()
+            runs = True
+        except Exception:
+            runs = False
+        assert got[t] == runs, t
+    assert got["(?<name>rio)"] and not got["(?a)rio"] and not got["["]

@@ -85,26 +85,28 @@ def negative_samples(positives: DataFrame, bbox: tuple[float, float, float, floa
     """Uniform points in a box at least ``min_km`` (planar EPSG:3857) from every positive, ``ratio`` times as many.
 
     Attempts are numbered, and the first that are far enough count. They begin with ``max_attempts``, by default 10000 or three times
-    the wanted number when that is more, and are four times as many in each further round until enough are found. A box
-    in which a round of more than a million attempts finds nothing new has no room, which is an error.
+    the wanted number when that is more; each further round goes on where the last one ended, to four times as many, until enough are found. A box
+    in which a round of more than a million attempts finds nothing has no room for more: the points found so far are the result.
     """
     want = int(positives.count() * ratio)
     attempts = max_attempts or max(10_000, 3 * want)
     w, s, e, n = bbox
     segments = spatial.as_segments(spatial.with_planar(positives))
 
-    def tried(count: int) -> DataFrame:
-        pts = positives.sparkSession.range(count).withColumnsRenamed({"id": "attempt"}).withColumns({
+    def tried(first: int, past: int) -> DataFrame:
+        pts = positives.sparkSession.range(first, past).withColumnsRenamed({"id": "attempt"}).withColumns({
             "lon": w + (e - w) * hash_unit(f"{seed}x", F.col("attempt")), "lat": s + (n - s) * hash_unit(f"{seed}y", F.col("attempt"))})
         p = spatial.with_planar(pts)
         return cut(p.join(spatial.nearest_distance(p, segments), ["x", "y"]).filter(F.col("dist") >= min_km * 1000.0))
 
-    far, before = tried(attempts), -1
-    while (found := far.count()) < want:
-        if found == before and attempts > 1_000_000:
-            raise ValueError(f"only {found} of {want} points at {min_km} km fit into the box")
-        before, attempts = found, 4 * attempts
-        far = tried(attempts)
+    far = tried(0, attempts)
+    found = far.count()
+    while found < want:
+        more = tried(attempts, 4 * attempts)
+        far, new, attempts = far.unionByName(more), more.count(), 4 * attempts
+        if not new and attempts > 1_000_000:
+            break
+        found += new
     far = ordered(far.select("attempt", "lon", "lat", "dist"), "attempt", "attempt").filter(F.col("rank") <= want)
     return far.select(
         F.format_string("negative_%04d", F.col("rank") - 1).alias("site_name"), "lon", "lat", F.lit("negative").alias("culture_tag"),

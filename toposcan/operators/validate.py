@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Accepted codes.
 RELATIONS = ["same", "similar", "different"]
@@ -100,22 +98,9 @@ def validate_actions(df: DataFrame, action: str = "action", params: str = "param
     return df.withColumn("params_valid", F.coalesce(out, F.lit(False)))
 
 
-#: Constructs that Python's regular expressions have and the engine's lack: named groups with P, conditions, {,n}.
-NOT_JAVA = re.compile(r"(?<!\\)(?:\\\\)*(?:\(\?P|\(\?\(|\{,)")
-
-
-@F.pandas_udf(T.BooleanType())
-def _compiles(tokens: pd.Series) -> pd.Series:
-    def ok(token: str | None) -> bool:
-        if NOT_JAVA.search(token or ""):
-            return False
-        try:
-            re.compile(token or "")
-            return True
-        except re.error:
-            return False
-
-    return tokens.map({t: ok(t) for t in tokens.unique()}).astype(bool)
+def _compiles(token: Column) -> Column:
+    """Whether the engine that runs the token takes it as a regular expression: its own compiler is asked, null instead of an error."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), token).isNotNull()
 
 
 def validate_roots(df: DataFrame, langs: Sequence[str] = ROOT_LANGS) -> DataFrame:

@@ -93,7 +93,24 @@ def _(v):
                     r6(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"), r6(F.get("e", F.lit(0))).alias("first"))
 
 
-@query("prj12_geodesic")
+def vincenty(rows: str, steps: int = 12) -> str:
+    """SQL twin of the geodesic: ``river_id, metres`` of rows with ``y1, x1, y2, x2`` after a fixed number of iterations."""
+    a, f = "6378137.0e0", "(1 / 298.257223563e0)"
+    b = f"({a} * (1 - {f}))"
+    q = (f"SELECT river_id, atan((1 - {f}) * tan(radians(y1))) AS u1, atan((1 - {f}) * tan(radians(y2))) AS u2, radians(CAST(x2 AS DOUBLE) - CAST(x1 AS DOUBLE)) AS el, "
+         f"radians(CAST(x2 AS DOUBLE) - CAST(x1 AS DOUBLE)) AS lam FROM {rows}")
+    for _ in range(steps):
+        q = f"""SELECT river_id, u1, u2, el,
+            sqrt(pow(cos(u2) * sin(q.lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(q.lam), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(q.lam) AS cs,
+            atan2(ss, cs) AS sig, CASE WHEN ss = 0 THEN 0 ELSE cos(u1) * cos(u2) * sin(q.lam) / ss END AS sa, 1 - sa * sa AS c2a,
+            CASE WHEN c2a = 0 THEN 0 ELSE cs - 2 * sin(u1) * sin(u2) / c2a END AS c2m, {f} / 16 * c2a * (4 + {f} * (4 - 3 * c2a)) AS c,
+            el + (1 - c) * {f} * sa * (sig + c * ss * (c2m + c * cs * (2 * c2m * c2m - 1))) AS lam FROM ({q}) q"""
+    return f"""SELECT river_id, c2a * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS uu, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) AS ka,
+        uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS kb,
+        kb * ss * (c2m + kb / 4 * (cs * (2 * c2m * c2m - 1) - kb / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3))) AS ds, round({b} * ka * (sig - ds), 3) AS metres FROM ({q})"""
+
+
+@query("prj12_geodesic", f"SELECT river_id, metres FROM ({vincenty('{v_river}')})")
 def _(v):
     return v("v_river").select("river_id", F.round(geodesic_m("y1", "x1", "y2", "x2"), 3).alias("metres"))
 
@@ -217,13 +234,13 @@ def _(v):
 
 
 def clustered_names(v):
-    """Texts with the label of the vector of the same number as their cluster."""
+    """Texts with the label of the vector of the same number as their cluster; those without a vector are cluster -1."""
     e = v("embeddings").select(F.col("vec_id").alias("ord"), F.col("label").alias("cluster"))
-    n = v("v_name").select("ord", "name").join(e, "ord")
+    n = v("v_name").select("ord", "name").join(e, "ord", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     return n.withColumn("water_score", (F.col("ord") % 7) / 6.0)
 
 
-NAMED = "(SELECT n.ord, name, label AS cluster, (n.ord % 7) / 6.0e0 AS water_score FROM {v_name} n JOIN {embeddings} e ON e.vec_id = n.ord)"
+NAMED = "(SELECT n.ord, name, coalesce(label, -1) AS cluster, (n.ord % 7) / 6.0e0 AS water_score FROM {v_name} n LEFT JOIN {embeddings} e ON e.vec_id = n.ord)"
 
 
 @query("ml15_cluster_types", f"""

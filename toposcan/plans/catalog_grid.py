@@ -145,9 +145,23 @@ def _(v):
     return rounded(grid.probability_discs(water_points(v), SHAPE, (-74.0, -15.0, -60.0, -5.0), 4), "value")
 
 
-@query("grd11_probability_grid")
+def folded(at: str, size: int) -> str:
+    """A place beyond the edge, mirrored back."""
+    m = f"((({at}) % {2 * size}) + {2 * size}) % {2 * size}"
+    return f"CAST(CASE WHEN {m} < {size} THEN {m} ELSE {2 * size - 1} - {m} END AS INT)"
+
+
+@query("grd11_probability_grid", f"""
+    WITH p AS (SELECT CAST(trunc((-5 - lat) / 10 * 99) AS INT) AS r, CAST(trunc((lon + 74) / 14 * 139) AS INT) AS c, max((site_id % 10 + 1) / 10.0e0) AS m FROM {{v_site}} GROUP BY 1, 2),
+    o AS (SELECT i, j FROM range(-4, 5) a(i), range(-4, 5) b(j) WHERE i * i + j * j <= 16),
+    d AS (SELECT r + i AS row, c + j AS col, max(m * exp(-0.5 * pow(sqrt(i * i + j * j) / 2, 2))) AS value FROM p, o
+          WHERE r BETWEEN 0 AND 99 AND c BETWEEN 0 AND 139 AND r + i BETWEEN 0 AND 99 AND c + j BETWEEN 0 AND 139 GROUP BY 1, 2),
+    k AS (SELECT t, exp(-0.5 * pow(t * 3 / 4.0e0, 2)) / sum(exp(-0.5 * pow(t * 3 / 4.0e0, 2))) OVER () AS w FROM range(-5, 6) x(t)),
+    a AS (SELECT {folded('row + t', 100)} AS row, col, sum(value * w) AS value FROM d, k GROUP BY 1, 2),
+    b AS (SELECT row, {folded('col + t', 140)} AS col, sum(value * w) AS value FROM a, k GROUP BY 1, 2)
+    SELECT row, CAST(col AS INT) AS col, {q6("value / max(value) OVER ()")} AS value FROM b""")
 def _(v):
-    """Smoothed and scaled discs; the filter is checked against a dense computation in the tests."""
+    """Smoothed and scaled discs; the filter is also checked against a dense computation in the tests."""
     return rounded(grid.probability_grid(water_points(v), SHAPE, (-74.0, -15.0, -60.0, -5.0), 4), "value")
 
 
