@@ -58,7 +58,10 @@ def brute(p, rows):
 def test_spans_are_refined_to_the_decoded_bytes(p):
     rng = random.Random(12)
     pool = [chr(c) for c in [*range(0x20, 0x250), *range(0x391, 0x3C9), *range(0x4E00, 0x4E40), *range(0x1F600, 0x1F640), 0x200D, 9, 10]]
-    for text in [*ODD, *("".join(rng.choices(pool, k=60)) for _ in range(400))]:
+    assert p.cuts_at_spaces
+    spaced = [*pool[:95], *" " * 90, *"  \u3000\u180e\u200b\n\t\xa0'", "'s", " a", "."]
+    texts = [*ODD, *("".join(rng.choices(pool, k=60)) for _ in range(400)), *("".join(rng.choices(spaced, k=60)) for _ in range(600)), " ", "  ", " a", "a ", "a  b"]
+    for text in texts:
         got, want = A.align(p, text), plain(p, text)
         assert (got is None) == (want is None), repr(text)
         if got:

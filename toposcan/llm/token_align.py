@@ -12,6 +12,9 @@ on from the last exact cut. Offsets where both sides end a token close a group;
 2. ``pair_counts``: documents per pair and the highest count of each first id, by two aggregates.
 3. ``aligned``: the counts go back to the batches by one join on the pair and meet their documents batch by batch.
 
+A text is cut into segments before single spaces where neither tokenizer can hold a token across (checked on the vocabularies; otherwise a text is one
+segment): a segment's tokens, groups and links depend on it alone, so the equal segments of a batch are cut once.
+
 A large group is held by its distinct ids with counts, never as all its links.
 
 Defined cases: a null or empty text, or one whose decoded bytes differ from space and text on either side (the second tokenizer reads U+2581
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -33,13 +37,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from toposcan.llm.common import per_process, stored, texts
 
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 3 << 20
+DOCS_AT_ONCE = 256
+RUN_PARTS = 4096
 CUT_SCHEMA = (
     "batch long, id long, is_batch boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,"
     " keys array<long>, times array<long>"
 )
 
 
+_SOLVED = ("part_a", "ids_a", "ends_a", "group_a", "part_b", "ids_b", "ends_b", "group_b", "part_of_group")
+#: Characters that may count as space somewhere; no text is cut beside them.
+_BLANK = "\\s\u180e\u200b-\u200f\u2060\ufeff"
+_BLANKS = frozenset(c for c in map(chr, range(0x10000)) if re.match(f"[{_BLANK}]", c))
+_ODD_SPACE = re.compile(f" [{_BLANK}]|[{_BLANK}] ")
+_SPACE = re.compile(f"(?<=[^{_BLANK}])(?= [^{_BLANK}])")
+
+
 def byte_of_symbol() -> dict[str, int]:
     """The printable symbol that a byte-level vocabulary writes for each byte: printable Latin-1 stands for itself, the rest follow from U+0100."""
     kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -61,36 +75,63 @@ class TokenizerPair:
         symbols = byte_of_symbol()
         self.size_a, self.size_b = self.a.get_vocab_size(), self.b.get_piece_size()
         names = [self.a.id_to_token(i) or "" for i in range(self.size_a)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.size_b)]
         self.bytes_a = [bytes(symbols[c] for c in t) if all(c in symbols for c in t) else t.encode() for t in names]
-        self.bytes_b = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in enumerate(map(self.b.id_to_piece, range(self.size_b)))
-        ]
+        self.bytes_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
         # every id as text with the mark that follows it inside and at the end of its group's side
         self.text_a = [f"{i}{mark}" for i in range(self.size_a) for mark in ",|"]
         self.text_b = [f"{i}{mark}" for i in range(self.size_b) for mark in ",;"]
-
-    def side_a(self, text: str, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        """(ids, byte ends) of a space and the text; ``data`` are their bytes. None: the decoded bytes differ."""
-        full = " " + text
-        found = self.a.encode(full, add_special_tokens=False)
-        ids = found.ids
-        if b"".join([self.bytes_a[i] for i in ids]) != data:
-            return None
-        spans = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
-        if len(data) != len(full):  # characters to bytes
-            raw = np.frombuffer(data, np.uint8)
-            spans = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(data))[spans]
-        ids = np.array(ids, np.int64)
-        return ids, refined(spans[:, 0], spans[:, 1], self.length_a[ids])
-
-    def side_b(self, text: str, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        pieces = [(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]
-        if b"".join([self.bytes_b[i] for i, _, _ in pieces]) != data:
-            return None
-        ids, first, end = np.array(pieces, np.int64).reshape(-1, 3).T
-        return ids, refined(first + 1, end + 1, self.length_b[ids])  # behind the added space
+        # side a cuts words by itself before it merges; side b merges into no piece with a space behind another character
+        inside = any(not self.b.is_byte(i) and "▁" in t.lstrip("▁") for i, t in enumerate(pieces))
+        self.cuts_at_spaces = not inside and type(self.a.pre_tokenizer).__name__ == "ByteLevel" and self.a.normalizer is None
+
+    def segments(self, text: str) -> list[str]:
+        """``text`` cut at single spaces between two characters that are none; each segment stands for a space and itself.
+
+        Both sides cut there too, whatever is around.
+        """
+        if not self.cuts_at_spaces:
+            return [text]
+        if text[:1] == " " or text[-1:] == " " or _ODD_SPACE.search(text):
+            return [t[1:] for t in _SPACE.split(" " + text)]
+        return text.split(" ")
+
+    def runs(self, parts: list[str]) -> list[str]:
+        """``parts`` joined to a few longer strings where they stay cut from one another: many calls on short strings cost more than the tokens."""
+        alone = [k for k, t in enumerate(parts) if not t or t[0] in _BLANKS or t[-1] in _BLANKS] if self.cuts_at_spaces else range(len(parts))
+        ends = sorted({*range(0, len(parts), RUN_PARTS), *alone, *(k + 1 for k in alone), len(parts)})
+        return [" " + " ".join(parts[lo:hi]) for lo, hi in zip(ends, ends[1:])]
+
+    def tokens_a(self, runs: list[str]) -> tuple[np.ndarray, ...]:
+        """(id, first byte, past byte) of every token; bytes count through all runs, as the tokenizer's character offsets have it."""
+        found = []
+        for run, begin in zip(runs, _begins([len(x) for x in runs])):  # one at a time: what the library returns is large
+            x = self.a.encode(run, add_special_tokens=False)
+            n = len(x.ids)
+            found.append(np.column_stack([np.array(x.ids), np.fromiter(chain.from_iterable(x.offsets), np.int64, 2 * n).reshape(-1, 2) + begin]))
+        ids, *spans = np.concatenate(found).T
+        spans = np.column_stack(spans)
+        raw = np.frombuffer("".join(runs).encode("utf-8", "surrogatepass"), np.uint8)
+        spans = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[spans]  # characters to bytes
+        return ids, spans[:, 0], spans[:, 1]
+
+    def tokens_b(self, runs: list[str]) -> tuple[np.ndarray, ...]:
+        """As ``tokens_a``; the tokenizer adds the space that every run begins with, and a span begins where the one before ends."""
+        found = []
+        for run, begin in zip(runs, _begins([_bytes(x) for x in runs])):
+            pieces = self.b.encode(run[1:], return_type="proto").pieces
+            ids, end = np.fromiter(chain.from_iterable([(p.id, p.end) for p in pieces]), np.int64, 2 * len(pieces)).reshape(-1, 2).T
+            found.append((ids, np.append(0, end[:-1]) + begin + 1, end + begin + 1))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def _begins(sizes: list[int]) -> np.ndarray:
+    return np.cumsum([0, *sizes[:-1]])
 
 
 def refined(first: np.ndarray, end: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -110,12 +151,6 @@ def pair(paths: tuple[str, str]) -> TokenizerPair:
     return per_process(("tokenizers", *paths), lambda: TokenizerPair(*paths))
 
 
-def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The group number of every token of either side."""
-    cuts = np.intersect1d(ends_a, ends_b)
-    return np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-
-
 def _counted(group: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, id, times) of the distinct ids of every group, by group."""
     value, times = np.unique(group * size + ids, return_counts=True)
@@ -134,54 +169,98 @@ def links(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np
     return ga[left], a[left] * sizes[1] + b[right], na[left] * nb[right]
 
 
-def written(p: TokenizerPair, group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of every group in order."""
+def written(p: TokenizerPair, group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The pieces of ``a1,a2|b1;a3|b2,b3;``, one per token in the order of the text, and the group of each."""
     last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
     parts = [p.text_a[i] for i in (ids_a * 2 + last_a).tolist()] + [p.text_b[i] for i in (ids_b * 2 + last_b).tolist()]
     order = np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")
-    return "".join([parts[k] for k in order.tolist()])[:-1]
+    return [parts[k] for k in order.tolist()], np.concatenate([group_a, group_b])[order]
+
+
+def _decodes(parts: list[str], part: np.ndarray, ids: np.ndarray, table: list[bytes], data: bytes, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which parts are what their tokens decode to."""
+    decoded = [table[i] for i in ids.tolist()]
+    if (np.bincount(part, lengths[ids], len(parts)) == sizes).all() and b"".join(decoded) == data:
+        return np.ones(len(parts), bool)
+    bound = np.searchsorted(part, np.arange(len(parts) + 1)).tolist()
+    return np.array([b"".join(decoded[lo:hi]) == b" " + t.encode("utf-8", "surrogatepass") for t, lo, hi in zip(parts, bound, bound[1:])], bool)
+
+
+def solve(p: TokenizerPair, parts: list[str]) -> dict:
+    """Tokens and groups of ``parts``, each a segment that is cut for itself with a space before it.
+
+    ``good`` tells the parts that both sides decode to. Of these: ``part_a, ids_a, ends_a, group_a`` (and ``_b``) per token, in order, and
+    ``part_of_group``; byte ends and groups count through all good parts.
+    """
+    runs = p.runs(parts)
+    data = "".join(runs).encode("utf-8", "surrogatepass")
+    sizes = np.array([_bytes(t) + 1 for t in parts])
+    begins = np.cumsum(sizes) - sizes
+    sides, good = [], np.ones(len(parts), bool)
+    for tokens, table, lengths in ((p.tokens_a, p.bytes_a, p.length_a), (p.tokens_b, p.bytes_b, p.length_b)):
+        ids, first, end = tokens(runs)
+        part = np.searchsorted(begins, first, side="right") - 1
+        good &= _decodes(parts, part, ids, table, data, sizes, lengths)
+        sides.append((part, ids, first, end))
+    if not good.all():
+        out = solve(p, [t for t, g in zip(parts, good) if g]) if good.any() else {k: np.empty(0, np.int64) for k in _SOLVED}
+        where = np.flatnonzero(good)
+        return out | {k: where[out[k]] for k in ("part_a", "part_b", "part_of_group")} | {"good": good}
+    (part_a, ids_a, *spans_a), (part_b, ids_b, *spans_b) = sides
+    ends_a, ends_b = refined(*spans_a, p.length_a[ids_a]), refined(*spans_b, p.length_b[ids_b])
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    of_group = part_a[np.searchsorted(ends_a, cuts)]
+    return dict(zip(_SOLVED, (part_a, ids_a, ends_a, group_a, part_b, ids_b, ends_b, group_b, of_group)), good=good)
 
 
 def align(p: TokenizerPair, text: str | None) -> dict | None:
     """Ids, byte ends and group numbers of both sides of one text, or None where it has no tokens."""
-    if not text:
-        return None
-    data = b" " + text.encode("utf-8", "surrogatepass")
-    a = p.side_a(text, data)
-    b = p.side_b(text, data) if a is not None else None
-    if b is None:
-        return None
-    ga, gb = groups(a[1], b[1])
-    return {"ids_a": a[0], "ids_b": b[0], "ends_a": a[1], "ends_b": b[1], "group_a": ga, "group_b": gb}
+    x = solve(p, p.segments(text)) if text else None
+    return x if x and x["good"].all() else None
 
 
 def _batch(p: TokenizerPair, name: int, keys: list, bodies: list[str | None]) -> pa.RecordBatch:
-    """Rows of one batch of documents, its own row last."""
-    counts, shas = np.zeros((4, len(keys)), np.int64), [""] * len(keys)
-    base, found = 0, []
-    for k, text in enumerate(bodies):
-        x = align(p, text)
-        if x is None:
-            continue
-        n = int(x["group_a"][-1]) + 1
-        size = np.bincount(x["group_a"], minlength=n) * np.bincount(x["group_b"], minlength=n)
-        counts[:, k] = len(x["ids_a"]), len(x["ids_b"]), n, size.sum()
-        shas[k] = hashlib.sha256(written(p, x["group_a"], x["ids_a"], x["group_b"], x["ids_b"]).encode()).hexdigest()
-        found.append((k, base, x))
-        base += n
-    doc_of = np.repeat([k for k, _, _ in found], counts[2, [k for k, _, _ in found]]) if found else np.empty(0, np.int64)
-    side = lambda c, g: (np.concatenate([x[g] + b for _, b, x in found]), np.concatenate([x[c] for _, _, x in found]))
-    if found:
-        group, key, times = links(*side("ids_a", "group_a"), *side("ids_b", "group_b"), (p.size_a, p.size_b))
-        space = p.size_a * p.size_b
-        value, where = np.unique(doc_of[group] * space + key, return_inverse=True)
-        times = np.bincount(where, times, len(value)).astype(np.int64)
-        doc, key = value // space, value % space
-        whole, docs = np.unique(key, return_counts=True)
-    else:
-        doc = key = times = whole = docs = np.empty(0, np.int64)
+    """Rows of one batch of documents, its own row last. Equal segments are cut once."""
+    cut_ = [p.segments(text) if text else [] for text in bodies]
+    index = {t: k for k, t in enumerate(dict.fromkeys(chain.from_iterable(cut_)))}
+    which = np.fromiter(map(index.__getitem__, chain.from_iterable(cut_)), np.int64, sum(map(len, cut_)))
+    held = np.split(which, np.cumsum([len(c) for c in cut_])[:-1])
+    del cut_
+    x = solve(p, list(index)) if index else {k: np.empty(0, np.int64) for k in _SOLVED} | {"good": np.empty(0, bool)}
+    held = [h if x["good"][h].all() else h[:0] for h in held]
+    seen, many = len(index), np.array([len(h) for h in held], np.int64)
+    flat = np.concatenate([*held, np.empty(0, np.int64)])
+    doc = np.repeat(np.arange(len(keys)), many)
+    groups, of_group = len(x["part_of_group"]), x["part_of_group"]
+    size = np.bincount(x["group_a"], minlength=groups) * np.bincount(x["group_b"], minlength=groups)
+    each = [np.bincount(x["part_a"], minlength=seen), np.bincount(x["part_b"], minlength=seen), np.bincount(of_group, minlength=seen), np.zeros(seen, np.int64)]
+    np.add.at(each[3], of_group, size)
+    counts = np.zeros((4, len(keys)), np.int64)
+    for row, value in zip(counts, each):
+        np.add.at(row, doc, value[flat])
+    # texts of the groups
+    parts, group = written(p, x["group_a"], x["ids_a"], x["group_b"], x["ids_b"])
+    bound = np.searchsorted(of_group[group] if groups else group, np.arange(seen + 1)).tolist()
+    lines = ["".join(parts[lo:hi]) for lo, hi in zip(bound, bound[1:])]
+    shas = [hashlib.sha256("".join([lines[k] for k in h.tolist()])[:-1].encode()).hexdigest() if len(h) else "" for h in held]
+    # linked pairs: of a segment, then of a document
+    group, key, times = links(x["group_a"], x["ids_a"], x["group_b"], x["ids_b"], (p.size_a, p.size_b))
+    part = of_group[group] if groups else group
+    first, space, found = np.searchsorted(part, np.arange(seen + 1)), p.size_a * p.size_b, []
+    bounds = np.cumsum([0, *many])
+    for lo in range(0, len(keys), DOCS_AT_ONCE):
+        own = slice(bounds[lo], bounds[min(lo + DOCS_AT_ONCE, len(keys))])
+        value, repeats = np.unique(doc[own] * max(seen, 1) + flat[own], return_counts=True)
+        at, which = value // max(seen, 1), value % max(seen, 1)
+        wide = (first[1:] - first[:-1])[which] if seen else which
+        take = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat(first[which], wide)
+        value, where = np.unique(np.repeat(at, wide) * space + key[take], return_inverse=True)
+        found.append((value // space, value % space, np.bincount(where, times[take] * np.repeat(repeats, wide), len(value)).astype(np.int64)))
+    doc, key, times = (np.concatenate(x) for x in zip(*found))
+    whole, docs = np.unique(key, return_counts=True)
     offsets = np.append(np.searchsorted(doc, np.arange(len(keys) + 1)), len(key) + len(whole)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x))) for x in ((key, whole), (times, docs))]
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(v))) for v in ((key, whole), (times, docs))]
     columns = [
         pa.array([name] * (len(keys) + 1), pa.int64()),
         pa.array([*keys, None], pa.int64()),
@@ -265,7 +344,7 @@ def alignments(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             for key, text in zip(batch.column(0), batch.column(1)):
                 x, rows = align(p, text.as_py()), []
                 if x is not None:
-                    past = np.intersect1d(x["ends_a"], x["ends_b"])
+                    past = np.intersect1d(x["ends_a"], x["ends_b"], assume_unique=True)
                     a = np.split(x["ids_a"], np.flatnonzero(np.diff(x["group_a"])) + 1)
                     b = np.split(x["ids_b"], np.flatnonzero(np.diff(x["group_b"])) + 1)
                     rows = [{"first": f, "past": e, "a": u, "b": v} for f, e, u, v in zip([0, *past[:-1].tolist()], past.tolist(), a, b)]
