@@ -463,3 +463,45 @@ def test_tokens_are_checked_in_the_engines_dialect(spark):
             runs = False
         assert got[t] == runs, t
     assert got["(?<name>rio)"] and not got["(?a)rio"] and not got["["]
+
+
+def test_feature_cache_sees_changed_rows(spark):
+    root, built = scratch(spark, "cache"), []
+    make = lambda *rows: spark.createDataFrame(rows, "id BIGINT, m MAP<STRING, INT>").repartition(3)
+
+    def total(df):
+        return sinks.precompute_cached(spark, root, {"a": 1}, lambda: built.append(1) or df.agg(F.sum("id").alias("s")), [df]).first().s
+
+    first = [(1, {"x": 1, "y": 2}), (2, None)]
+    assert total(make(*first)) == 3 and total(make(*reversed(first))) == 3 and len(built) == 1
+    assert total(make((1, {"y": 2, "x": 1}), (2, None))) == 3 and len(built) == 1
+    assert total(make((1, {"x": 1, "y": 2}), (4, None))) == 5 and total(make(*first, first[1])) == 5 and len(built) == 3
+
+
+def test_names_in_other_scripts(spark):
+    told = {"Москва Река": "moskva reka", "Αθήνα": "athena", "Щука-ручей": "shchuka-ruchei", "Ёлка": "iolka", "Больше": "bol she", "Ψαράς Θ": "psaras th", "São ß": "sao ss", "日本": ""}
+    df = spark.createDataFrame([(k,) for k in told], "name STRING")
+    got = {r.name: r.n for r in df.select("name", text.normalize_name(F.col("name")).alias("n")).collect()}
+    assert got == told
+
+
+def test_river_polar_at_all_latitudes(spark):
+    rng = random.Random(9)
+    pts = [(i, rng.uniform(-60, -50), rng.choice([rng.uniform(-12, -8), rng.uniform(55, 62), rng.uniform(80, 84)])) for i in range(120)]
+    segs = []
+    for j in range(160):
+        x, y = rng.uniform(-60, -50), rng.choice([rng.uniform(-12, -8), rng.uniform(55, 62), rng.uniform(80, 84)])
+        segs.append((j, j * 10, x, y, x + rng.uniform(-0.3, 0.3), y + rng.uniform(-0.3, 0.3)))
+    p = spark.createDataFrame(pts, "id INT, lon DOUBLE, lat DOUBLE")
+    r = spark.createDataFrame(segs, "river_id INT, main_riv INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE")
+    got = {x.id: (x.nearest_river, x.river_radius) for x in spatial.river_polar(p, r, 50.0).collect()}
+    hav = lambda a, b, c, d: 2 * 6371 * math.asin(math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2))
+    for i, lon, lat in pts:
+        best = None
+        for j, main, x1, y1, x2, y2 in segs:
+            n = (x2 - x1) ** 2 + (y2 - y1) ** 2
+            t = min(1.0, max(0.0, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / n))
+            x, y = x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+            if math.hypot(lon - x, lat - y) <= 50 / 111.0 and (km := hav(lat, lon, y, x)) <= 50 and (best is None or km < best[1]):
+                best = (main, km)
+        assert got[i] == (pytest.approx(best) if best else (None, None)), i

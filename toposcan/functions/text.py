@@ -45,6 +45,18 @@ TOPONYM_CLASSES = [
 # Seed words and feature types of the water flag.
 WATER_SEEDS = ["rio", "igarape", "lago", "parana", "cachoeira", "corrego", "lagoa", "canal", "baia", "represa"]
 WATER_TYPES = ["river", "stream", "lake", "channel", "waterfall"]
+# Latin forms of Greek and Cyrillic letters, one letter each ...
+OTHER_PLAIN = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "ω": "o", "ά": "a", "έ": "e", "ή": "e", "ί": "i", "ό": "o", "ύ": "u", "ώ": "o", "ϊ": "i", "ϋ": "u", "ΐ": "i", "ΰ": "u",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r",
+    "с": "s", "т": "t", "у": "u", "ф": "f", "ъ": '"', "ы": "y", "ь": "'", "э": "e", "і": "i", "ј": "j", "ѝ": "i", "ў": "u",
+}
+# Fixed values: ... and more than one.
+OTHER_LIGATURES = {
+    "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io", "ѐ": "ie",
+    "є": "ie", "ї": "yi", "ђ": "dj", "ѓ": "gj", "ѕ": "dz", "љ": "lj", "њ": "nj", "ћ": "ts", "ќ": "kj", "џ": "dzh",
+}
 # Words that mark a meaning as water-related.
 WATER_MEANING_JA = ["水", "川", "湖", "沼", "池", "湘", "海", "浜", "港", "汰", "水路", "河", "河口", "湖沼", "湖水",
                     "流", "渓", "港湾"]
@@ -67,11 +79,15 @@ def contains_any(col: Column, words: Sequence[str]) -> Column:
 
 
 def strip_accents(col: Column) -> Column:
-    """ASCII form of lower-case Latin text."""
-    out = F.translate(col, ACCENTED, BASE)
-    for letter, plain in LIGATURES.items():
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    return out
+    """ASCII form of lower-case Latin text; Greek and Cyrillic letters get their Latin forms, a soft or hard sign an apostrophe or quote."""
+    def replaced(out: Column, table: dict[str, str]) -> Column:
+        for letter, plain in table.items():
+            out = F.replace(out, F.lit(letter), F.lit(plain))
+        return out
+
+    latin = replaced(F.translate(col, ACCENTED, BASE), LIGATURES)
+    other = replaced(F.translate(latin, "".join(OTHER_PLAIN), "".join(OTHER_PLAIN.values())), OTHER_LIGATURES)
+    return F.when(col.rlike("[\\u0370-\\u045f]"), other).otherwise(latin)
 
 
 def normalize_name(col: Column) -> Column:

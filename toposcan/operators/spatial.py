@@ -17,6 +17,7 @@ Two kernels serve all of them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -68,7 +69,15 @@ def _up(col: str) -> Column:
     return F.shiftright(F.col(col), 2)
 
 
-def _candidates(points: DataFrame, segs: DataFrame, max_dist: float | None, slack: float) -> DataFrame:
+#: A factor, or one as a function of the distance from the equator (|y|) that grows with it.
+Slack = float | Callable[[Column], Column]
+
+
+def _factor(slack: Slack, y: Column) -> Column:
+    return slack(y) if callable(slack) else F.lit(float(slack))
+
+
+def _candidates(points: DataFrame, segs: DataFrame, max_dist: float | None, slack: Slack) -> DataFrame:
     """``x, y, x1, y1, x2, y2, dist`` for the segments that may be nearest to a point, as far as their cells tell."""
     # Rows without coordinates fall out by themselves: their distance is null. The distinct locations are read several
     # times below; cut here, their projection and the shuffle that makes them distinct run once.
@@ -125,7 +134,8 @@ def _candidates(points: DataFrame, segs: DataFrame, max_dist: float | None, slac
         gap = lambda a, b: F.abs(F.col(a) - F.col(b)).cast("double")
         gx, gy = gap("qx", "sx"), gap("qy", "sy")
         near = F.hypot(F.greatest(gx - 1, F.lit(0.0)), F.greatest(gy - 1, F.lit(0.0))) * (width * (1 - 1e-9))
-        far = F.hypot(gx + 1, gy + 1) * (width * slack * (1 + 1e-9))
+        edge = F.greatest(*[F.abs(y0 + (F.col("qy") + k) * width) for k in (0, 1)])  # a cell allows for its own rows, not for the table's
+        far = F.hypot(gx + 1, gy + 1) * (width * (1 + 1e-9)) * _factor(slack, edge)
         found = found.select("qx", "qy", "sx", "sy", near.alias("near"), F.when(F.col("sure"), far).alias("far"))
         if max_dist is not None:
             found = found.filter(F.col("near") <= max_dist)
@@ -141,7 +151,7 @@ def _candidates(points: DataFrame, segs: DataFrame, max_dist: float | None, slac
     return cand.select("x", "y", *SEG, dist.alias("dist"))
 
 
-def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, slack: float = 1.0) -> DataFrame:
+def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, slack: Slack = 1.0) -> DataFrame:
     """Nearest segments of every distinct point.
 
     ``points`` has ``x, y``; ``segs`` has ``x1, y1, x2, y2`` (a point is a segment
@@ -151,7 +161,7 @@ def nearest(points: DataFrame, segs: DataFrame, max_dist: float | None = None, s
     """
     cand = _candidates(points, segs, max_dist, slack)
     best = F.min("dist").over(Window.partitionBy("x", "y"))
-    kept = F.col("dist") <= F.col("_b") * slack
+    kept = F.col("dist") <= F.col("_b") * _factor(slack, F.abs(F.col("y")))
     if max_dist is not None:
         kept = kept & (F.col("dist") <= max_dist)
     return cand.withColumn("_b", best).filter(kept).drop("_b").distinct()
@@ -211,13 +221,12 @@ def river_polar(points: DataFrame, segments: DataFrame, max_km: float = 50.0, na
 
     Per river the nearest point in degree space counts, and rivers are compared by
     haversine to that point. A river that wins by haversine is at most
-    ``1 / cos(lat)`` times as far in degrees as the planar nearest one.
+    ``1 / cos(lat)`` times as far in degrees as the planar nearest one; that holds for each row by its own latitude.
     """
     p = with_planar(points, "degree")
     reach = max_km / geo.KM_PER_DEG
-    top = p.agg(F.max(F.abs("y"))).first()[0] or 0.0
-    stretch = 1.0 / max(math.cos(math.radians(min(top + 2 * reach, 89.0))), 0.01)
-    near = nearest(p, segments, max_dist=reach, slack=stretch * 1.01)
+    stretch = lambda y: 1.01 / F.greatest(F.cos(F.radians(F.least(y + 2 * reach, F.lit(89.0)))), F.lit(0.01))
+    near = nearest(p, segments, max_dist=reach, slack=stretch)
     nx, ny = geo.segment_nearest(*[F.col(c) for c in ["x", "y", *SEG]])
     named = segments.select(*SEG, "river_id", F.col(name).alias("river_name"))
     on_line = near.join(named, SEG).withColumns({"nx": nx, "ny": ny})

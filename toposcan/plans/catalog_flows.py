@@ -308,7 +308,7 @@ def _(v):
 def _(v):
     """The table before thresholds is written once; every threshold pair reads that."""
     spark = v("v_feature").sparkSession
-    pre = flows.precompute(scratch(spark, "pre"), {"bbox": PIP_BOX, "roots": [r[1] for r in ROOTS]}, lambda: precandidates(v), spark)
+    pre = flows.precompute(scratch(spark, "pre"), {"bbox": PIP_BOX, "roots": [r[1] for r in ROOTS]}, lambda: precandidates(v), spark, [v("v_feature"), v("v_river")])
     return tr.sweep(pre, grid(v).select((F.col("D") * 4).alias("D"), "O").distinct())
 
 

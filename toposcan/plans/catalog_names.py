@@ -217,8 +217,8 @@ def _(v):
     spark = c.sparkSession
     root = scratch(spark, "cache")
     build = lambda: c.groupBy("root").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("dist_km")).alias("mean_km"))
-    sinks.precompute_cached(spark, root, {"table": "v_cand", "by": "root"}, build)
-    return sinks.precompute_cached(spark, root, {"by": "root", "table": "v_cand"}, build)
+    sinks.precompute_cached(spark, root, {"table": "v_cand", "by": "root"}, build, [c])
+    return sinks.precompute_cached(spark, root, {"by": "root", "table": "v_cand"}, build, [c])
 
 
 # ---- names ---------------------------------------------------------------------------------------

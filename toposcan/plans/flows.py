@@ -35,9 +35,9 @@ def identify_candidates(pre: DataFrame, min_km: float = 3.0, max_occ: float = 5.
     return cand.score_linear(cand.paleo_candidates(pre, min_km, max_occ))
 
 
-def precompute(root: str, cfg: dict, build: Callable[[], DataFrame], spark) -> DataFrame:
-    """The table before thresholds, built once per configuration."""
-    return precompute_cached(spark, root, cfg, build)
+def precompute(root: str, cfg: dict, build: Callable[[], DataFrame], spark, inputs: Sequence[DataFrame] = ()) -> DataFrame:
+    """The table before thresholds, built once per configuration and rows of ``inputs``."""
+    return precompute_cached(spark, root, cfg, build, inputs)
 
 
 def site_neighbourhood(sites: DataFrame, toponyms: DataFrame, rivers: DataFrame, radius_km: float, merge_m: float = 200.0,

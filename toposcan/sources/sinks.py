@@ -80,9 +80,19 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split", "region").parquet(path)
 
 
-def precompute_cached(spark: SparkSession, root: str, cfg: dict, build: Callable[[], DataFrame]) -> DataFrame:
-    """Table for a configuration, built once; the folder is named by 12 hex digits of the md5 of the configuration."""
-    text = json.dumps(cfg, sort_keys=True, ensure_ascii=False)
+def content_mark(df: DataFrame) -> str:
+    """A mark of the rows of a table, whatever their order: schema, number, and sums of two hashes of the rows. One pass, two numbers to the driver."""
+    comparable = lambda f: F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+    cols = [comparable(f) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    one = F.xxhash64(*cols)
+    r = df.agg(F.count(F.lit(1)), F.sum(one.cast("decimal(38,0)")), F.sum(F.xxhash64(one, F.lit(1)).cast("decimal(38,0)"))).first()
+    return f"{sorted(f.simpleString() for f in df.schema.fields)}:{r[0]}:{r[1]}:{r[2]}"
+
+
+def precompute_cached(spark: SparkSession, root: str, cfg: dict, build: Callable[[], DataFrame], inputs: Sequence[DataFrame] = ()) -> DataFrame:
+    """Table for a configuration and its ``inputs``, built once; the folder is named by 12 hex digits of the md5 of the configuration and of what the
+    inputs hold, so changed rows are not answered by an old table."""
+    text = json.dumps(cfg, sort_keys=True, ensure_ascii=False) + "".join(f"|{content_mark(df)}" for df in inputs)
     key = hashlib.md5(text.encode()).hexdigest()[:12]
     path = f"{root.rstrip('/')}/{key}"
     done = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
