@@ -39,6 +39,8 @@ from toposcan.llm.common import per_process, stored, texts
 
 BATCH_CHARS = 3 << 20
 DOCS_AT_ONCE = 256
+#: Segments that a worker remembers, some 400 bytes each.
+KNOWN_SEGMENTS = 100_000
 RUN_PARTS = 4096
 CUT_SCHEMA = (
     "batch long, id long, is_batch boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,"
@@ -79,6 +81,7 @@ class TokenizerPair:
         self.bytes_a = [bytes(symbols[c] for c in t) if all(c in symbols for c in t) else t.encode() for t in names]
         self.bytes_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
+        self.known: dict[str, tuple] = {}
         # every id as text with the mark that follows it inside and at the end of its group's side
         self.text_a = [f"{i}{mark}" for i in range(self.size_a) for mark in ",|"]
         self.text_b = [f"{i}{mark}" for i in range(self.size_b) for mark in ",;"]
@@ -220,34 +223,53 @@ def align(p: TokenizerPair, text: str | None) -> dict | None:
     return x if x and x["good"].all() else None
 
 
+def _learned(p: TokenizerPair, parts: list[str]) -> tuple:
+    """Of every part: whether it is good, its four counts, the text of its groups, and where its linked pairs begin among ``key`` and ``times``."""
+    x = solve(p, parts) if parts else {k: np.empty(0, np.int64) for k in _SOLVED} | {"good": np.empty(0, bool)}
+    seen, groups, of_group = len(parts), len(x["part_of_group"]), x["part_of_group"]
+    size = np.bincount(x["group_a"], minlength=groups) * np.bincount(x["group_b"], minlength=groups)
+    each = np.array([np.bincount(v, minlength=seen) for v in (x["part_a"], x["part_b"], of_group, of_group)])
+    each[3] = 0
+    np.add.at(each[3], of_group, size)
+    texts_, group = written(p, x["group_a"], x["ids_a"], x["group_b"], x["ids_b"])
+    bound = np.searchsorted(of_group[group] if groups else group, np.arange(seen + 1)).tolist()
+    lines = ["".join(texts_[lo:hi]) for lo, hi in zip(bound, bound[1:])]
+    group, key, times = links(x["group_a"], x["ids_a"], x["group_b"], x["ids_b"], (p.size_a, p.size_b))
+    return x["good"], each, lines, np.searchsorted(of_group[group] if groups else group, np.arange(seen + 1)), key, times
+
+
 def _batch(p: TokenizerPair, name: int, keys: list, bodies: list[str | None]) -> pa.RecordBatch:
-    """Rows of one batch of documents, its own row last. Equal segments are cut once."""
+    """Rows of one batch of documents, its own row last. Equal segments are cut once, those that came more than once in an earlier batch not again."""
     cut_ = [p.segments(text) if text else [] for text in bodies]
-    index = {t: k for k, t in enumerate(dict.fromkeys(chain.from_iterable(cut_)))}
+    distinct = dict.fromkeys(chain.from_iterable(cut_))
+    new, old = [t for t in distinct if t not in p.known], [t for t in distinct if t in p.known]
+    index = {t: k for k, t in enumerate(chain(new, old))}
     which = np.fromiter(map(index.__getitem__, chain.from_iterable(cut_)), np.int64, sum(map(len, cut_)))
     held = np.split(which, np.cumsum([len(c) for c in cut_])[:-1])
-    del cut_
-    x = solve(p, list(index)) if index else {k: np.empty(0, np.int64) for k in _SOLVED} | {"good": np.empty(0, bool)}
-    held = [h if x["good"][h].all() else h[:0] for h in held]
+    del cut_, distinct
+    good, each, lines, first, key, times = _learned(p, new)
+    if old:
+        rows = [p.known[t] for t in old]
+        good, each = np.append(good, np.ones(len(old), bool)), np.concatenate([each, np.array([r[0] for r in rows]).T], 1)
+        lines += [r[1] for r in rows]
+        first = np.append(first, first[-1] + np.cumsum([len(r[2]) // 8 for r in rows]))
+        key, times = (np.concatenate([v, np.frombuffer(b"".join([r[k] for r in rows]), np.int64)]) for v, k in ((key, 2), (times, 3)))
+    again = np.flatnonzero((np.bincount(which, minlength=len(index))[: len(new)] > 1) & good[: len(new)]).tolist()
+    if len(p.known) + len(again) > KNOWN_SEGMENTS:
+        p.known.clear()
+    for k in again:
+        own = slice(first[k], first[k + 1])
+        p.known[new[k]] = (tuple(each[:, k].tolist()), lines[k], key[own].tobytes(), times[own].tobytes())
+    held = [h if good[h].all() else h[:0] for h in held]
     seen, many = len(index), np.array([len(h) for h in held], np.int64)
     flat = np.concatenate([*held, np.empty(0, np.int64)])
     doc = np.repeat(np.arange(len(keys)), many)
-    groups, of_group = len(x["part_of_group"]), x["part_of_group"]
-    size = np.bincount(x["group_a"], minlength=groups) * np.bincount(x["group_b"], minlength=groups)
-    each = [np.bincount(x["part_a"], minlength=seen), np.bincount(x["part_b"], minlength=seen), np.bincount(of_group, minlength=seen), np.zeros(seen, np.int64)]
-    np.add.at(each[3], of_group, size)
     counts = np.zeros((4, len(keys)), np.int64)
     for row, value in zip(counts, each):
         np.add.at(row, doc, value[flat])
-    # texts of the groups
-    parts, group = written(p, x["group_a"], x["ids_a"], x["group_b"], x["ids_b"])
-    bound = np.searchsorted(of_group[group] if groups else group, np.arange(seen + 1)).tolist()
-    lines = ["".join(parts[lo:hi]) for lo, hi in zip(bound, bound[1:])]
     shas = [hashlib.sha256("".join([lines[k] for k in h.tolist()])[:-1].encode()).hexdigest() if len(h) else "" for h in held]
-    # linked pairs: of a segment, then of a document
-    group, key, times = links(x["group_a"], x["ids_a"], x["group_b"], x["ids_b"], (p.size_a, p.size_b))
-    part = of_group[group] if groups else group
-    first, space, found = np.searchsorted(part, np.arange(seen + 1)), p.size_a * p.size_b, []
+    # linked pairs of the documents
+    space, found = p.size_a * p.size_b, []
     bounds = np.cumsum([0, *many])
     for lo in range(0, len(keys), DOCS_AT_ONCE):
         own = slice(bounds[lo], bounds[min(lo + DOCS_AT_ONCE, len(keys))])
