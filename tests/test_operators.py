@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from toposcan.functions import geo, text
-from toposcan.operators import (aggregates, candidates as cand, components, dictionary, failures, metrics, ordered, sampling, similarity, spatial,
+from toposcan.operators import (aggregates, candidates as cand, components, dictionary, failures, grid, metrics, ordered, sampling, similarity, spatial,
                                 textmine, trials, validate, vectors)
 from toposcan.plans import flows
 from toposcan.session import scratch
@@ -505,3 +505,35 @@ def test_river_polar_at_all_latitudes(spark):
             if math.hypot(lon - x, lat - y) <= 50 / 111.0 and (km := hav(lat, lon, y, x)) <= 50 and (best is None or km < best[1]):
                 best = (main, km)
         assert got[i] == (pytest.approx(best) if best else (None, None)), i
+
+
+# ---- copies of a place ---------------------------------------------------------------------------
+
+SQUARE = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 0D, 'y', 4D), named_struct('x', 4D, 'y', 4D), named_struct('x', 4D, 'y', 0D))"
+
+
+@pytest.fixture
+def tiles(spark):
+    """Three tiles over the same four centres, one of them outside the square; one value is missing."""
+    return spark.sql("SELECT tile, row, 0 AS col, 1.0D AS cx, row * 1.5D + 0.5D AS cy, IF(tile = 2 AND row = 1, NULL, 1e6D + tile * 10D + row) AS value "
+                     "FROM range(3) t(tile), range(4) r(row)")
+
+
+@pytest.fixture
+def looked_up(monkeypatch):
+    """Numbers of points and polygons that each call of points_within gets."""
+    seen, kernel = [], spatial.points_within
+
+    def counted(points, polys, *rest):
+        seen.append((points.count(), polys.count()))
+        return kernel(points, polys, *rest)
+
+    monkeypatch.setattr(spatial, "points_within", counted)
+    return seen
+
+
+def test_clip_looks_up_a_centre_once(spark, rows, tiles, looked_up):
+    polys = spark.sql(f"SELECT {SQUARE} AS ring FROM range(5)")
+    got = rows(grid.clip_cells(tiles, polys, 2.0), "tile", "row", "value")
+    assert got == rows(tiles.withColumn("value", F.expr("IF(row = 3, 0D, value)")), "tile", "row", "value")
+    assert looked_up == [(4, 1)]

@@ -79,8 +79,9 @@ def rasterize_polygons(cells: DataFrame, polys: DataFrame, size: float, value: s
 
 
 def clip_cells(cells: DataFrame, polys: DataFrame, size: float) -> DataFrame:
-    """Cells with centres ``cx, cy``; those outside every polygon get 0."""
-    inside = spatial.points_within(cells.select("row", "col", "cx", "cy"), polys.select("ring"), size, "cx", "cy")
+    """Cells with centres ``cx, cy``; those outside every polygon get 0. Tiles share their centres, which are looked up once."""
+    frame = cells.select("row", "col", "cx", "cy").distinct()
+    inside = spatial.points_within(frame, polys.select("ring").distinct(), size, "cx", "cy")
     mark = inside.select("row", "col").distinct().withColumn("_in", F.lit(True))
     d = cells.join(mark, ["row", "col"], "left")
     return d.withColumn("value", F.when(F.col("_in"), F.col("value")).otherwise(0.0)).drop("_in")
