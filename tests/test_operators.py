@@ -537,3 +537,12 @@ def test_clip_looks_up_a_centre_once(spark, rows, tiles, looked_up):
     got = rows(grid.clip_cells(tiles, polys, 2.0), "tile", "row", "value")
     assert got == rows(tiles.withColumn("value", F.expr("IF(row = 3, 0D, value)")), "tile", "row", "value")
     assert looked_up == [(4, 1)]
+
+
+def test_zonal_stats_look_up_a_centre_once(spark, tiles, looked_up):
+    polys = spark.sql(f"SELECT 7 AS id, {SQUARE} AS ring")
+    got = grid.zonal_stats(tiles, polys, "id", 2.0).first()
+    inside = [1e6 + t * 10 + r for t in range(3) for r in range(3) if (t, r) != (2, 1)]
+    assert (got.id, got.min, got.max, got["sum"], got["count"]) == (7, min(inside), max(inside), sum(inside), 8)
+    assert (got["mean"], got["std"]) == pytest.approx((np.mean(inside), np.std(inside)), rel=1e-12)
+    assert looked_up == [(4, 1)]

@@ -55,11 +55,22 @@ def buffer_stats(points: DataFrame, cells: DataFrame, west: float, north: float,
 
 
 def zonal_stats(cells: DataFrame, polys: DataFrame, key: str, size: float, x: str = "cx", y: str = "cy") -> DataFrame:
-    """Statistics of the cells whose centre lies in each polygon (``ring``); the deviation is that of the population."""
-    inside = spatial.points_within(cells.filter(F.col("value").isNotNull()), polys, size, x, y)
-    return inside.groupBy(key).agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.sum("value").alias("sum"), F.count("value").alias("count"))
+    """Statistics of the cells whose centre lies in each polygon (``ring``); the deviation is that of the population.
+
+    Cells of the same centre (of several tiles) are summed up first, so a polygon meets a centre once. Squares are taken about
+    the mean of all cells and about the mean of each centre, not about zero.
+    """
+    c = cells.filter(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
+    centre = c.groupBy(x, y).agg(F.count("value").alias("_n"), F.sum("value").alias("_s"), F.avg("value").alias("_mean"), F.var_pop("value").alias("_var"),
+                                 F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    middle = c.agg(F.avg("value").alias("m")).scalar()
+    centre = centre.withColumn("_d", F.col("_mean") - middle).withColumns({
+        "_sd": F.col("_n") * F.col("_d"), "_sq": F.col("_n") * (F.col("_var") + F.col("_d") * F.col("_d"))}).drop("_mean", "_var", "_d")
+    inside = spatial.points_within(centre, polys.select(key, "ring"), size, x, y)
+    s = inside.groupBy(key).agg(*[F.sum(k).alias(k) for k in ("_n", "_s", "_sd", "_sq")], F.min("_lo").alias("min"), F.max("_hi").alias("max"))
+    var = F.col("_sq") / F.col("_n") - F.pow(F.col("_sd") / F.col("_n"), 2)
+    return s.select(key, (F.col("_s") / F.col("_n")).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), "min", "max",
+                    F.col("_s").alias("sum"), F.col("_n").alias("count"))
 
 
 def rasterize_points(cells: DataFrame, points: DataFrame, west: float, north: float, size: float, value: str | None = None,
