@@ -546,3 +546,56 @@ def test_zonal_stats_look_up_a_centre_once(spark, tiles, looked_up):
     assert (got.id, got.min, got.max, got["sum"], got["count"]) == (7, min(inside), max(inside), sum(inside), 8)
     assert (got["mean"], got["std"]) == pytest.approx((np.mean(inside), np.std(inside)), rel=1e-12)
     assert looked_up == [(4, 1)]
+
+
+@pytest.fixture
+def met(monkeypatch):
+    """Pairs of packs that each join of places forms; packs of three rows, tasks of four pairs."""
+    seen, kernel = [], spatial.meet
+
+    def counted(left, right):
+        seen.append(kernel(left, right).count())
+        return kernel(left, right)
+
+    monkeypatch.setattr(spatial, "meet", counted)
+    monkeypatch.setattr(spatial, "PACK_ROWS", 3)
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 4)
+    return seen
+
+
+@pytest.fixture
+def crowd(spark):
+    """Forty rows at one place, two at another 1.1 km off and one far away; one without a place."""
+    at = [(i, -60.0, -10.0) for i in range(40)] + [(40, -60.0, -10.01), (41, -60.0, -10.01), (42, -61.0, -10.0), (43, None, -10.0)]
+    return spark.createDataFrame(at, "id BIGINT, lon DOUBLE, lat DOUBLE")
+
+
+def test_points_within_polygons_by_place(crowd, met):
+    rings = crowd.sparkSession.sql("SELECT k, array(named_struct('x', -60.5D, 'y', -10.5D), named_struct('x', -60.5D, 'y', -9.5D), named_struct('x', -59.5D, 'y', -9.5D), "
+                                   "named_struct('x', -59.5D, 'y', -10.5D)) AS ring FROM range(2) t(k)")
+    got = sorted((r.id, r.k) for r in spatial.points_within(crowd, rings, 0.4).collect())
+    assert got == [(i, k) for i in range(42) for k in range(2)]
+    assert met[0] <= 30  # of 84 pairs of rows
+
+
+def test_points_within_boxes_by_place(crowd, met):
+    boxes = crowd.sparkSession.sql("SELECT k, -60.5D AS minx, -10.01D AS miny, -59.5D AS maxx, -9.5D AS maxy FROM range(3) t(k)")
+    got = spatial.points_within_boxes(crowd, boxes, 0.4)
+    assert got.columns == ["id", "lon", "lat", "k", "minx", "miny", "maxx", "maxy"]
+    assert sorted((r.id, r.k) for r in got.collect()) == [(i, k) for i in range(40) for k in range(3)]
+    assert met[0] <= 30
+
+
+def test_toponyms_around_by_place(crowd, met):
+    sites = crowd.filter("id IN (0, 1, 42, 43)").withColumnRenamed("id", "site_id")
+    got = spatial.toponyms_around(sites, crowd, 5.0)
+    assert got.columns == ["site_id", "site_lon", "site_lat", "id", "toponym_lon", "toponym_lat", "distance_km"]
+    assert sorted((r.site_id, r.id) for r in got.collect()) == [(s, i) for s in (0, 1) for i in range(42)] + [(42, 42)]
+    assert all((r.distance_km > 1.0) == (r.id in (40, 41)) for r in got.collect())
+    assert met[0] <= 30
+
+
+def test_close_pairs_by_place(crowd, met):
+    got = sorted((r.a, r.b) for r in spatial.close_pairs(crowd, 2_000.0, "id", places=3).collect())
+    assert got == [(a, b) for a in range(42) for b in range(a + 1, 42)]
+    assert met[0] <= 500  # of 42 * 42 pairs of rows
