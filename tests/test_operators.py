@@ -599,3 +599,10 @@ def test_close_pairs_by_place(crowd, met):
     got = sorted((r.a, r.b) for r in spatial.close_pairs(crowd, 2_000.0, "id", places=3).collect())
     assert got == [(a, b) for a in range(42) for b in range(a + 1, 42)]
     assert met[0] <= 500  # of 42 * 42 pairs of rows
+
+
+def test_nearest_toponym_by_place(crowd, rows, met):
+    sites = crowd.filter("id IN (5, 41, 42, 43)").withColumnRenamed("id", "site_id")
+    got = spatial.nearest_toponym(sites, crowd.withColumn("name", F.concat(F.lit("n"), F.col("id"))), 5.0, "id")
+    assert rows(got, "site_id", "id", "name") == [(5, 0, "n0"), (41, 40, "n40"), (42, 42, "n42")]
+    assert met[0] <= 6

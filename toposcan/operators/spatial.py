@@ -358,6 +358,21 @@ def toponyms_around(sites: DataFrame, toponyms: DataFrame, radius_km: float, pla
     return unpacked(found, s.columns, t.columns, "distance_km")
 
 
+def nearest_toponym(sites: DataFrame, toponyms: DataFrame, radius_km: float, tie: str) -> DataFrame:
+    """The nearest row of :func:`toponyms_around` per row of ``sites``; of equally near ones that with the smallest ``tie``.
+
+    Of the toponyms at one place only the one with the smallest ``tie`` can win, and sites at one place have the same winner.
+    """
+    at = ["lon", "lat"]
+    rest = [c for c in toponyms.columns if c not in at]
+    first = toponyms.groupBy(*at).agg(F.min_by(F.struct(*rest), tie).alias("_t")).select(*at, "_t.*")
+    near = toponyms_around(sites.select(*at).distinct(), first, radius_km)
+    found = [c for c in near.columns if c not in ("site_lon", "site_lat")]
+    best = near.groupBy("site_lon", "site_lat").agg(F.min_by(F.struct(*found), F.struct("distance_km", tie)).alias("_n"))
+    s = sites.withColumnsRenamed({"lon": "site_lon", "lat": "site_lat"})
+    return s.join(best, ["site_lon", "site_lat"]).select(*s.columns, "_n.*")
+
+
 def match_known(known: DataFrame, cands: DataFrame, max_m: float = 500.0) -> DataFrame:
     """Known sites joined to the nearest candidate within ``max_m`` (EPSG:32721); ties multiply rows."""
     k = with_planar(known, "utm21s")

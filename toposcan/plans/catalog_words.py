@@ -94,8 +94,8 @@ def _(v):
     SELECT 'Site_' || CAST(site_id AS VARCHAR) AS site_name, arg_min(name, km) AS representative
     FROM ({AROUND}) JOIN {{v_feature}} USING (feature_id) WHERE km <= 20 GROUP BY site_id""")
 def _(v):
-    near = spatial.toponyms_around(v("v_site").select("site_name", "lon", "lat"),
-                                   v("v_feature").select("feature_id", F.col("name").alias("toponym_name"), "lon", "lat"), 20.0)
+    near = spatial.nearest_toponym(v("v_site").select("site_name", "lon", "lat"),
+                                   v("v_feature").select("feature_id", F.col("name").alias("toponym_name"), "lon", "lat"), 20.0, "feature_id")
     return dic.representative_name(near)
 
 
