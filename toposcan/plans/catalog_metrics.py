@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from toposcan.functions import text
 from toposcan.operators import aggregates as agg, candidates as cand, metrics
 from toposcan.operators.ordered import rank_by, running_precision, top_k
-from toposcan.plans.catalog_names import WEIGHTED, WEIGHTS, contains_sql
+from toposcan.plans.catalog_names import WEIGHTED, WEIGHTS, contains_sql, when_chain
 from toposcan.plans.catalog_space import HITS, KNOWN_CAND
 from toposcan.plans.registry import q6, query, r6, rounded
 from toposcan.plans.views import d
@@ -23,6 +23,9 @@ def scored(v):
 
 
 SCORED = f"(SELECT *, {WEIGHTED} AS total_score FROM {{v_cand}})"
+# Ranks depend on the last bit of the score. Closeness and dryness are shares of 20 first and weighted then, as in score_weighted.
+SCORED_SHARES = (f"(SELECT *, 0.6e0 * ({when_chain('root', WEIGHTS, 0.1)}) + 0.3e0 * (least(greatest(20 - dist_km, 0), 20) / 20)"
+                 " + 0.1e0 * (least(greatest(20 - occ_pct, 0), 20) / 20) AS total_score FROM {v_cand})")
 
 
 @query("agg1_value_counts", "SELECT root, count(*) AS n FROM {v_cand} GROUP BY root")
@@ -408,7 +411,7 @@ def _(v):
     return agg.estimated_root_counts(r, jitter=1.0).select("ord", "estimated")
 
 
-@query("win1_rank", f"SELECT cand_id, row_number() OVER (ORDER BY total_score DESC, cand_id) AS rank FROM {SCORED}")
+@query("win1_rank", f"SELECT cand_id, row_number() OVER (ORDER BY total_score DESC, cand_id) AS rank FROM {SCORED_SHARES}")
 def _(v):
     return rank_by(scored(v), "total_score", "cand_id").select("cand_id", "rank")
 
