@@ -37,7 +37,7 @@ def _orders(n):
     return con
 
 
-@pytest.mark.parametrize("name", ["win1_rank"])
+@pytest.mark.parametrize("name", ["win1_rank", "win2_running_precision"])
 def test_ranks_follow_the_documented_score(spark, tmp_path, name):
     """Scores that differ in the last bit only must rank alike on both sides."""
     con = _orders(20_000)

@@ -140,7 +140,7 @@ def _(v):
     return rounded(metrics.map_score(scored(v), v("v_site")), "map", places=9)
 
 
-@query("win2_running_precision", f"SELECT cand_id, rank, CAST(hits AS BIGINT) AS hits, {q6('precision', 9)} AS precision FROM ({PRECISIONS})")
+@query("win2_running_precision", f"SELECT cand_id, rank, CAST(hits AS BIGINT) AS hits, {q6('precision', 9)} AS precision FROM ({PRECISIONS.replace(SCORED, SCORED_SHARES)})")
 def _(v):
     from toposcan.operators.spatial import is_hit
 
