@@ -606,3 +606,13 @@ def test_nearest_toponym_by_place(crowd, rows, met):
     got = spatial.nearest_toponym(sites, crowd.withColumn("name", F.concat(F.lit("n"), F.col("id"))), 5.0, "id")
     assert rows(got, "site_id", "id", "name") == [(5, 0, "n0"), (41, 40, "n40"), (42, 42, "n42")]
     assert met[0] <= 6
+
+
+def test_pattern_counts_of_copies(spark, monkeypatch):
+    texts = ["Rios rio verdes 12 verde"] * 3 + ["rio VERDE 123 mata\tmatas", "", "ab cd", None]
+    df = spark.createDataFrame([(t,) for t in texts], "name STRING")
+    want = {(r.pattern, r.o, r.n) for r in textmine.stem_names(df).groupBy("pattern").agg(F.sum("n").alias("o"), F.count("*").alias("n")).collect()}
+    assert ("rio", 7, 2) in want and ("verde", 7, 2) in want
+    monkeypatch.setattr(textmine, "stem_names", None)  # no row per word and name
+    assert {(r.pattern, r.n_occurrences, r.n_names) for r in textmine.pattern_counts(df).collect()} == want
+    textmine.root_candidates(df, spark.createDataFrame([("rio",)], "root STRING")).collect()

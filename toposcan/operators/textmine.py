@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from toposcan.functions import text
 from toposcan.operators import multipattern
+from toposcan.session import cut
 
 # Beginnings of words that are no root candidates.
 STOP_PREFIXES = ["de", "da", "do", "das", "dos", "rua", "avenida", "travessa", "estrada"]
@@ -15,27 +16,60 @@ def _n() -> Column:
     return F.count(F.lit(1))
 
 
+def _counts_as_word(w: Column) -> Column:
+    """At least three characters, not only digits."""
+    return (F.length(w) >= 3) & (F.translate(w, "0123456789", "") != "")
+
+
+def _has_stem(w: Column) -> Column:
+    return (F.length(w) > 3) & F.right(w, F.lit(1)).isin("s", "a", "o", "e")
+
+
+def _stem(w: Column) -> Column:
+    return F.left(w, F.length(w) - 1)
+
+
 def stem_names(df: DataFrame, name: str = "name") -> DataFrame:
     """``pattern, name_key, n``: words of at least three characters and their stems, per distinct name.
 
     Names are carried as a 128-bit key, so long texts are not copied once per word.
     """
     w = F.col("word")
-    stem = F.when((F.length(w) > 3) & w.rlike("[saoe]$"), F.left(w, F.length(w) - 1))
+    stem = F.when(_has_stem(w), _stem(w))
     # the key is made before the explode; beside it, it would be computed again for every word
     texts = df.select(F.unhex(F.md5(name)).alias("name_key"), F.split(F.lower(name), r"\s+").alias("ws"))
-    words = texts.select("name_key", F.explode("ws").alias("word")).filter((F.length(w) >= 3) & ~w.rlike(r"^\d+$"))
+    words = texts.select("name_key", F.explode("ws").alias("word")).filter(_counts_as_word(w))
     stems = words.select("name_key", F.explode(F.array_compact(F.array(w, stem))).alias("pattern"))
     return stems.groupBy("pattern", "name_key").agg(_n().alias("n"))
 
 
+def pattern_counts(df: DataFrame, name: str = "name") -> DataFrame:
+    """``pattern, n_occurrences, n_names`` of the rows of :func:`stem_names`, without making them.
+
+    Copies of a name become one row with their number. Its words are counted as they stand (stems are made of the vocabulary
+    afterwards), its distinct patterns once each; both counts are summed up before the shuffle.
+    """
+    names = df.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).groupBy("name").agg(_n().alias("m"))
+    names = names.select("m", F.split(F.lower("name"), r"\s+").alias("ws"))
+    names = names.withColumn("ds", F.filter(F.array_distinct("ws"), _counts_as_word))
+    names = names.withColumn("ps", F.array_distinct(F.concat("ds", F.transform(F.filter("ds", _has_stem), _stem))))
+    lists = F.inline(F.array(*[F.struct(F.lit(once).alias("once"), F.col(c).alias("xs")) for once, c in ((False, "ws"), (True, "ps"))]))
+    listed = names.select("m", lists).select("once", F.when(F.col("once"), F.lit(1)).otherwise(F.col("m")).alias("m"), F.explode("xs").alias("pattern"))
+    counts = cut(listed.groupBy("once", "pattern").agg(F.sum("m").alias("n")))
+    w = F.col("pattern")
+    words = counts.filter(~F.col("once") & _counts_as_word(w))
+    stems = words.select(F.explode(F.array_compact(F.array(w, F.when(_has_stem(w), _stem(w))))).alias("pattern"), "n")
+    occurrences = stems.groupBy("pattern").agg(F.sum("n").alias("n_occurrences"))
+    return occurrences.join(counts.filter("once").select("pattern", F.col("n").alias("n_names")), "pattern")
+
+
 def root_candidates(df: DataFrame, roots: DataFrame, name: str = "name") -> DataFrame:
     """Patterns seen at least twice: ``pattern, status, n_occurrences, n_names``.
 
     ``known`` patterns are in the dictionary; ``unknown`` ones have three characters or more and no stop
     prefix. The names behind a pattern are the rows of :func:`stem_names`.
     """
-    counts = stem_names(df, name).groupBy("pattern").agg(F.sum("n").alias("n_occurrences"), _n().alias("n_names"))
+    counts = pattern_counts(df, name)
     known = roots.select(F.lower("root").alias("pattern")).dropna().distinct().withColumn("_known", F.lit(True))
     d = counts.filter(F.col("n_occurrences") >= 2).join(known, "pattern", "left")
     stop = text.any_of([F.startswith(F.col("pattern"), F.lit(p)) for p in STOP_PREFIXES])
