@@ -616,3 +616,10 @@ def test_pattern_counts_of_copies(spark, monkeypatch):
     monkeypatch.setattr(textmine, "stem_names", None)  # no row per word and name
     assert {(r.pattern, r.n_occurrences, r.n_names) for r in textmine.pattern_counts(df).collect()} == want
     textmine.root_candidates(df, spark.createDataFrame([("rio",)], "root STRING")).collect()
+
+
+def test_shared_affixes_read_only_the_ends(spark, monkeypatch):
+    monkeypatch.setattr(text, "words", None)  # texts are not split
+    df = names(spark, "Rio a  ", "\tRIO b", "rio\nx ÁGUA", "rios água\n", "água", "", "  ")
+    got = sorted((r.kind, r.affix, r.n) for r in textmine.shared_affixes(df).collect())
+    assert got == [("prefix", "rio", 3), ("suffix", "a", 2), ("suffix", "água", 2)]

@@ -93,16 +93,18 @@ def shared_affixes(df: DataFrame, name: str = "name") -> DataFrame:
     A name begins with a first word exactly when that word is a prefix of its own first word, so the
     prefixes of distinct first words are matched by equality.
     """
-    low = F.lower(name)
-    ws = text.words(F.col(name))
-    base = df.select(low.alias("low"), ws.alias("ws")).filter(F.size("ws") > 0)
+    # only the ends of a name are looked at: the first word, and the first one of the name read backwards
+    first = lambda c: F.regexp_extract(c, r"^\s*(\S+)", 1)
+    back = F.reverse(F.col(name))
+    ends = df.select(F.lower(first(F.col(name))).alias("first"), F.left(F.col(name), F.lit(1)).rlike(r"\s").alias("first_blank"),
+                     F.lower(F.reverse(first(back))).alias("last"), F.left(back, F.lit(1)).rlike(r"\s").alias("last_blank"))
+    base = cut(ends.filter(F.col("first") != "").groupBy(*ends.columns).agg(_n().alias("c")))
     parts = []
-    for kind, word, edge in (("prefix", F.element_at("ws", 1), r"^\s"), ("suffix", F.element_at("ws", -1), r"\s$")):
+    for kind, word in (("prefix", "first"), ("suffix", "last")):
         # a name with white space at that end begins (ends) with no word
-        d = base.select(word.alias("w"), F.col("low").rlike(edge).alias("blank"))
-        words = d.groupBy("w").agg(F.count_if(~F.col("blank")).alias("m"))
-        cut = (lambda i: F.left(F.col("w"), i)) if kind == "prefix" else (lambda i: F.right(F.col("w"), i))
-        pieces = words.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), cut)).alias("affix"))
+        words = base.groupBy(F.col(word).alias("w")).agg(F.sum(F.when(F.col(f"{word}_blank"), 0).otherwise(F.col("c"))).alias("m"))
+        piece = (lambda i: F.left(F.col("w"), i)) if kind == "prefix" else (lambda i: F.right(F.col("w"), i))
+        pieces = words.select("m", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), piece)).alias("affix"))
         counts = pieces.groupBy("affix").agg(F.sum("m").alias("n")).filter(F.col("n") >= 2)
         hits = counts.join(words.select(F.col("w").alias("affix")), "affix", "left_semi")
         parts.append(hits.select(F.lit(kind).alias("kind"), "affix", "n"))
