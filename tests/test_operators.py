@@ -623,3 +623,16 @@ def test_shared_affixes_read_only_the_ends(spark, monkeypatch):
     df = names(spark, "Rio a  ", "\tRIO b", "rio\nx ÁGUA", "rios água\n", "água", "", "  ")
     got = sorted((r.kind, r.affix, r.n) for r in textmine.shared_affixes(df).collect())
     assert got == [("prefix", "rio", 3), ("suffix", "a", 2), ("suffix", "água", 2)]
+
+
+def test_trial_issues_do_not_gather_values_by_name(spark):
+    log = spark.range(40).select(F.col("id").alias("trial_id"), (-1.0 - F.col("id")).alias("score"), F.lit(0).alias("n_candidates"), F.lit("completed").alias("status"),
+                                 F.create_map(F.lit("d"), F.col("id") % 10 / 100.0).alias("params"))
+    bounds = spark.createDataFrame([("d", 0.0, 1.0)], "name STRING, low DOUBLE, high DOUBLE")
+    issues = trials.trial_issues(log, bounds)
+    got = {r.issue_type: r.value for r in issues.collect()}
+    assert got["candidates_zero_dominant"] == 1.0 and got["search_space_too_narrow"] == pytest.approx(0.09)
+    plan = issues._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(params") == 1  # values are reduced to ranges and not joined to them
+    (row,) = trials.param_exploration(log, bounds).collect()
+    assert (row.unique_count, row.near_min, row.near_max) == (10, 1.0, 0.0)

@@ -145,25 +145,36 @@ def trial_stats(trials: DataFrame) -> DataFrame:
     return one_row(base, q, m).withColumn("score_iqr", F.col("score_q75") - F.col("score_q25"))
 
 
-def param_exploration(trials: DataFrame, space: DataFrame, params: str = "params") -> DataFrame:
-    """Per parameter: statistics, share of the defined range used, share of values near its ends.
+def _param_values(trials: DataFrame, params: str) -> DataFrame:
+    return trials.select(F.explode(params).alias("name", "v")).filter(F.col("v").isNotNull())
+
+
+def param_ranges(trials: DataFrame, space: DataFrame, params: str = "params") -> DataFrame:
+    """One row per parameter: statistics, ends ``low, high`` of the defined range and the share of it that is used.
 
     ``space`` has ``name, low, high``; a parameter without a definition is measured by its own range.
     """
-    long = trials.select(F.explode(params).alias("name", "v")).filter(F.col("v").isNotNull())
-    stats = long.groupBy("name").agg(
+    stats = _param_values(trials, params).groupBy("name").agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
         F.countDistinct("v").alias("unique_count"), _n().alias("n"))
     lim = stats.join(F.broadcast(space), "name", "left") if _small(space) else stats.join(space, "name", "left")
     lim = lim.withColumns({"low": F.coalesce("low", "min"), "high": F.coalesce("high", "max")})
-    width = F.col("high") - F.col("low")
+    return lim.withColumn("utilization", F.try_divide(F.col("max") - F.col("min"), F.col("high") - F.col("low")))
+
+
+def param_exploration(trials: DataFrame, space: DataFrame, params: str = "params") -> DataFrame:
+    """:func:`param_ranges` with the shares of values near both ends."""
+    lim = cut(param_ranges(trials, space, params))
+    # a few names hold all values: the ranges go to the values, which are not gathered by name
     bounds = lim.select("name", "low", "high")
-    near = (long.join(bounds, "name").groupBy("name").agg(
+    bounds = F.broadcast(bounds) if _small(bounds) else bounds
+    width = F.col("high") - F.col("low")
+    near = (_param_values(trials, params).join(bounds, "name").groupBy("name").agg(
         F.avg((F.try_divide(F.abs(F.col("v") - F.col("low")), width) < 0.1).cast("double")).alias("near_min"),
         F.avg((F.try_divide(F.abs(F.col("v") - F.col("high")), width) < 0.1).cast("double")).alias("near_max")))
     return lim.join(near, "name").select(
         "name", "mean", "std", "min", "max", "unique_count", (F.col("unique_count") / F.col("n")).alias("unique_rate"),
-        F.try_divide(F.col("max") - F.col("min"), width).alias("utilization"), "near_min", "near_max")
+        "utilization", "near_min", "near_max")
 
 
 def _small(df: DataFrame, rows: int = 10000) -> bool:
@@ -233,7 +244,7 @@ def trial_issues(trials: DataFrame, space: DataFrame, params: str = "params") ->
     p = trial_patterns(trials)
     by_zero = trials.agg(F.avg(F.when(F.col("n_candidates") == 0, F.col("score"))).alias("zero_mean"),
                          F.avg(F.when(F.col("n_candidates") > 0, F.col("score"))).alias("nonzero_mean"), _n().alias("n_all"))
-    narrow = param_exploration(trials, space, params).agg(F.min("utilization").alias("least_used"))
+    narrow = param_ranges(trials, space, params).agg(F.min("utilization").alias("least_used"))
     d = one_row(p, by_zero, narrow, recent_vs_earlier(trials, scored_only=False).select(F.col("stagnated").alias("stagnated_all")))
     zero, neg = F.col("candidates_zero_rate"), F.col("negative_score_rate")
     flaw = (F.col("best_score") <= 0) & (zero > 0) & (F.col("zero_mean") >= F.col("nonzero_mean"))
