@@ -636,3 +636,10 @@ def test_trial_issues_do_not_gather_values_by_name(spark):
     assert plan.count("explode(params") == 1  # values are reduced to ranges and not joined to them
     (row,) = trials.param_exploration(log, bounds).collect()
     assert (row.unique_count, row.near_min, row.near_max) == (10, 1.0, 0.0)
+
+
+def test_drop_correlated_computes_its_input_once(spark):
+    df = spark.range(50).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 7 * 2).alias("b"), F.xxhash64("id").alias("c"))
+    out = similarity.drop_correlated(df, ["a", "b", "c"], 0.6)
+    assert out.columns == ["id", "a", "c"] and out.count() == 50
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()

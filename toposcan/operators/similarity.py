@@ -70,6 +70,8 @@ def kept_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) ->
 
 
 def drop_correlated(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) -> DataFrame:
+    """``df`` without the columns of ``cols`` that repeat an earlier one. Read twice, so what leads to it is done once before."""
+    df = cut(df)
     kept = kept_columns(df, cols, threshold)
     return df.drop(*[c for c in cols if c not in kept])
 
