@@ -643,3 +643,11 @@ def test_drop_correlated_computes_its_input_once(spark):
     out = similarity.drop_correlated(df, ["a", "b", "c"], 0.6)
     assert out.columns == ["id", "a", "c"] and out.count() == 50
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantiles_of_few_distinct_values_are_not_ranked(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ordered", None)
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), (F.col("id") % 20).cast("double").alias("v")).unionByName(spark.sql("SELECT 0L AS g, CAST(NULL AS DOUBLE) AS v"))
+    got = {r.g: (r.m, r.q) for r in ordered.quantiles(df, "v", {"m": 0.5, "q": 0.9}, ["g"], max_group=10).collect()}
+    assert got == {g: (np.quantile(range(g, 20, 2), 0.5), pytest.approx(np.quantile([x for x in range(g, 20, 2) for _ in range(50)], 0.9))) for g in (0, 1)}
+    assert ordered.quantiles(df, "v", {"m": 0.5}, max_group=20).first().m == 9.5

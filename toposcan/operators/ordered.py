@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from toposcan.session import cut
+
 SPLITS = 32
 MAX_SPLITS = 1024
 #: Rows that one bucket should not exceed by much; larger tables are cut into more buckets.
@@ -142,14 +144,16 @@ def quantiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str] |
     """Exact interpolated quantiles, one row per group (one row without groups).
 
     Spark's ``percentile`` keeps the distinct values of a group in one buffer. That is used while
-    the largest group is small; beyond it the values are ranked in parts and the two
+    the largest group has few rows, or few distinct values; beyond it the values are ranked in parts and the two
     neighbours of each position are picked.
     """
     by, max_group = by or [], MAX_GROUP if max_group is None else max_group
     d = df.filter(F.col(col).isNotNull())
     if largest_group(d, by) <= max_group:
         return d.groupBy(*by).agg(*[F.percentile(F.col(col), p).alias(o) for o, p in probs.items()])
-    counts = d.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(d.groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    if largest_group(counts, by) <= max_group:
+        return counts.groupBy(*by).agg(*[F.percentile("_v", p, F.col("_n")).alias(o) for o, p in probs.items()])
     # distinct values with their counts: position of the first and last copy of each value
     run = ordered(counts, "_v", "_v", by=by, sums={"_hi": "_n"})
     size = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
