@@ -651,3 +651,19 @@ def test_quantiles_of_few_distinct_values_are_not_ranked(spark, monkeypatch):
     got = {r.g: (r.m, r.q) for r in ordered.quantiles(df, "v", {"m": 0.5, "q": 0.9}, ["g"], max_group=10).collect()}
     assert got == {g: (np.quantile(range(g, 20, 2), 0.5), pytest.approx(np.quantile([x for x in range(g, 20, 2) for _ in range(50)], 0.9))) for g in (0, 1)}
     assert ordered.quantiles(df, "v", {"m": 0.5}, max_group=20).first().m == 9.5
+
+
+def test_cluster_counts_share_their_distances(spark, monkeypatch):
+    rng = random.Random(3)
+    data = [(i, [rng.gauss(c * 9.0, 1.0), rng.gauss(0.0, 1.0)]) for i, c in enumerate([0, 1, 2] * 20)]
+    vec = spark.createDataFrame(data, "id BIGINT, v ARRAY<DOUBLE>")
+    calls, kernel = [], vectors.block_sums
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "block_sums", lambda *a: calls.append(1) or kernel(*a))
+    out, k = similarity.cluster_vectors(vec, k_range=(2, 5))
+    assert k == 3 and len(calls) == 1
+    assert len({(r.id % 3, r.label) for r in out.collect()}) == 3
+    two = vec.select("id", "v", (F.col("id") % 2).alias("a"), F.when(F.col("id") < 1, 1).otherwise(0).alias("b"))
+    both = {r.labelling: r.silhouette for r in similarity.silhouettes(two.select("id", F.array("a", "b").alias("labels"), "v"), [2, 2]).collect()}
+    for i, c in enumerate("ab"):
+        assert both[i] == pytest.approx(similarity.silhouette(two.withColumn("label", F.col(c))).first()[0])

@@ -208,15 +208,26 @@ def _dense(rows: DataFrame) -> tuple[DataFrame, int]:
 def silhouette(rows: DataFrame) -> DataFrame:
     """Mean silhouette (Euclidean) of ``id, label, v``; labels are any integers, clusters of one row count 0."""
     rows, n_labels = _dense(rows.select("id", "label", "v"))
-    rows = cut(rows)
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    sums = vectors.block_sums(rows, n_labels).join(sizes.withColumnRenamed("label", "other"), "other")
-    own = F.col("label") == F.col("other")
-    per = sums.groupBy("id").agg(
+    return silhouettes(rows.select("id", F.array("label").alias("labels"), "v"), [n_labels]).select("silhouette")
+
+
+def silhouettes(rows: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """``labelling, silhouette`` for several labellings of the same rows: the distances are measured once for all.
+
+    ``rows`` is ``id, labels, v`` with a label per labelling; labelling ``i`` numbers its labels 0 to ``sizes[i] - 1``.
+    """
+    first = [sum(sizes[:i]) for i in range(len(sizes))]
+    numbered = F.zip_with("labels", F.array(*[F.lit(x) for x in first]), lambda x, y: (x + y).cast("int"))
+    rows = cut(rows.select("id", numbered.alias("labels"), "v"))
+    owner = F.array(*[F.lit(i) for i, n in enumerate(sizes) for _ in range(n)])
+    counts = rows.select(F.explode("labels").alias("other")).groupBy("other").agg(F.count(F.lit(1)).alias("size"))
+    sums = vectors.block_sums(rows, sum(sizes)).join(counts, "other").join(rows.select("id", "labels"), "id")
+    own = F.array_contains("labels", F.col("other"))
+    per = sums.groupBy("id", F.get(owner, F.col("other")).alias("labelling")).agg(
         F.max(F.when(own, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"), F.max(F.when(own, F.col("size"))).alias("n"))
     s = F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return per.agg(F.avg(s).alias("silhouette"))
+    return per.groupBy("labelling").agg(F.avg(s).alias("silhouette"))
 
 
 def _square(a: str, b: str) -> Column:
@@ -252,14 +263,17 @@ def cluster_quality(rows: DataFrame) -> DataFrame:
 def cluster_vectors(vec: DataFrame, k: int | None = None, k_range: tuple[int, int] = (2, 10), seed: int = 42) -> tuple[DataFrame, int]:
     """k-means labels ``id, label, v``; without ``k`` the number with the best silhouette is taken."""
     d = cut(vec.select("id", "v", array_to_vector("v").alias("f")))
-
-    def fit(n: int) -> DataFrame:
-        return KMeans(k=n, seed=seed, featuresCol="f", predictionCol="label").fit(d).transform(d).select("id", "label", "v")
-
-    if k is None:
-        top = min(k_range[1], d.count() - 1)
-        k = max(range(k_range[0], top + 1), key=lambda n: silhouette(cut(fit(n))).first()[0])
-    return fit(k), k
+    fit = lambda n, out: KMeans(k=n, seed=seed, featuresCol="f", predictionCol=out).fit(d)
+    if k is not None:
+        return fit(k, "label").transform(d).select("id", "label", "v"), k
+    tried = list(range(k_range[0], min(k_range[1], d.count() - 1) + 1))
+    labelled = d
+    for n in tried:
+        labelled = fit(n, f"l{n}").transform(labelled)
+    labelled = cut(labelled.select("id", "v", *[f"l{n}" for n in tried]))
+    found = silhouettes(labelled.select("id", F.array(*[f"l{n}" for n in tried]).alias("labels"), "v"), tried).collect()  # a row per k
+    k = tried[min(found, key=lambda r: (-r["silhouette"], r["labelling"]))["labelling"]]
+    return labelled.select("id", F.col(f"l{k}").alias("label"), "v"), k
 
 
 def cluster_types(df: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -19,7 +19,8 @@ from toposcan.operators import metric_index
 
 SMALL_ROWS = 2048  # rows of a side that may travel with the job
 SMALL_BYTES = 32 << 20
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 8192  # rows of a block, and more in tables of many blocks
+BLOCK_BYTES = 32 << 20
 
 # Words that nudge an embedding.
 TERRAIN_WORDS = ["serra", "monte", "pico", "vale", "planalto"]
@@ -167,30 +168,35 @@ def hash_embedding(dim: int = 512, seed: int = 42):
 
 
 def block_sums(rows: DataFrame, n_labels: int) -> DataFrame:
-    """``id, label, other, total``: sum of Euclidean distances of every row to all rows of each label.
+    """``id, other, total``: sum of Euclidean distances of every row to all rows of each label.
 
-    ``rows`` is ``id, label INT, v``. Every block meets every block; a block pair yields one row per id and label.
+    ``rows`` is ``id, labels ARRAY<INT>, v``; a row may have several labels, one per labelling, whose distances are measured once.
+    Every block meets every block, so a row travels as often as there are blocks: they grow with the table up to ``BLOCK_BYTES``.
+    A block pair yields one row per id and label.
     """
-    n = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    count, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    most = max(BLOCK_ROWS, BLOCK_BYTES // (8 * max(width or 1, n_labels)))
+    spread = math.ceil(2 * math.sqrt(rows.sparkSession.sparkContext.defaultParallelism))
+    n = max(1, math.ceil(count / min(most, max(BLOCK_ROWS, math.ceil(count / spread)))))
     block = F.pmod(F.xxhash64("id"), F.lit(n))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = rows.select("id", "label", "v", block.alias("qb"), every.alias("ib"))
-    right = rows.select("label", "v", block.alias("ib"), every.alias("qb"))
+    left = rows.select("id", "v", block.alias("qb"), every.alias("ib"))
+    right = rows.select("labels", "v", block.alias("ib"), every.alias("qb"))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            m, labels = _matrix(b["v"], "euclidean"), b["label"].to_numpy()
-            onehot = (labels[:, None] == np.arange(n_labels)[None, :]).astype(float)
-            q = _matrix(a["v"], "euclidean")
-            for lo in range(0, len(q), 256):
-                part = q[lo:lo + 256]
-                d2 = (part**2).sum(1)[:, None] - 2 * part @ m.T + (m**2).sum(1)[None, :]
-                sums = np.sqrt(np.maximum(d2, 0.0)) @ onehot
-                for i, row in enumerate(sums):
-                    out += [(a["id"].iat[lo + i], a["label"].iat[lo + i], o, t) for o, t in enumerate(row)]
-        return pd.DataFrame(out, columns=["id", "label", "other", "total"])
-
-    schema = "id BIGINT, label INT, other INT, total DOUBLE"
-    parts = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(pair, schema)
-    return parts.groupBy("id", "label", "other").agg(F.sum("total").alias("total"))
+        if not (len(a) and len(b)):
+            return pd.DataFrame({"id": [], "other": [], "total": []})
+        m, q = _matrix(b["v"], "euclidean"), _matrix(a["v"], "euclidean")
+        onehot = np.zeros((len(m), n_labels))
+        for row, labels in enumerate(b["labels"]):
+            onehot[row, labels] = 1.0
+        m2, sums = (m**2).sum(1)[None, :], np.empty((len(q), n_labels))
+        step = max(1, min(256, (8 << 20) // len(m)))
+        for lo in range(0, len(q), step):
+            part = q[lo:lo + step]
+            d2 = (part**2).sum(1)[:, None] - 2 * part @ m.T + m2
+            sums[lo:lo + step] = np.sqrt(np.maximum(d2, 0.0)) @ onehot
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), n_labels), "other": np.tile(np.arange(n_labels), len(q)), "total": sums.ravel()})
+
+    parts = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(pair, "id BIGINT, other INT, total DOUBLE")
+    return parts.groupBy("id", "other").agg(F.sum("total").alias("total"))
