@@ -1,6 +1,7 @@
 """Nearest vectors by the index of cells against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from toposcan.operators import metric_index as M, vectors
@@ -75,3 +76,31 @@ def test_large_sides_take_the_index_and_ask_few_cells(spark, monkeypatch):
         d = np.sort(np.sqrt(((x - x[i]) ** 2).sum(1)))[1:4]
         assert got[i] == pytest.approx(np.exp(-d.mean()), abs=1e-8)
     assert sum(n for n, _ in asked) < 0.2 * 4_000 * asked[0][1]  # a fifth of what all blocks against all would be
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_shelves_and_parts(spark, monkeypatch, metric):
+    """Small shelves: cells share one or are cut into parts, and queries come back to a shelf in later rounds."""
+    for name, value in (("CELL_ROWS", 8), ("QUERY_ROWS", 8), ("WIDTHS", (3,)), ("PIVOTS", 12), ("BLOCK_BYTES", 8 * 64 * 20), ("SHELF_CELLS", 3)):
+        monkeypatch.setattr(M, name, value)
+    m = np.vstack([data("noise", 150, 4), np.tile(data("noise", 1, 5), (6, 1)), 1e4 + 1e-5 * data("noise", 40, 6)])  # far from the origin, near each other
+    got = sorted((r.query_id, r.id, round(r.score, 9) + 0.0) for r in M.top_k(frame(spark, m), frame(spark, m), 3, metric, True).collect())
+    if metric == "euclidean":
+        assert got == brute(m, m, 3, metric, True)
+    assert len(got) == 3 * len(m)
+
+
+def test_meeting_hands_on_what_improves():
+    """A query in a meeting yields rows that reach the score it has, of the cells it asks; not its best rows of every cell."""
+    m = data("noise", 300, 7)
+    q, bit = m[:40] + 0.01, np.arange(300) % 3
+    d = np.round(np.sqrt(((q[:, None] - m[None]) ** 2).sum(2)), 9)
+    rows = pd.DataFrame({"v": list(m), "ids": [[i] for i in range(300)], "bit": bit})
+    for known in (-np.inf, -11.0):
+        asks = pd.DataFrame({"key": [f"q{i:02}" for i in range(40)], "v": list(q), "bits": [1 + i % 7 for i in range(40)], "score": known})
+        got = M._pair("euclidean", 2)(asks, rows)
+        want = []
+        for i in range(40):
+            asked = [j for j in range(300) if (1 + i % 7) >> bit[j] & 1 and -d[i, j] >= known]
+            want += [(f"q{i:02}", j, -d[i, j]) for j in sorted(asked, key=lambda j: (d[i, j], j))[:2]]
+        assert sorted(got.itertuples(index=False, name=None)) == sorted(want)
