@@ -667,3 +667,29 @@ def test_cluster_counts_share_their_distances(spark, monkeypatch):
     both = {r.labelling: r.silhouette for r in similarity.silhouettes(two.select("id", F.array("a", "b").alias("labels"), "v"), [2, 2]).collect()}
     for i, c in enumerate("ab"):
         assert both[i] == pytest.approx(similarity.silhouette(two.withColumn("label", F.col(c))).first()[0])
+
+
+def test_distance_grid_by_tiles(spark):
+    """Holes, copies, nulls, negative indices and sources across the edges of tiles: as by all pairs, and without a join of cells to each other."""
+    rng = random.Random(5)
+    cells = [(r, c, rng.choices([1, 0, -2, None], [1, 60, 20, 4])[0]) for r in range(-140, 140, 2) for c in range(100, 160) if rng.random() < 0.8]
+    cells += [(r, c, rng.choice([1, 0, None])) for r, c, _ in cells[:300]] + [(5000, 5000, 0), (5001, 5000, None), (None, 3, 1), (None, 3, 0)]
+    df = spark.createDataFrame(cells, "row INT, col INT, value INT")
+    src = np.array([(r, c) for r, c, v in cells if v is not None and v > 0 and r is not None])
+    looked = {(r, c) for r, c, v in cells if v is not None and v <= 0}
+    want = []
+    for r, c, v in cells:
+        if v is not None and v > 0:
+            d = 0.0
+        elif r is None or (r, c) not in looked:
+            d = 40.0
+        else:
+            d = min(40.0, 5.0 * math.sqrt(((src - (r, c)) ** 2).sum(1).min()))
+        want.append((r, c, round(d, 9)))
+    out = grid.distance_grid(df, 5.0, 5.0, 40.0)
+    got = sorted(((r.row, r.col, round(r.distance, 9)) for r in out.collect()), key=str)
+    assert got == sorted(want, key=str)
+    assert out.schema["row"].dataType == df.schema["row"].dataType
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    none = grid.distance_grid(df.filter("value <= 0"), 5.0, 5.0, 40.0)
+    assert {r.distance for r in none.collect()} == {40.0}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from toposcan.operators import spatial
 from toposcan.operators.ordered import quantiles
@@ -98,9 +100,64 @@ def clip_cells(cells: DataFrame, polys: DataFrame, size: float) -> DataFrame:
     return d.withColumn("value", F.when(F.col("_in"), F.col("value")).otherwise(0.0)).drop("_in")
 
 
+TILE = 128  # cells along a side of a tile
+
+
+def _tile_squares(reach: int):
+    """Square of the distance to the nearest source for the own cells of a tile; sources of other tiles come within ``reach`` of its edge."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = TILE + 2 * reach
+        row, col = ((pdf[c] - pdf[t] * TILE).to_numpy() for c, t in (("row", "_tr"), ("col", "_tc")))
+        source = np.zeros((size, size), bool)
+        has = pdf["sources"].to_numpy() > 0
+        source[row[has] + reach, col[has] + reach] = True
+        at, far = np.arange(size), 1e9
+        left = np.maximum.accumulate(np.where(source, at, -far), axis=1)
+        right = np.minimum.accumulate(np.where(source, at, far)[:, ::-1], axis=1)[:, ::-1]
+        along = np.minimum(at - left, right - at)[:, reach : reach + TILE] ** 2  # within the row
+        best = np.full((TILE, TILE), np.inf)
+        for step in range(2 * reach + 1):
+            np.minimum(best, along[step : step + TILE] + (step - reach) ** 2, out=best)
+        own = pdf["own"].to_numpy()
+        return pdf.loc[own, ["row", "col", "sources", "others", "unknown"]].assign(square=best[row[own], col[own]])
+
+    return run
+
+
+def _near_sources(cells: DataFrame, reach: int) -> DataFrame:
+    """``row, col, sources, others, unknown, square`` of every place: its rows by value (> 0, <= 0, null) and the square of the distance to the nearest source.
+
+    The square is right up to ``reach``; beyond, it is some larger number. Tiles are worked on one by one; only sources near an edge are copied to the
+    tiles beyond it. Rows at one place are counted before they move.
+    """
+    count = lambda c: F.count_if(c).alias
+    places = cells.groupBy(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col")).agg(
+        count(F.col("value") > 0)("sources"), count(F.col("value") <= 0)("others"), count(F.col("value").isNull())("unknown"))
+    margin = F.when(F.col("sources") > 0, reach).otherwise(0)
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / TILE), F.floor((F.col(c) + margin) / TILE)))
+    dealt = places.withColumn("_tr", tiles("row")).withColumn("_tc", tiles("col"))
+    dealt = dealt.withColumn("own", (F.col("_tr") == F.floor(F.col("row") / TILE)) & (F.col("_tc") == F.floor(F.col("col") / TILE)))
+    return dealt.groupBy("_tr", "_tc").applyInPandas(
+        _tile_squares(reach), "row BIGINT, col BIGINT, sources BIGINT, others BIGINT, unknown BIGINT, square DOUBLE")
+
+
 def distance_grid(cells: DataFrame, width: float, height: float, max_dist: float | None = None) -> DataFrame:
-    """Distance of every cell to the nearest source cell (value > 0), by the mean pixel size ``sqrt((w^2 + h^2) / 2)``."""
+    """Distance of every cell to the nearest source cell (value > 0), by the mean pixel size ``sqrt((w^2 + h^2) / 2)``.
+
+    With a ``max_dist`` of up to ``TILE`` pixels, tiles are worked on with the sources about them; otherwise the nearest source is searched.
+    """
     pixel = math.sqrt((width**2 + height**2) / 2)
+    types = [cells.schema[c].dataType for c in ("row", "col")]
+    if max_dist is not None and 0 <= max_dist <= TILE * pixel and all(isinstance(t, T.IntegralType) for t in types):
+        most = F.lit(float(max_dist))
+        placed = F.col("row").isNotNull() & F.col("col").isNotNull()
+        near = _near_sources(cells.filter(placed), math.ceil(max_dist / pixel))
+        dist = F.least(F.sqrt("square") * pixel, most)
+        each = F.concat(F.array_repeat(F.lit(0.0), F.col("sources").cast("int")), F.array_repeat(dist, F.col("others").cast("int")),
+                        F.array_repeat(F.when(F.col("others") > 0, dist).otherwise(most), F.col("unknown").cast("int")))
+        near = near.select(*[F.col(c).cast(t).alias(c) for c, t in zip(("row", "col"), types)], F.explode(each).alias("distance"))
+        return near.unionByName(cells.filter(~placed).select("row", "col", F.when(F.col("value") > 0, 0.0).otherwise(most).alias("distance")))
     p = cells.select("row", "col", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "value")
     near = spatial.nearest_distance(p.filter(F.col("value") <= 0), spatial.as_segments(p.filter(F.col("value") > 0)))
     d = p.join(near, ["x", "y"], "left").withColumn("distance", F.when(F.col("value") > 0, 0.0).otherwise(F.col("dist") * pixel))
