@@ -354,6 +354,19 @@ def test_scores_against_known_sites(spark):
         assert got["near"][s] > got["off"][s]
 
 
+def test_scale_does_what_leads_to_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = spark.range(50).select(F.col("id").cast("double").alias("a")).mapInPandas(run, "a DOUBLE")
+    assert similarity.scale(df, ["a"]).count() == 50
+    assert seen.value == 50
+
+
 def test_scaler_of_constant_column(spark):
     df = spark.createDataFrame([(1.0, 7.0), (3.0, 7.0), (None, 7.0)], "a DOUBLE, b DOUBLE")
     got = similarity.scale(df, ["a", "b"]).collect()

@@ -44,6 +44,8 @@ def apply_scaler(df: DataFrame, model: dict[str, tuple[float, float]]) -> DataFr
 
 
 def scale(df: DataFrame, cols: Sequence[str], kind: str = "standard") -> DataFrame:
+    """``df`` with its columns scaled. Read twice, so what leads to it is done once before."""
+    df = cut(df)
     return apply_scaler(df, fit_scaler(df, cols, kind))
 
 
