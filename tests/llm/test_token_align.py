@@ -101,3 +101,26 @@ def test_alignments_give_the_groups(docs, p):
     for g in found[1]:
         part = data[g.first : g.past]
         assert b"".join(p.bytes_a[i] for i in g.a) == part == b"".join(p.bytes_b[i] for i in g.b)
+
+
+def test_a_segment_is_cut_once_for_all_batches(monkeypatch):
+    fresh, seen, learned = A.TokenizerPair(*FILES), [], A._learned
+    monkeypatch.setattr(A, "_learned", lambda p, parts: seen.extend(parts) or learned(p, parts))
+    for text in ("of the thention", "the élevé of", "of 日本 the"):
+        A._batch(fresh, 0, [1], [text])
+    assert sorted(seen) == sorted(["of", "the", "thention", "élevé", "日本"])
+
+
+def test_forgotten_segments_change_no_result(p, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["of", "the", "naïve,", "日本", "thention", "a▁b", "Ünß", "x" * 30], [9, 9, 5, 5, 2, 1, 1, 1], k=8)) for _ in range(40)]
+    for segments, chars in ((5, 1 << 20), (300, 12), (0, 0)):
+        fresh = A.TokenizerPair(*FILES)
+        monkeypatch.setattr(A, "KNOWN_SEGMENTS", 1 << 20)
+        want = [A._batch(p, i, [i, 100 + i], [t, texts[0]]) for i, t in enumerate(texts)]
+        monkeypatch.setattr(A, "KNOWN_SEGMENTS", segments)
+        monkeypatch.setattr(A, "KNOWN_CHARS", chars)
+        for i, t in enumerate(texts):
+            assert A._batch(fresh, i, [i, 100 + i], [t, texts[0]]).equals(want[i])
+            assert len(fresh.known.lines) == len(fresh.known.places) == len(fresh.known.good) <= segments
+        monkeypatch.undo()

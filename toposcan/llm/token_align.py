@@ -1,8 +1,8 @@
 """Alignment of two tokenizers over a corpus.
 
 Both tokenizers cut the bytes of a space and the text. Their own spans give coarse cuts: character offsets of ``tokenizers``, turned into
-byte offsets, and the spans of the proto that sentencepiece returns (``proto``; the installed release has this in place of the
-immutable proto and counts bytes). A span that is as long as the decoded bytes of its token is exact. Tokens that share one
+byte offsets, and the spans that sentencepiece returns (``offset_mapping`` in bytes; the installed release has this and a slower ``proto`` of the same
+spans in place of the immutable proto). A span that is as long as the decoded bytes of its token is exact. Tokens that share one
 multibyte character, byte-fallback tokens and the first piece with its added space are not; they are refined by their decoded bytes, counted
 on from the last exact cut. Offsets where both sides end a token close a group; the tokens of a group are linked.
 
@@ -13,7 +13,8 @@ on from the last exact cut. Offsets where both sides end a token close a group;
 3. ``aligned``: the counts go back to the batches by one join on the pair and meet their documents batch by batch.
 
 A text is cut into segments before single spaces where neither tokenizer can hold a token across (checked on the vocabularies; otherwise a text is one
-segment): a segment's tokens, groups and links depend on it alone, so the equal segments of a batch are cut once.
+segment): a segment's tokens, groups and links depend on it alone, so the equal segments of a batch are cut once, and a worker remembers the
+segments that most of its batches hold (``Segments``).
 
 A large group is held by its distinct ids with counts, never as all its links.
 
@@ -28,7 +29,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,11 @@ from toposcan.llm.common import per_process, stored, texts
 
 BATCH_CHARS = 3 << 20
 DOCS_AT_ONCE = 256
-#: Segments that a worker remembers, some 400 bytes each.
-KNOWN_SEGMENTS = 100_000
-RUN_PARTS = 4096
+#: Segments and characters that a worker remembers between batches, some 300 bytes a segment.
+KNOWN_SEGMENTS = 300_000
+KNOWN_CHARS = 4 << 20
+LEARNED_AT_ONCE = 16_384  # segments
+RUN_PARTS = 256
 CUT_SCHEMA = (
     "batch long, id long, is_batch boolean, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,"
     " keys array<long>, times array<long>"
@@ -81,7 +84,7 @@ class TokenizerPair:
         self.bytes_a = [bytes(symbols[c] for c in t) if all(c in symbols for c in t) else t.encode() for t in names]
         self.bytes_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, tuple] = {}
+        self.known = Segments()
         # every id as text with the mark that follows it inside and at the end of its group's side
         self.text_a = [f"{i}{mark}" for i in range(self.size_a) for mark in ",|"]
         self.text_b = [f"{i}{mark}" for i in range(self.size_b) for mark in ",;"]
@@ -123,8 +126,9 @@ class TokenizerPair:
         """As ``tokens_a``; the tokenizer adds the space that every run begins with, and a span begins where the one before ends."""
         found = []
         for run, begin in zip(runs, _begins([_bytes(x) for x in runs])):
-            pieces = self.b.encode(run[1:], return_type="proto").pieces
-            ids, end = np.fromiter(chain.from_iterable([(p.id, p.end) for p in pieces]), np.int64, 2 * len(pieces)).reshape(-1, 2).T
+            x = self.b.encode(run[1:], return_type="offset_mapping", return_bytes=True)
+            ids = np.array(x["ids"], np.int64)
+            end = np.fromiter(chain.from_iterable(x["offsets"]), np.int64, 2 * len(ids))[1::2]
             found.append((ids, np.append(0, end[:-1]) + begin + 1, end + begin + 1))
         return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -238,30 +242,67 @@ def _learned(p: TokenizerPair, parts: list[str]) -> tuple:
     return x["good"], each, lines, np.searchsorted(of_group[group] if groups else group, np.arange(seen + 1)), key, times
 
 
+class _Places(dict):
+    """The place of every segment, numbered as they come."""
+
+    def __missing__(self, part: str) -> int:
+        place = self[part] = len(self)
+        return place
+
+
+class Segments:
+    """What a worker knows of segments, by their place; ``uses`` counts the batches that held them, older ones less."""
+
+    def __init__(self) -> None:
+        self.places, self.lines = _Places(), []
+        self.good, self.uses, self.each = np.empty(0, bool), np.empty(0, np.int64), np.empty((4, 0), np.int64)
+        self.first, self.key, self.times = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def look_up(self, p: TokenizerPair, parts: Iterator[str], n: int) -> np.ndarray:
+        """The places of ``n`` segments; new ones are learned."""
+        which = np.fromiter(map(self.places.__getitem__, parts), np.int64, n)
+        new = list(islice(self.places, len(self.lines), None))
+        found = [_learned(p, new[lo : lo + LEARNED_AT_ONCE]) for lo in range(0, len(new), LEARNED_AT_ONCE)]
+        if found:
+            good, each, lines, first, key, times = zip(*found)
+            begins = self.first[-1] + np.cumsum([0, *map(len, key)])
+            self.good = np.concatenate([self.good, *good])
+            self.each = np.concatenate([self.each, *each], 1)
+            self.lines += chain.from_iterable(lines)
+            self.first = np.concatenate([self.first, *[at[1:] + begin for at, begin in zip(first, begins)]])
+            self.key, self.times = np.concatenate([self.key, *key]), np.concatenate([self.times, *times])
+            self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
+        self.uses[np.unique(which)] += 1
+        return which
+
+    def forget(self) -> None:
+        """Above the limits, all but the most used half; of those that one batch held none is kept."""
+        size = np.fromiter(map(len, self.places), np.int64, len(self.places))
+        if len(size) <= KNOWN_SEGMENTS and size.sum() <= KNOWN_CHARS:
+            return
+        order = np.argsort(-self.uses, kind="stable")
+        order = order[(self.uses[order] > 1) & (np.cumsum(size[order]) <= KNOWN_CHARS // 2)][: KNOWN_SEGMENTS // 2]
+        kept = np.zeros(len(size), bool)
+        kept[order] = True
+        places = kept.tolist()
+        self.places = _Places(zip(compress(self.places, places), range(len(order))))
+        self.lines = list(compress(self.lines, places))
+        wide = np.diff(self.first)
+        own = np.repeat(kept, wide)
+        self.key, self.times, self.first = self.key[own], self.times[own], np.append(0, np.cumsum(wide[kept]))
+        self.good, self.each, self.uses = self.good[kept], self.each[:, kept], (self.uses[kept] + 1) // 2
+
+
 def _batch(p: TokenizerPair, name: int, keys: list, bodies: list[str | None]) -> pa.RecordBatch:
-    """Rows of one batch of documents, its own row last. Equal segments are cut once, those that came more than once in an earlier batch not again."""
+    """Rows of one batch of documents, its own row last. Equal segments are cut once, those that are remembered not again."""
     cut_ = [p.segments(text) if text else [] for text in bodies]
-    distinct = dict.fromkeys(chain.from_iterable(cut_))
-    new, old = [t for t in distinct if t not in p.known], [t for t in distinct if t in p.known]
-    index = {t: k for k, t in enumerate(chain(new, old))}
-    which = np.fromiter(map(index.__getitem__, chain.from_iterable(cut_)), np.int64, sum(map(len, cut_)))
+    known = p.known
+    which = known.look_up(p, chain.from_iterable(cut_), sum(map(len, cut_)))
     held = np.split(which, np.cumsum([len(c) for c in cut_])[:-1])
-    del cut_, distinct
-    good, each, lines, first, key, times = _learned(p, new)
-    if old:
-        rows = [p.known[t] for t in old]
-        good, each = np.append(good, np.ones(len(old), bool)), np.concatenate([each, np.array([r[0] for r in rows]).T], 1)
-        lines += [r[1] for r in rows]
-        first = np.append(first, first[-1] + np.cumsum([len(r[2]) // 8 for r in rows]))
-        key, times = (np.concatenate([v, np.frombuffer(b"".join([r[k] for r in rows]), np.int64)]) for v, k in ((key, 2), (times, 3)))
-    again = np.flatnonzero((np.bincount(which, minlength=len(index))[: len(new)] > 1) & good[: len(new)]).tolist()
-    if len(p.known) + len(again) > KNOWN_SEGMENTS:
-        p.known.clear()
-    for k in again:
-        own = slice(first[k], first[k + 1])
-        p.known[new[k]] = (tuple(each[:, k].tolist()), lines[k], key[own].tobytes(), times[own].tobytes())
+    del cut_
+    good, each, lines, first, key, times = known.good, known.each, known.lines, known.first, known.key, known.times
     held = [h if good[h].all() else h[:0] for h in held]
-    seen, many = len(index), np.array([len(h) for h in held], np.int64)
+    seen, width, many = len(lines), np.diff(first), np.array([len(h) for h in held], np.int64)
     flat = np.concatenate([*held, np.empty(0, np.int64)])
     doc = np.repeat(np.arange(len(keys)), many)
     counts = np.zeros((4, len(keys)), np.int64)
@@ -275,10 +316,11 @@ def _batch(p: TokenizerPair, name: int, keys: list, bodies: list[str | None]) ->
         own = slice(bounds[lo], bounds[min(lo + DOCS_AT_ONCE, len(keys))])
         value, repeats = np.unique(doc[own] * max(seen, 1) + flat[own], return_counts=True)
         at, which = value // max(seen, 1), value % max(seen, 1)
-        wide = (first[1:] - first[:-1])[which] if seen else which
+        wide = width[which]
         take = np.arange(int(wide.sum())) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat(first[which], wide)
         value, where = np.unique(np.repeat(at, wide) * space + key[take], return_inverse=True)
         found.append((value // space, value % space, np.bincount(where, times[take] * np.repeat(repeats, wide), len(value)).astype(np.int64)))
+    known.forget()
     doc, key, times = (np.concatenate(x) for x in zip(*found))
     whole, docs = np.unique(key, return_counts=True)
     offsets = np.append(np.searchsorted(doc, np.arange(len(keys) + 1)), len(key) + len(whole)).astype(np.int32)
