@@ -104,3 +104,11 @@ def test_meeting_hands_on_what_improves():
             asked = [j for j in range(300) if (1 + i % 7) >> bit[j] & 1 and -d[i, j] >= known]
             want += [(f"q{i:02}", j, -d[i, j]) for j in sorted(asked, key=lambda j: (d[i, j], j))[:2]]
         assert sorted(got.itertuples(index=False, name=None)) == sorted(want)
+
+
+def test_the_screen_finds_what_nonzero_finds():
+    rng = np.random.default_rng(3)
+    for shape in ((5, 7), (1, 1), (3, 0), (0, 4)):
+        mask = rng.random(shape) < 0.4
+        for got, want in zip(M._where(mask), np.nonzero(mask)):
+            assert got.tolist() == want.tolist()

@@ -182,17 +182,23 @@ def _first(group: np.ndarray, n: int) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(start, np.diff(np.append(start, len(group)))) < n
 
 
-def _improving(q: np.ndarray, m: np.ndarray, allowed: np.ndarray, bit: np.ndarray, score: np.ndarray, want: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix with few hits, which looks at the entries one by one there; flat it skips what is empty."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+
+
+def _improving(q: np.ndarray, m: np.ndarray, m2: np.ndarray, allowed: np.ndarray, bit: np.ndarray, score: np.ndarray, want: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of all pairs that may be among the ``want`` best of a query in its ``allowed`` cells and reach its ``score``.
 
-    One product yields the square of the distance less that of the query (or the negated cosine); ``err`` bounds its error.
+    One product yields the square of the distance less that of the query (or the negated cosine); ``err`` bounds its error. ``m2`` are the squared
+    lengths of the rows ``m``, which end with them if the metric is Euclidean.
     """
-    q2, m2 = (q**2).sum(1), (m**2).sum(1)
+    q2 = (q**2).sum(1)
     err = 4 * (q.shape[1] + 8) * np.finfo(float).eps * (np.sqrt(q2) + np.sqrt(m2.max())) ** 2
     if metric == "cosine":
         s, limit = -(q @ m.T), -score + SLACK + err
     else:
-        s = np.hstack([-2 * q, np.ones((len(q), 1))]) @ np.vstack([m.T, m2[None]])
+        s = np.hstack([-2 * q, np.ones((len(q), 1))]) @ m.T
         limit = (-score + SLACK) ** 2 - q2 + err
     few = len(m) <= want
     if not few and (np.isinf(limit).any() or np.count_nonzero(s <= limit[:, None]) > 64 * want * len(q)):
@@ -201,7 +207,7 @@ def _improving(q: np.ndarray, m: np.ndarray, allowed: np.ndarray, bit: np.ndarra
         with np.errstate(invalid="ignore"):
             near = kth + 2 * SLACK + err if metric == "cosine" else (np.sqrt(np.maximum(kth + q2 + err, 0.0)) + SLACK) ** 2 - q2 + err
         limit = np.where(np.isinf(kth), limit, np.minimum(limit, near))
-    i, j = np.nonzero(s <= limit[:, None])
+    i, j = _where(s <= limit[:, None])
     own = allowed[i, bit[j]]
     return i[own], j[own]
 
@@ -218,6 +224,8 @@ def _pair(metric: str, want: int):
             qs, bits, score, keys = np.array(q["v"].tolist()), q["bits"].to_numpy(), q["score"].to_numpy(), q["key"].to_numpy(object)
             centre = m.mean(0) if metric == "euclidean" else 0.0  # the product cancels less
             mc, qc = m - centre, qs - centre
+            m2 = (mc**2).sum(1)
+            mc = np.hstack([mc, m2[:, None]]) if metric == "euclidean" else mc
             allowed = (bits[:, None] >> np.arange(SHELF_CELLS)) & 1 > 0
             step = max(1, min(256, STEP_PAIRS // len(m)))
             for lo in range(0, len(qs), step):
@@ -225,8 +233,8 @@ def _pair(metric: str, want: int):
                 some = np.flatnonzero(allowed[at].any(0)[bit])
                 if not len(some):
                     continue
-                part = mc if len(some) == len(m) else mc[some]
-                i, j = _improving(qc[at], part, allowed[at], bit[some], score[at], want, metric)
+                part, part2 = (mc, m2) if len(some) == len(m) else (mc[some], m2[some])
+                i, j = _improving(qc[at], part, part2, allowed[at], bit[some], score[at], want, metric)
                 i, j = i + lo, some[j]
                 s = np.empty(len(i))
                 chunk = max(1, STEP_NUMBERS // max(1, m.shape[1]))
