@@ -4,6 +4,7 @@ import io
 import json
 import math
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -621,6 +622,28 @@ def test_nearest_toponym_by_place(crowd, rows, met):
     assert met[0] <= 6
 
 
+@pytest.mark.parametrize("pair", [
+    lambda c: spatial.toponyms_around(c.withColumnRenamed("id", "site_id"), c, 5.0),
+    lambda c: spatial.points_within_boxes(c, c.selectExpr("id AS k", "lon - 0.1 AS minx", "lat - 0.1 AS miny", "lon + 0.1 AS maxx", "lat + 0.1 AS maxy"), 0.4),
+    lambda c: spatial.close_pairs(c, 2_000.0, "id")])
+def test_pairs_are_held_by_the_pack(crowd, pair):
+    """Rows that generated code makes of one row are held until the last is there: packs meet, and either side is written out, in code of its own."""
+    got = pair(crowd)
+    assert got.count() and got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    code = [re.findall(rf"\*\((\d+)\) {step}", plan)[:1] for step in (r"Generate explode\(_b#", r"Generate explode\(_a#", r"\w+Join")]
+    assert all(code) and len({c[0] for c in code}) == 3, code
+
+
+def test_packs_of_one_column_keep_it_as_it_is(spark, rows):
+    """Also nulls, structs and copies; several columns and none beside the place go on as before."""
+    at = spark.sql("SELECT * FROM VALUES (CAST(NULL AS BIGINT), 1), (7, 2), (7, 3) AS t(id, n)").select("id", F.struct("n").alias("s"), F.lit(-60.0).alias("lon"), F.lit(-10.0).alias("lat"))
+    assert rows(spatial.toponyms_around(at.select("id", "lon", "lat"), at.select("s", "lon", "lat"), 1.0).selectExpr("coalesce(id, -1)", "s.n")) == [
+        (-1, 1), (-1, 2), (-1, 3), (7, 1), (7, 1), (7, 2), (7, 2), (7, 3), (7, 3)]
+    assert spatial.toponyms_around(at, at.select("lon", "lat").distinct(), 1.0).columns == ["id", "s", "site_lon", "site_lat", "toponym_lon", "toponym_lat", "distance_km"]
+    assert rows(spatial.toponyms_around(at, at.select("lon", "lat").distinct(), 1.0).selectExpr("coalesce(id, -1)", "s.n")) == [(-1, 1), (7, 2), (7, 3)]
+
+
 def test_pattern_counts_of_copies(spark, monkeypatch):
     texts = ["Rios rio verdes 12 verde"] * 3 + ["rio VERDE 123 mata\tmatas", "", "ab cd", None]
     df = spark.createDataFrame([(t,) for t in texts], "name STRING")
